@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import numbers
 import os
 import sys
 import time
@@ -30,12 +31,12 @@ def duck(sf_dir: str):
 def _cell(x):
     if x is None or (isinstance(x, float) and x != x):
         return "NULL"
+    if type(x).__name__ == "NAType":
+        return "NULL"
     if isinstance(x, bool) or type(x).__name__ == "bool":
         return str(bool(x))
-    if isinstance(x, float) or type(x).__name__.startswith("float"):
+    if isinstance(x, numbers.Number):
         return f"{float(x):.6f}".replace("-0.000000", "0.000000")
-    if type(x).__name__ in ("int64", "int32", "int", "Decimal"):
-        return f"{float(x):.6f}" if type(x).__name__ == "Decimal" else str(int(x))
     return str(x)
 
 

@@ -82,10 +82,16 @@ def column_profile(w):
 
 @register(
     "messages_clean",
-    query("SELECT tweet_id, author_id, inbound, text, parent_id FROM msgs", "msgs"),
+    query(
+        "SELECT tweet_id, author_id, inbound, text, coalesce(parent_id, -1) AS parent_id FROM msgs",
+        "msgs",
+    ),
 )
 def messages_clean(w):
-    return w.messages.select("tweet_id", "author_id", "inbound", "text", "parent_id")
+    return w.messages.select(
+        "tweet_id", "author_id", "inbound", "text",
+        F.coalesce("parent_id", F.lit(-1)).alias("parent_id"),
+    )
 
 
 _STRICT = (

@@ -51,14 +51,21 @@ def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     return found
 
 
-def ngrams(toks: Column, low: int, high: int) -> Column:
-    """All word n-grams of the token array for n in [low, high], joined by a blank."""
+def ngrams(column: str, low: int, high: int) -> Column:
+    """All word n-grams of a token array column for n in [low, high], joined by a blank.
+
+    Takes a column name, not an expression: the array is read once per position and must not
+    be computed anew each time.
+    """
+    toks = F.col(column)
 
     def grams(n: int) -> Column:
         if n == 1:
             return toks
-        starts = F.sequence(F.lit(1), F.size(toks) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(n)), " "))
+        starts = F.sequence(F.lit(0), F.size(toks) - n)
+        joined = F.transform(
+            starts, lambda i: F.concat_ws(" ", *[F.get(toks, i + j) for j in range(n)])
+        )
         return F.when(F.size(toks) >= n, joined).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.array(*[grams(n) for n in range(low, high + 1)]))

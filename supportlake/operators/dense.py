@@ -161,7 +161,7 @@ def _score(
         .withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
-            "cell", "block", "chunk", "gid", "first_id", "copies", "case_intent",
+            *[F.col(c).alias(c) for c in ("cell", "block", "chunk")], "gid", "first_id", "copies", "case_intent",
             F.col("embedding").alias("vector"),
         )
     )

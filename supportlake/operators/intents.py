@@ -59,7 +59,7 @@ def add_keyword_intent(df: DataFrame, text: str, pack: RulePack) -> DataFrame:
     """Add intent and intent_confidence by keyword."""
     label = first_match(F.lower(F.col(text)), pack.keywords, "")
     return df.withColumn("_label", label).select(
-        *df.columns,
+        *[c for c in df.columns if c not in ("intent", "intent_confidence")],
         F.when(F.col("_label") == "", F.lit(pack.fallback))
         .otherwise(F.col("_label"))
         .alias("intent"),

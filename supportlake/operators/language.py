@@ -22,10 +22,8 @@ def trigrams(text: Column) -> Column:
     """Letter trigrams of the text, words framed and joined by blanks."""
     letters = F.regexp_replace(F.lower(nvl(text)), f"[^{WORD}]+|[0-9_]+", " ")
     framed = F.concat(F.lit(" "), F.trim(F.regexp_replace(letters, " +", " ")), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.length(framed) - 2)
-    return F.when(
-        F.length(framed) >= 3, F.transform(starts, lambda i: F.substring(framed, i, F.lit(3)))
-    ).otherwise(F.array().cast("array<string>"))
+    # The look-ahead yields overlapping matches in one pass over the text.
+    return F.regexp_extract_all(framed, F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
 def trigram_counts(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:

@@ -51,11 +51,12 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, settings: Vectorize
     The texts are spread by id before they are blown up to n-grams; counting per (id, term)
     then needs no further shuffle.
     """
-    grams = ngrams(tokens(F.col(text_col), settings.stop_words), settings.low, settings.high)
+    toks = tokens(F.col(text_col), settings.stop_words)
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col))
         .repartition("id")
-        .select("id", F.explode(grams).alias("term"))
+        .select("id", toks.alias("toks"))
+        .select("id", F.explode(ngrams("toks", settings.low, settings.high)).alias("term"))
         .groupBy("id", "term")
         .agg(F.count("*").alias("tf"))
     )
