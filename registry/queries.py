@@ -762,9 +762,12 @@ def judge_scores(w):
 @register(
     "judge_summary",
     query(
-        """SELECT system, count(*) AS count, round(avg(groundedness_score), 2) AS mean_groundedness,
-  round(avg(relevance_score), 2) AS mean_relevance, round(avg(safety_score), 2) AS mean_safety,
-  round(avg(escalation_score), 2) AS mean_escalation, round(avg(overall_score), 2) AS mean_overall
+        "SELECT system, count(*) AS count, "
+        + ", ".join(
+            f"round(avg({c}_score)::decimal(18, 9), 2)::double AS mean_{c}"
+            for c in ("groundedness", "relevance", "safety", "escalation", "overall")
+        )
+        + """
   FROM judged GROUP BY system""",
         "judged",
     ),
