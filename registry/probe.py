@@ -14,6 +14,7 @@ from supportlake.functions import packs
 from supportlake.functions.rules import RulePack
 from supportlake.operators.intents import weak_intent
 from supportlake.operators.quality import common_word_gate
+from supportlake.sources.tables import read_table
 
 BRAND = "DeskTeam"
 MENTION_BRAND = "Mail5"
@@ -103,7 +104,8 @@ GATE = common_word_gate(MESSAGES.common_words)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = {"documents": "doc_id"}.get(name)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", key)
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -526,9 +526,8 @@ def term_stats(w):
 def tfidf_weights(w):
     docs = w.table("documents")
     settings = _explore(w)
-    counts = tfidf.term_counts(docs, "doc_id", "text", settings)
-    stats = tfidf.term_stats(counts, docs.count(), settings)
-    out = tfidf.tfidf_weights(counts, stats, bounded=True)
+    stats = tfidf.fit(docs, "doc_id", "text", settings)
+    out = tfidf.transform(docs, "doc_id", "text", stats, settings)
     return out.withColumn("weight", F.round("weight", 6))
 
 
@@ -944,14 +943,15 @@ def failure_cases(w):
     query(
         """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY failure,
     CASE WHEN failure = 'misclassified' THEN gold_intent ELSE '' END ORDER BY query_id) AS rn
-  FROM failures) WHERE rn <= CASE failure WHEN 'misclassified' THEN 4 ELSE 20 END""",
+  FROM failures) WHERE failure = 'false_auto_handle'
+  OR rn <= CASE failure WHEN 'misclassified' THEN 4 ELSE 20 END""",
         "failures",
     ),
 )
 def failure_samples(w):
     return metrics.failure_samples(
         _failures(w),
-        {"false_auto_handle": 20, "false_escalation": 20, "misclassified": 4},
+        {"false_auto_handle": None, "false_escalation": 20, "misclassified": 4},
         key="query_id",
     )
 
@@ -1171,9 +1171,8 @@ def nearest_centroid(w):
 
     docs = w.table("documents")
     settings = _explore(w)
-    counts = tfidf.term_counts(docs, "doc_id", "text", settings)
-    stats = tfidf.term_stats(counts, docs.count(), settings)
-    weights = materialize(tfidf.tfidf_weights(counts, stats, bounded=True), "weights")
+    stats = tfidf.fit(docs, "doc_id", "text", settings)
+    weights = materialize(tfidf.transform(docs, "doc_id", "text", stats, settings), "weights")
     langs = docs.groupBy("lang").agg(F.count("*").alias("n")).withColumn(
         "cluster_id", F.row_number().over(Window.orderBy("lang")) - 1
     )

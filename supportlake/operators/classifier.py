@@ -15,7 +15,7 @@ from supportlake.operators import tfidf
 from supportlake.operators.clusters import sparse_vectors, vocabulary
 from supportlake.operators.intents import class_weights
 from supportlake.operators.sampling import stratified_split
-from supportlake.session import materialize
+from supportlake.session import materialize, spread
 
 
 @dataclass
@@ -61,8 +61,7 @@ class IntentModel:
 def _vectors(
     docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, settings: tfidf.Vectorizer
 ) -> DataFrame:
-    counts = tfidf.term_counts(docs, id_col, text_col, settings)
-    weights = tfidf.tfidf_weights(counts, vocab, bounded=True)
+    weights = tfidf.transform(docs, id_col, text_col, vocab, settings)
     ids = docs.select(F.col(id_col).alias("id"))
     return sparse_vectors(weights, vocab, ids, max(1, vocab.count()))
 
@@ -78,16 +77,14 @@ def train(
 ) -> IntentModel:
     """Fit on labelled rows. regParam = 1 / (c * n) gives the usual penalised objective, as
     balanced weights sum to n."""
-    counts = materialize(tfidf.term_counts(docs, id_col, text_col, settings), "counts")
     n = docs.count()
-    vocab = materialize(vocabulary(tfidf.term_stats(counts, n, settings)), "vocab")
-    weights = tfidf.tfidf_weights(counts, vocab, bounded=True)
+    vocab = materialize(vocabulary(tfidf.fit(docs, id_col, text_col, settings)), "vocab")
+    vectors = _vectors(docs, id_col, text_col, vocab, settings)
     ids = docs.select(F.col(id_col).alias("id"), F.col(label).alias("label_text"))
-    vectors = sparse_vectors(weights, vocab, ids.select("id"), max(1, vocab.count()))
     balance = class_weights(docs, label).select(F.col(label).alias("label_text"), "weight")
     # One row per class: broadcast.
-    features = materialize(
-        vectors.join(ids, "id").join(F.broadcast(balance), "label_text"), "features"
+    features = spread(
+        materialize(vectors.join(ids, "id").join(F.broadcast(balance), "label_text"), "features")
     )
     indexer = StringIndexer(
         inputCol="label_text", outputCol="label", stringOrderType="alphabetAsc",
@@ -101,7 +98,7 @@ def train(
         regParam=1.0 / (c * max(1, n)),
         elasticNetParam=0.0,
         standardization=False,
-        tol=1e-6,
+        tol=1e-5,
     ).fit(indexer.transform(features))
     names = IndexToString(
         inputCol="prediction", outputCol="predicted", labels=list(indexer.labels)
@@ -115,7 +112,8 @@ def train_and_test(
 ) -> tuple[IntentModel, DataFrame]:
     """Fit on the train part of a stratified split; return the model and the test rows with
     `gold` and the predicted intent."""
-    split = materialize(stratified_split(docs, label, id_col, 0.2, seed), "split")
+    rows = materialize(docs.select(id_col, text_col, label), "labelled")
+    split = materialize(stratified_split(rows, label, id_col, 0.2, seed), "split")
     model = train(split.filter("split = 'train'"), id_col, text_col, label)
     held_out = split.filter("split = 'test'").withColumnRenamed(label, "gold")
     return model, model.predict(held_out, id_col, text_col)

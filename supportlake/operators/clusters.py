@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from supportlake.operators import tfidf
 from supportlake.operators.sampling import sample_key, smallest_per_group
-from supportlake.session import materialize
+from supportlake.session import materialize, spread
 
 
 def vocabulary(stats: DataFrame) -> DataFrame:
@@ -24,22 +24,17 @@ def vocabulary(stats: DataFrame) -> DataFrame:
 def sparse_vectors(weights: DataFrame, vocab: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, features) for every row of `ids`; documents without a known term get zeros.
 
-    The one Python function of the package: the ML vector type has no native constructor for
+    The one row function of the package: the ML vector type has no native constructor for
     index and value arrays. A row holds at most `size` entries.
     """
-    build = F.udf(
-        lambda pairs: SparseVector(
-            size, [p["i"] for p in pairs or []], [p["w"] for p in pairs or []]
-        ),
-        VectorUDT(),
-    )
+    build = F.udf(lambda i, w: SparseVector(size, i or [], w or []), VectorUDT())
     pair = F.struct(F.col("term_index").alias("i"), F.col("weight").alias("w"))
     packed = (
         weights.join(F.broadcast(vocab.select("term", "term_index")), "term")
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
     )
-    return ids.join(packed, "id", "left").select("id", build("pairs").alias("features"))
+    return ids.join(packed, "id", "left").select("id", build("pairs.i", "pairs.w").alias("features"))
 
 
 @dataclass
@@ -60,15 +55,13 @@ def _features(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     if settings.max_features is None:
         raise ValueError("clustering needs a vocabulary cut to max_features")
-    counts = materialize(tfidf.term_counts(docs, id_col, text_col, settings), "counts")
-    stats = tfidf.term_stats(counts, docs.count(), settings)
-    vocab = materialize(vocabulary(stats), "vocab")
-    weights = materialize(tfidf.tfidf_weights(counts, vocab, bounded=True), "weights")
+    vocab = materialize(vocabulary(tfidf.fit(docs, id_col, text_col, settings)), "vocab")
+    weights = materialize(tfidf.transform(docs, id_col, text_col, vocab, settings), "weights")
     ids = docs.select(F.col(id_col).alias("id"))
     features = materialize(
         sparse_vectors(weights, vocab, ids, max(1, vocab.count())), "features"
     )
-    return vocab, weights, features
+    return vocab, weights, spread(features)
 
 
 def _best_model(features: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:

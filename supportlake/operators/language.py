@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from supportlake.functions.rules import WORD
 from supportlake.functions.text import nvl
 from supportlake.operators.sampling import smallest_per_group
+from supportlake.session import materialize
 
 PROFILE_SIZE = 300
 MAX_PROFILE_ROWS = 200_000
@@ -26,48 +27,39 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(framed, F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
-def trigram_counts(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """(id, keep..., gram, tf); texts are spread by id first, so counting stays local."""
-    return (
-        docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col))
-        .repartition("id")
-        .select("id", *keep, F.explode(trigrams(F.col(text_col))).alias("gram"))
-        .groupBy("id", *keep, "gram")
-        .agg(F.count("*").alias("tf"))
-    )
-
-
 def fit_profiles(
     docs: DataFrame, text_col: str, lang_col: str, size: int = PROFILE_SIZE
 ) -> DataFrame:
     """(lang, gram, gain): the `size` most frequent trigrams per language. `gain` is how much
     more likely, in logs, the trigram is than one seen once: always above 0."""
-    counts = (
-        docs.select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("gram"))
+    grams = F.explode(trigrams(F.col(text_col))).alias("gram")
+    counts = materialize(
+        docs.select(F.col(lang_col).alias("lang"), grams)
         .groupBy("lang", "gram")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n")),
+        "gram-counts",
     )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     top = smallest_per_group(counts, ["lang"], [F.desc("n"), F.asc("gram")], size)
     share = F.col("n") / F.col("total")
-    return top.join(totals, "lang").select(
-        "lang", "gram", F.log(1.0 + share * 1e6).alias("gain")
-    )
+    gain = F.log(1.0 + share * 1e6).alias("gain")
+    return materialize(top.join(totals, "lang").select("lang", "gram", gain), "profiles")
 
 
 def language_scores(
     docs: DataFrame, id_col: str, text_col: str, profiles: DataFrame
 ) -> DataFrame:
-    """(id, lang, score) for the languages that share a trigram with the text. The profile
-    table is `size` rows per language and broadcast while it is that small."""
-    counts = trigram_counts(docs, id_col, text_col)
+    """(id, lang, score) for the languages that share a trigram with the text.
+
+    The profile is `size` rows per language and broadcast while it is that small: trigrams
+    meet it where the text is read, and only partial sums per (id, lang) are shuffled.
+    """
     small = profiles.limit(MAX_PROFILE_ROWS + 1).count() <= MAX_PROFILE_ROWS
     side = F.broadcast(profiles) if small else profiles
-    return (
-        counts.join(side, "gram")
-        .groupBy("id", "lang")
-        .agg(F.sum(F.col("tf") * F.col("gain")).alias("score"))
+    grams = docs.select(
+        F.col(id_col).alias("id"), F.explode(trigrams(F.col(text_col))).alias("gram")
     )
+    return grams.join(side, "gram").groupBy("id", "lang").agg(F.sum("gain").alias("score"))
 
 
 def detect_language(

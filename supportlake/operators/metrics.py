@@ -326,14 +326,17 @@ def failure_cases(
     return pairs.filter(F.col("system") == system).select("*", F.explode(kinds).alias("failure"))
 
 
-def failure_samples(failures: DataFrame, limits: dict[str, int], key: str = "id") -> DataFrame:
-    """The first rows per failure kind, by key; per gold intent for misclassified rows."""
+def failure_samples(
+    failures: DataFrame, limits: dict[str, int | None], key: str = "id"
+) -> DataFrame:
+    """The first rows per failure kind, by key; per gold intent for misclassified rows. A
+    kind with limit None is kept whole."""
     group = F.when(F.col("failure") == "misclassified", F.col("gold_intent")).otherwise("")
     grouped = failures.withColumn("_group", group)
     out = None
     for kind, n in limits.items():
-        part = smallest_per_group(
-            grouped.filter(F.col("failure") == kind), ["failure", "_group"], [F.col(key)], n
-        )
+        part = grouped.filter(F.col("failure") == kind)
+        if n is not None:
+            part = smallest_per_group(part, ["_group"], [F.col(key)], n)
         out = part if out is None else out.unionByName(part)
     return out.drop("_group")

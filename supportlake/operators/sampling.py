@@ -152,7 +152,7 @@ def stratified_split(
     """Add `split`, `train` or `test`, with exact test sizes per class.
 
     The cut of a class is found without putting the class into one task: rows are counted per
-    class and md5 prefix bucket; only the bucket the cut falls into is ranked.
+    class and md5 prefix, 65,536 buckets a class, and ranked within their bucket only.
     """
     keyed = df.withColumn("_key", sample_key(seed, id_col)).withColumn(
         "_bucket", F.substring("_key", 1, 4)
@@ -165,19 +165,15 @@ def stratified_split(
         per_bucket.join(quota, label)
         .withColumn("_before", F.sum("_in").over(running) - F.col("_in"))
         .withColumn("_take", F.col("test_quota") - F.col("_before"))
-        .select(label, "_bucket", "_in", "_take")
+        .select(label, "_bucket", "_take")
     )
-    placed = keyed.join(cut, [label, "_bucket"])
-    whole = placed.filter((F.col("_take") <= 0) | (F.col("_take") >= F.col("_in")))
-    part = placed.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_in")))
     rank = F.row_number().over(
         Window.partitionBy(label, "_bucket").orderBy("_key", F.col(id_col))
     )
+    test = rank <= F.col("_take")
     columns = [c for c in df.columns if c != "split"]
-
-    def named(test: Column) -> Column:
-        return F.when(test, F.lit("test")).otherwise(F.lit("train")).alias("split")
-
-    return whole.select(*columns, named(F.col("_take") > 0)).unionByName(
-        part.withColumn("_rank", rank).select(*columns, named(F.col("_rank") <= F.col("_take")))
+    return (
+        keyed.join(cut, [label, "_bucket"])
+        .withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
+        .select(*columns, "split")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions.text import ngrams, tokens
+from supportlake.session import materialize
 
 
 @dataclass(frozen=True)
@@ -45,21 +46,29 @@ def with_stop_words(settings: Vectorizer, words: Sequence[str]) -> Vectorizer:
     )
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, settings: Vectorizer) -> DataFrame:
+def term_counts(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    settings: Vectorizer,
+    vocabulary: DataFrame | None = None,
+) -> DataFrame:
     """(id, term, tf). Ids are unique.
 
     The texts are spread by id before they are blown up to n-grams; counting per (id, term)
-    then needs no further shuffle.
+    then needs no further shuffle. With a `vocabulary` cut to max_features, n-grams outside it
+    are dropped right where they are made.
     """
     toks = tokens(F.col(text_col), settings.stop_words)
-    return (
+    grams = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col))
         .repartition("id")
         .select("id", toks.alias("toks"))
         .select("id", F.explode(ngrams("toks", settings.low, settings.high)).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count("*").alias("tf"))
     )
+    if vocabulary is not None and settings.max_features is not None:
+        grams = grams.join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
+    return grams.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(counts: DataFrame, n_docs: int, settings: Vectorizer) -> DataFrame:
@@ -96,14 +105,14 @@ def tfidf_weights(counts: DataFrame, stats: DataFrame, bounded: bool = False) ->
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, settings: Vectorizer) -> DataFrame:
-    """Vocabulary with idf of a document table."""
+    """Vocabulary with idf of a document table, as a written table."""
     counts = term_counts(docs, id_col, text_col, settings)
-    return term_stats(counts, docs.count(), settings)
+    return materialize(term_stats(counts, docs.count(), settings), "vocabulary")
 
 
 def transform(
     docs: DataFrame, id_col: str, text_col: str, stats: DataFrame, settings: Vectorizer
 ) -> DataFrame:
     """Weights of documents under a fitted vocabulary; unseen terms are left out."""
-    counts = term_counts(docs, id_col, text_col, settings)
+    counts = term_counts(docs, id_col, text_col, settings, stats)
     return tfidf_weights(counts, stats, bounded=settings.max_features is not None)

@@ -6,14 +6,14 @@ unique (see `last_version`).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supportlake.functions.text import nvl
 from supportlake.session import materialize
 
+MAX_ROUNDS = 64  # chains of up to 2^64 messages; the walk stops by itself long before
+
 
 def reply_edges(messages: DataFrame) -> DataFrame:
     """Adjacency as edges: one row per reply, whether or not the parent is in the table."""
@@ -80,8 +80,7 @@ def walk(messages: DataFrame) -> DataFrame:
     finished = [start.filter("done")]
     active = start.filter(~F.col("done"))
     nodes = start
-    limit = math.ceil(math.log2(max(2, start.count()))) + 1
-    for _ in range(limit):
+    for _ in range(MAX_ROUNDS):
         target = nodes.select(
             F.col("tweet_id").alias("ptr"),
             F.col("ptr").alias("next"),
@@ -119,9 +118,8 @@ def speaker(brand: str, ignore_case: bool = False) -> Column:
     return F.when(by_brand | ~F.col("inbound"), F.lit("brand")).otherwise(F.lit("customer"))
 
 
-def walked_turns(messages: DataFrame, brand: str, ignore_case: bool = False) -> DataFrame:
-    """Every message on a thread with its thread and turn number, one-sided threads included."""
-    return walk(messages).join(messages, "tweet_id").select(
+def _turns(steps: DataFrame, messages: DataFrame, brand: str, ignore_case: bool) -> DataFrame:
+    return steps.join(messages, "tweet_id").select(
         F.col("root_id").cast("string").alias("thread_id"),
         "turn_no",
         "tweet_id",
@@ -132,19 +130,33 @@ def walked_turns(messages: DataFrame, brand: str, ignore_case: bool = False) ->
     )
 
 
-def two_sided(turns: DataFrame) -> DataFrame:
-    """Ids of threads with at least one customer and one brand turn."""
-    sides = turns.groupBy("thread_id").agg(
-        F.bool_or(F.col("speaker") == "customer").alias("c"),
-        F.bool_or(F.col("speaker") == "brand").alias("b"),
+def walked_turns(messages: DataFrame, brand: str, ignore_case: bool = False) -> DataFrame:
+    """Every message on a thread with its thread and turn number, one-sided threads included."""
+    return _turns(walk(messages), messages, brand, ignore_case)
+
+
+def two_sided(steps: DataFrame, messages: DataFrame, brand: str, ignore_case: bool) -> DataFrame:
+    """Roots of threads with at least one customer and one brand turn. Reads no texts."""
+    who = messages.select("tweet_id", speaker(brand, ignore_case).alias("speaker"))
+    sides = (
+        steps.join(who, "tweet_id")
+        .groupBy("root_id")
+        .agg(
+            F.bool_or(F.col("speaker") == "customer").alias("c"),
+            F.bool_or(F.col("speaker") == "brand").alias("b"),
+        )
     )
-    return sides.filter("c AND b").select("thread_id")
+    return sides.filter("c AND b").select("root_id")
 
 
 def thread_turns(messages: DataFrame, brand: str, ignore_case: bool = False) -> DataFrame:
-    """Turns of the threads both sides took part in, one row per turn."""
-    turns = materialize(walked_turns(messages, brand, ignore_case), "turns")
-    return turns.join(two_sided(turns), "thread_id", "left_semi")
+    """Turns of the threads both sides took part in, one row per turn.
+
+    One-sided threads are sorted out on ids alone; texts are joined to what is left.
+    """
+    steps = walk(messages)
+    kept = steps.join(two_sided(steps, messages, brand, ignore_case), "root_id", "left_semi")
+    return _turns(kept, messages, brand, ignore_case)
 
 
 def thread_endpoints(turns: DataFrame) -> DataFrame:

@@ -71,6 +71,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small scan over all cores, by `keys` if given.
+
+    A small file often is one row group, which one task would work through alone. From
+    SMALL_BYTES on a scan has splits enough and is left as it lies.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call when no result built on them is needed."""
     jvm = spark.sparkContext._jvm

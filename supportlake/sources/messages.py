@@ -111,8 +111,24 @@ def brand_filter(messages: DataFrame, brand: str, strict: bool = False) -> DataF
 
 
 def first_rows(messages: DataFrame, max_rows: int) -> DataFrame:
-    """The first `max_rows` rows by `ord`: the row cap of an extract."""
-    return messages.orderBy("ord").limit(max_rows)
+    """The first `max_rows` rows by `ord`: the row cap of an extract.
+
+    Rows are counted per stretch of 65,536 order numbers; only the counts are put in order,
+    and rows are ranked within their stretch.
+    """
+    stretch = F.floor(F.col("ord") / F.lit(65536)).alias("_stretch")
+    keyed = messages.select("*", stretch)
+    sizes = keyed.groupBy("_stretch").agg(F.count("*").alias("_in"))
+    running = Window.orderBy("_stretch")
+    before = (F.sum("_in").over(running) - F.col("_in")).alias("_before")
+    wanted = sizes.select("_stretch", before).filter(F.col("_before") < max_rows)
+    rank = F.row_number().over(Window.partitionBy("_stretch").orderBy("ord"))
+    return (
+        keyed.join(wanted, "_stretch")
+        .withColumn("_rank", rank)
+        .filter(F.col("_before") + F.col("_rank") <= max_rows)
+        .drop("_stretch", "_before", "_rank")
+    )
 
 
 def extract_brand(

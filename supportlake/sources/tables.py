@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supportlake.functions.packs import GOLDEN_COLUMNS
+from supportlake.session import spread
+from supportlake.sources.messages import with_file_order
 
 MESSAGE_TYPE = T.StructType(
     [
@@ -29,6 +31,12 @@ THREAD_SCHEMA = T.StructType(
 )
 
 
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A parquet table; a small one is spread by `key` for the work on its texts."""
+    df = spark.read.parquet(path)
+    return df if key is None else spread(df, key)
+
+
 def write_threads(threads: DataFrame, path: str, fmt: str = "json") -> None:
     """Nested threads, one folder per tier."""
     threads.write.mode("overwrite").partitionBy("quality_label").format(fmt).save(path)
@@ -43,14 +51,17 @@ def read_thread_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(THREAD_SCHEMA).option("multiLine", True).json(path)
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation sheet: every column text, blanks as empty strings."""
+def read_golden(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Evaluation sheet: every column text, blanks as empty strings. `numbered` adds `idx`,
+    the 0-based row number in file order."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in GOLDEN_COLUMNS])
     rows = (
         spark.read.schema(schema)
         .options(header=True, multiLine=True, quote='"', escape='"')
         .csv(path)
     )
+    if numbered:
+        rows = with_file_order(rows).withColumnRenamed("ord", "idx")
     return rows.fillna("", subset=list(GOLDEN_COLUMNS))
 
 
