@@ -6,9 +6,10 @@ Exact top-k and hit counts without comparing every query with every case:
    intent, and cases with the same text and intent, are scored once and joined back.
 2. Candidates come from an inverted index cut by impact: of every term only its heaviest
    postings, about `depth` of them, are joined. A shorter list is read whole.
-3. What the cut leaves out shares only long-list terms with the query, and each of those with
-   a weight below the cut, which bounds its similarity. A query is finished when no case left
-   out can enter its top k or its hit count; the others go on with a deeper cut.
+3. What the cut leaves out has a weight below the cut, which bounds what it can add to a pair.
+   Pairs that this could still lift into the top k or the hit count are completed exactly. A
+   query is finished when no case left out altogether can get there either; the others go on
+   with a deeper cut.
 4. Cases without any common term still rank by their intent bonus: the first k of the intent
    and the first k of all stand in for them.
 """
@@ -136,20 +137,17 @@ def _dot(left: str, right: str) -> Column:
     )
 
 
-def _candidate_scores(
+def _candidates(
     terms: DataFrame, index: CaseIndex, depth: int
-) -> tuple[DataFrame, DataFrame]:
-    """(qid, gid, sim) of all pairs the cut index finds, sims exact, and (qid, bound): what a
-    pair it does not find can reach. Queries without long-list terms have no bound row."""
-    if index.longest <= depth:
-        listed = index.postings.select("term", "gid", F.col("weight").alias("w"))
-        sims = (
-            terms.join(listed, "term")
-            .groupBy("qid", "gid")
-            .agg(F.sum(F.col("weight") * F.col("w")).alias("sim"))
-        )
-        return sims, terms.select("qid", F.lit(0.0).alias("bound")).limit(0)
-
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the index finds when cut at `depth`.
+
+    pairs   (qid, gid, low, short): `low` sums all postings read, so it is at most the
+            similarity; `short` sums those of uncut terms
+    bounds  (qid, bound): what postings not read can add to any pair of the query; queries
+            without cut terms have no row
+    long    the cut terms
+    """
     long = materialize(index.long_lists(depth), "long")
     marked = terms.join(long, "term", "left")
     read = (
@@ -157,26 +155,12 @@ def _candidate_scores(
         .filter(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))
         .select("term", "gid", F.col("weight").alias("w"))
     )
-    # Short-list terms add their product here; long-list terms only name candidates and are
-    # added below from both sides' long-term arrays, read or not.
-    product = F.when(F.col("cut").isNull(), F.col("weight") * F.col("w")).otherwise(F.lit(0.0))
-    pairs = marked.join(read, "term").groupBy("qid", "gid").agg(F.sum(product).alias("short"))
-    entry = F.struct("term", "weight")
-    query_long = (
-        marked.filter(F.col("cut").isNotNull())
-        .groupBy("qid")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("ql"))
-    )
-    case_long = (
-        index.postings.join(long, "term", "left_semi")
-        .groupBy("gid")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("cl"))
-    )
-    added = F.coalesce(_dot("ql", "cl"), F.lit(0.0))
-    sims = (
-        pairs.join(query_long, "qid", "left")
-        .join(case_long, "gid", "left")
-        .select("qid", "gid", (F.col("short") + added).alias("sim"))
+    product = F.col("weight") * F.col("w")
+    uncut = F.when(F.col("cut").isNull(), product).otherwise(F.lit(0.0))
+    pairs = (
+        marked.join(read, "term")
+        .groupBy("qid", "gid")
+        .agg(F.sum(product).alias("low"), F.sum(uncut).alias("short"))
     )
     bounds = (
         marked.filter(F.col("cut").isNotNull())
@@ -188,11 +172,34 @@ def _candidate_scores(
             ).alias("bound")
         )
     )
-    return sims, bounds
+    return pairs, bounds, long
+
+
+def _complete(pairs: DataFrame, terms: DataFrame, index: CaseIndex, long: DataFrame) -> DataFrame:
+    """(qid, gid, exact) of the given pairs (qid, gid, short): cut terms are added from both
+    sides' weights, read or not."""
+    entry = F.map_from_entries(F.collect_list(F.struct("term", "weight")))
+    query_long = (
+        terms.join(long.select("term"), "term", "left_semi").groupBy("qid").agg(entry.alias("ql"))
+    )
+    case_long = (
+        index.postings.join(long.select("term"), "term", "left_semi")
+        .join(pairs.select("gid").distinct(), "gid", "left_semi")
+        .groupBy("gid")
+        .agg(entry.alias("cl"))
+    )
+    return (
+        pairs.join(query_long, "qid", "left")
+        .join(case_long, "gid", "left")
+        .select(
+            "qid", "gid",
+            (F.col("short") + F.coalesce(_dot("ql", "cl"), F.lit(0.0))).alias("exact"),
+        )
+    )
 
 
 def _stand_ins(queries: DataFrame, index: CaseIndex, k: int) -> DataFrame:
-    """(qid, gid, sim 0) of the first k groups of the query's intent and the first k of all."""
+    """(qid, gid) of the first k groups of the query's intent and the first k of all."""
     by_intent = smallest_per_group(
         index.groups.select("gid", "case_intent", "first_id"),
         ["case_intent"],
@@ -201,11 +208,10 @@ def _stand_ins(queries: DataFrame, index: CaseIndex, k: int) -> DataFrame:
     ).select("gid", F.col("case_intent").alias("intent"))
     of_all = index.groups.orderBy("first_id").limit(k)
     everywhere = of_all.agg(F.collect_list("gid").alias("gids")).scalar()
-    zero = F.lit(0.0).alias("sim")
     return (
         queries.join(by_intent, "intent")
-        .select("qid", "gid", zero)
-        .unionByName(queries.select("qid", F.explode(everywhere).alias("gid"), zero))
+        .select("qid", "gid")
+        .unionByName(queries.select("qid", F.explode(everywhere).alias("gid")))
     )
 
 
@@ -216,61 +222,87 @@ def _score_groups(
     distinct queries (qid, cleaned_text, intent)."""
     terms = materialize(_query_terms(queries, index), "terms")
     intents = index.groups.select(F.col("case_intent").alias("intent")).distinct()
+    facts = index.groups.select("gid", "case_intent", "copies", "first_id")
+    zero = F.lit(0.0)
     tops: list[DataFrame] = []
     hits: list[DataFrame] = []
     rest = queries
     while True:
-        sims, bounds = _candidate_scores(terms, index, depth)
-        facts = index.groups.select("gid", "case_intent", "copies", "first_id")
+        last = index.longest <= depth
+        pairs, bounds, long = _candidates(terms, index, depth)
+        stand_ins = _stand_ins(rest, index, k).withColumns({"low": zero, "short": zero})
+        same = F.coalesce(F.col("case_intent") == F.col("intent"), F.lit(False))
         scored = (
-            sims.unionByName(_stand_ins(rest, index, k))
+            pairs.unionByName(stand_ins)
             .groupBy("qid", "gid")
-            .agg(F.max("sim").alias("sim"))
+            .agg(F.max("low").alias("low"), F.max("short").alias("short"))
             .join(rest.select("qid", "intent"), "qid")
             .join(facts, "gid")
+            .select(
+                "qid", "gid", "first_id", "copies", "low", "short",
+                F.when(same, F.lit(intent_weight)).otherwise(zero).alias("bonus"),
+                (F.col("intent").isNull() | same).alias("counts"),
+            )
         )
-        same = F.coalesce(F.col("case_intent") == F.col("intent"), F.lit(False))
-        bonus = F.when(same, F.lit(intent_weight)).otherwise(F.lit(0.0))
-        relevant = (F.col("sim") >= packs.HIT_SIMILARITY) & (F.col("intent").isNull() | same)
-        scored = scored.select(
-            "qid",
-            "gid",
-            "first_id",
-            "sim",
-            (F.col("sim") + bonus).alias("final"),
-            F.when(relevant, F.col("copies")).otherwise(F.lit(0)).alias("hit"),
-        )
-        last = index.longest <= depth
+        sim = F.col("low")
         if not last:
             scored = materialize(scored, "scored")
+            # Only pairs whose place or hit is not settled by low and low + bound are completed.
+            floor = F.col("low") + F.col("bonus")
+            nearest = smallest_per_group(
+                scored.select("qid", floor.alias("floor")), ["qid"], [F.desc("floor")], k
+            )
+            kth = nearest.groupBy("qid").agg(F.count("*").alias("n"), F.min("floor").alias("kth"))
+            reach = F.col("low") + F.col("bound")
+            open_pairs = (
+                scored.join(bounds, "qid")
+                .join(kth, "qid")
+                .filter(
+                    (F.col("n") < k)
+                    | (reach + F.col("bonus") >= F.col("kth") - EPS)
+                    | (
+                        F.col("counts")
+                        & (F.col("low") < packs.HIT_SIMILARITY)
+                        & (reach >= packs.HIT_SIMILARITY - EPS)
+                    )
+                )
+                .select("qid", "gid", "short")
+            )
+            open_pairs = materialize(open_pairs, "open-pairs")
+            exact = _complete(open_pairs, terms, index, long)
+            scored = materialize(scored.join(exact, ["qid", "gid"], "left"), "completed")
+            sim = F.coalesce("exact", "low")
+        hit = F.when(F.col("counts") & (sim >= packs.HIT_SIMILARITY), F.col("copies"))
+        scored = scored.select(
+            "qid", "gid", "first_id", sim.alias("sim"), (sim + F.col("bonus")).alias("final"),
+            F.coalesce(hit, F.lit(0)).alias("hit"),
+        )
         order = [F.desc(F.round("final", 9)), F.asc("first_id")]
         place = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
         top = scored.withColumn("place", place).filter(F.col("place") <= k)
-        hit = scored.groupBy("qid").agg(F.sum("hit").alias("relevant_hit_count"))
         top = top.select("qid", "gid", "place", "sim", "final")
+        hit_counts = scored.groupBy("qid").agg(F.sum("hit").alias("relevant_hit_count"))
         if last:
             tops.append(top)
-            hits.append(hit)
+            hits.append(hit_counts)
             break
-        # The k-th best so far, counting copies as one: a safe underestimate.
+        # A query stays open while a case not found at all could enter its top k or its hits.
         kth = top.groupBy("qid").agg(F.count("*").alias("n"), F.min("final").alias("kth"))
-        reach = F.col("bound") + F.when(
-            F.col("known").isNotNull(), F.lit(intent_weight)
-        ).otherwise(F.lit(0.0))
+        known = F.when(F.col("known").isNotNull(), F.lit(intent_weight)).otherwise(zero)
         open_ = (
             bounds.join(rest.select("qid", "intent"), "qid")
             .join(intents.withColumn("known", F.lit(True)), "intent", "left")
             .join(kth, "qid", "left")
             .filter(
                 (F.coalesce("n", F.lit(0)) < k)
-                | (reach >= F.col("kth") - EPS)
+                | (F.col("bound") + known >= F.col("kth") - EPS)
                 | (F.col("bound") >= packs.HIT_SIMILARITY - EPS)
             )
             .select("qid")
         )
         open_ = materialize(open_, "open")
         tops.append(top.join(open_, "qid", "left_anti"))
-        hits.append(hit.join(open_, "qid", "left_anti"))
+        hits.append(hit_counts.join(open_, "qid", "left_anti"))
         if open_.limit(1).count() == 0:
             break
         rest = rest.join(open_, "qid", "left_semi")
@@ -287,7 +319,7 @@ def retrieve(
     index: CaseIndex,
     k: int = 3,
     intent_weight: float = packs.INTENT_WEIGHT,
-    depth: int = 256,
+    depth: int = 1024,
 ) -> DataFrame:
     """Long form (query_id, rank, case_id, ..., similarity, final_score, relevant_hit_count).
 
