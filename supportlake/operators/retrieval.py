@@ -215,6 +215,46 @@ def _stand_ins(queries: DataFrame, index: CaseIndex, k: int) -> DataFrame:
     )
 
 
+def _hit(sim: str) -> Column:
+    hit = F.when(F.col("counts") & (F.col(sim) >= packs.HIT_SIMILARITY), F.col("copies"))
+    return F.coalesce(hit, F.lit(0))
+
+
+def _decide_pairs(
+    scored: DataFrame, bounds: DataFrame, terms: DataFrame, index: CaseIndex, long: DataFrame, k: int
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose place among the first k or whose hit is not settled by low and
+    low + bound, with exact `sim`; and (qid, hit) of the settled rest. The first k of a query
+    are always among the former."""
+    floor = (F.col("low") + F.col("bonus")).alias("floor")
+    nearest = smallest_per_group(scored.select("qid", floor), ["qid"], [F.desc("floor")], k)
+    kth = nearest.groupBy("qid").agg(F.count("*").alias("n"), F.min("floor").alias("kth"))
+    reach = F.col("low") + F.coalesce("bound", F.lit(0.0))
+    unsettled = (
+        (F.col("n") < k)
+        | (reach + F.col("bonus") >= F.col("kth") - EPS)
+        | (
+            F.col("counts")
+            & (F.col("low") < packs.HIT_SIMILARITY)
+            & (reach >= packs.HIT_SIMILARITY - EPS)
+        )
+    )
+    judged = (
+        scored.join(bounds, "qid", "left")
+        .join(kth, "qid")
+        .withColumn("unsettled", unsettled)
+        .drop("bound", "n", "kth")
+    )
+    open_pairs = materialize(judged.filter("unsettled"), "open-pairs")
+    exact = _complete(open_pairs.select("qid", "gid", "short"), terms, index, long)
+    completed = open_pairs.drop("sim").join(
+        exact.withColumnRenamed("exact", "sim"), ["qid", "gid"]
+    )
+    rest = judged.filter(~F.col("unsettled")).select("qid", _hit("low").alias("hit"))
+    settled = rest.filter(F.col("hit") > 0).groupBy("qid").agg(F.sum("hit").alias("hit"))
+    return materialize(completed, "completed"), settled
+
+
 def _score_groups(
     queries: DataFrame, index: CaseIndex, k: int, intent_weight: float, depth: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -244,44 +284,21 @@ def _score_groups(
                 (F.col("intent").isNull() | same).alias("counts"),
             )
         )
-        sim = F.col("low")
+        scored = scored.withColumn("sim", F.col("low"))
+        settled = None
         if not last:
             scored = materialize(scored, "scored")
-            # Only pairs whose place or hit is not settled by low and low + bound are completed.
-            floor = F.col("low") + F.col("bonus")
-            nearest = smallest_per_group(
-                scored.select("qid", floor.alias("floor")), ["qid"], [F.desc("floor")], k
-            )
-            kth = nearest.groupBy("qid").agg(F.count("*").alias("n"), F.min("floor").alias("kth"))
-            reach = F.col("low") + F.col("bound")
-            open_pairs = (
-                scored.join(bounds, "qid")
-                .join(kth, "qid")
-                .filter(
-                    (F.col("n") < k)
-                    | (reach + F.col("bonus") >= F.col("kth") - EPS)
-                    | (
-                        F.col("counts")
-                        & (F.col("low") < packs.HIT_SIMILARITY)
-                        & (reach >= packs.HIT_SIMILARITY - EPS)
-                    )
-                )
-                .select("qid", "gid", "short")
-            )
-            open_pairs = materialize(open_pairs, "open-pairs")
-            exact = _complete(open_pairs, terms, index, long)
-            scored = materialize(scored.join(exact, ["qid", "gid"], "left"), "completed")
-            sim = F.coalesce("exact", "low")
-        hit = F.when(F.col("counts") & (sim >= packs.HIT_SIMILARITY), F.col("copies"))
-        scored = scored.select(
-            "qid", "gid", "first_id", sim.alias("sim"), (sim + F.col("bonus")).alias("final"),
-            F.coalesce(hit, F.lit(0)).alias("hit"),
-        )
+            scored, settled = _decide_pairs(scored, bounds, terms, index, long, k)
+        final = (F.col("sim") + F.col("bonus")).alias("final")
+        scored = scored.select("qid", "gid", "first_id", "sim", final, _hit("sim").alias("hit"))
         order = [F.desc(F.round("final", 9)), F.asc("first_id")]
         place = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
         top = scored.withColumn("place", place).filter(F.col("place") <= k)
         top = top.select("qid", "gid", "place", "sim", "final")
-        hit_counts = scored.groupBy("qid").agg(F.sum("hit").alias("relevant_hit_count"))
+        hit_rows = scored.select("qid", "hit")
+        if settled is not None:
+            hit_rows = hit_rows.unionByName(settled)
+        hit_counts = hit_rows.groupBy("qid").agg(F.sum("hit").alias("relevant_hit_count"))
         if last:
             tops.append(top)
             hits.append(hit_counts)
