@@ -1,6 +1,6 @@
 """Language identification by a blended-spectrum string kernel.
 
-Two texts are as alike as the share of character n-grams (n = 1..4) that both hold, each
+Two texts are as alike as the share of character n-grams (n = 1..3) that both hold, each
 length of n-gram with the same weight; how often they stand does not count. Texts of a bounded
 number of landmarks span the Nystroem space; kernel ridge regression, one class against the
 rest, is solved there. A document is scored by products of matrices: which n-grams of the
@@ -12,6 +12,7 @@ model's size does not grow with the corpus. Every document's whole text is score
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,23 +23,24 @@ from pyspark.sql import functions as F
 
 from supportlake.llm.common import arrow_map, materialize
 
-ORDERS = (1, 2, 3, 4)
+ORDERS = (1, 2, 3)
 LANDMARKS = 128
 SAMPLE = 3000
 RIDGE = 1e-3
 #: Columns of the presence matrix: n-grams of the landmarks, those in most of them first.
-FEATURES = 8192
+FEATURES = 6144
 #: Documents in one product.
 BATCH = 128
 UNKNOWN = "und"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def _codes(text: str) -> np.ndarray:
     """Code points in lower case; all that is no letter is one blank, never two in a row."""
-    kept = "".join(c if c.isalpha() else " " for c in text.lower())
-    return np.frombuffer((" " + " ".join(kept.split()) + " ").encode("utf-32-le"), "<u4")
+    kept = _OTHER.sub(" ", text.lower()).strip(" ")
+    return np.frombuffer(f" {kept} ".encode("utf-32-le", "replace"), "<u4")
 
 
 def _grams(codes: np.ndarray, order: int) -> np.ndarray:
@@ -47,8 +49,9 @@ def _grams(codes: np.ndarray, order: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.full(n, order, np.uint64)
     for j in range(order):
-        h = h * _MIX + codes[j : j + n]
-        h ^= h >> np.uint64(29)
+        h += codes[j : j + n]
+        h *= _MIX
+        h ^= h >> np.uint64(32)
     return h
 
 
@@ -58,7 +61,8 @@ def has_letter(text: str) -> bool:
 
 @dataclass
 class Model:
-    """slots: open-addressing table from n-gram hash to column; orders: columns' lengths."""
+    """slots: open-addressing table from n-gram hash to column; orders: columns' lengths,
+    in order."""
 
     keys: np.ndarray
     slots: np.ndarray
@@ -67,32 +71,37 @@ class Model:
     weights: np.ndarray  # (landmark, language)
     languages: list[str]
 
-    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(document, column) 0/1, and the number of distinct n-grams per length, of which
-        only those of the landmarks are known; the norm takes the known ones."""
+    def presence(self, texts: list[str]) -> np.ndarray:
+        """(document, column) 0/1: which of the landmarks' n-grams a text holds."""
         held = np.zeros((len(texts), self.orders.size), np.float32)
         mask = np.uint64(self.slots.size - 1)
         for i, text in enumerate(texts):
             codes = _codes(text).astype(np.uint64)
             for order in ORDERS:
                 g = _grams(codes, order)
-                at = (g >> np.uint64(17)) & mask
+                at = g & mask
                 while g.size:
                     slot = self.slots[at]
-                    ok = slot >= 0
+                    ok = np.flatnonzero(slot >= 0)
                     g, at, slot = g[ok], at[ok], slot[ok]
                     same = self.keys[slot] == g
                     held[i, slot[same]] = 1
-                    g, at = g[~same], (at[~same] + np.uint64(1)) & mask
-        norms = np.stack([held[:, self.orders == o].sum(1) for o in ORDERS], 1)
-        return held, norms
+                    rest = np.flatnonzero(~same)
+                    g, at = g[rest], (at[rest] + np.uint64(1)) & mask
+        return held
+
+    def scaled(self, texts: list[str]) -> np.ndarray:
+        """Presence, each length of n-gram divided by its norm."""
+        held = self.presence(texts)
+        for order in ORDERS:
+            first, last = np.searchsorted(self.orders, [order, order + 1])
+            part = held[:, first:last]
+            part /= np.sqrt(np.maximum(part.sum(1, keepdims=True), 1))
+        return held
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Similarity of each text to each landmark."""
-        held, norms = self.presence(texts)
-        for k, order in enumerate(ORDERS):
-            held[:, self.orders == order] /= np.sqrt(np.maximum(norms[:, k : k + 1], 1))
-        return held @ self.landmarks.T
+        return self.scaled(texts) @ self.landmarks.T
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return self.kernel(texts) @ self.weights
@@ -104,7 +113,7 @@ def _table(keys: np.ndarray) -> np.ndarray:
         size *= 2
     slots, mask = np.full(size, -1, np.int32), size - 1
     for column, key in enumerate(keys.tolist()):
-        at = (key >> 17) & mask
+        at = key & mask
         while slots[at] >= 0:
             at = (at + 1) & mask
         slots[at] = column
@@ -138,10 +147,7 @@ def fit(
         all_keys, _table(all_keys), np.concatenate(orders),
         np.zeros((1, all_keys.size), np.float32), np.zeros((1, 1)), names,
     )
-    held, norms = model.presence([texts[i] for i in chosen])
-    for k, order in enumerate(ORDERS):
-        held[:, model.orders == order] /= np.sqrt(np.maximum(norms[:, k : k + 1], 1)) * len(ORDERS)
-    model.landmarks = held
+    model.landmarks = model.scaled([texts[i] for i in chosen]) / np.float32(len(ORDERS))
     own = model.kernel([texts[i] for i in chosen]).astype(np.float64)
     values, axes = np.linalg.eigh((own + own.T) / 2)
     good = values > 1e-6 * values.max()
