@@ -38,9 +38,8 @@ def arrow_map(
     return df.mapInArrow(task, schema)
 
 
-def salts(spark: SparkSession) -> int:
-    """Number of slices a running sum is cut into; follows the cluster's partition count."""
-    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Slices of a running sum; fewer where it is kept for each of many values.
+SLICES, SLICES_WITHIN = 4096, 128
 
 
 def running_totals(
@@ -54,7 +53,7 @@ def running_totals(
     and added. No group is ever in one task. `within` must have a bounded number of values.
     """
     within = within or []
-    n = salts(df.sparkSession)
+    n = SLICES_WITHIN if within else SLICES
     dealt = df.withColumn("_slice", F.pmod(F.xxhash64(F.col(key)), F.lit(n)))
     before = Window.partitionBy(*within, "_slice").orderBy(key).rowsBetween(
         Window.unboundedPreceding, -1
