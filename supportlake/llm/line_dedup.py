@@ -84,14 +84,21 @@ class Runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _merged(tables: list[DataFrame]) -> DataFrame:
-    return (
-        reduce(DataFrame.unionAll, tables)
-        .groupBy("hash")
-        .agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one. A merge join of sorted buckets; each run has a hash once."""
+    other = b.select("hash", F.col("docs").alias("docs2"), F.col("keeper").alias("keeper2"))
+    zero = F.lit(0)
+    return a.join(other.hint("merge"), "hash", "full").select(
+        "hash",
+        (F.coalesce("docs", zero) + F.coalesce("docs2", zero)).alias("docs"),
+        F.greatest("keeper", "keeper2").alias("keeper"),
     )
 
 
+def _merged(tables: list[DataFrame]) -> DataFrame:
+    return reduce(_merge, tables)
+
+
 def _batch_bounds(lines: DataFrame, batches: int) -> list:
     """Document ids that cut the table into about equal batches."""
     shares = [i / batches for i in range(1, batches)]

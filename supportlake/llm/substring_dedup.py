@@ -3,17 +3,18 @@
 1. Every window of words has an anchor: the least hash of the short word runs inside it. Equal
    windows have equal anchors, so only anchors that are met twice can stand for a recurring
    window. They go into a Bloom filter of bounded size.
-2. Documents without such an anchor are finished. The others' windows, joined to fragments of
-   equal anchor, are confirmed: an anchor with one fragment, met twice, is a recurring passage
-   as it stands; for other anchors, windows are counted one by one, and the stretches of
-   windows that recur are the passages.
-3. Documents are dealt into chunks of bounded size, each passage goes to the chunks that hold
-   its fragment. A chunk's task compiles its passages into an automaton over word numbers and
-   streams the chunk's documents through it; the words of every occurrence go.
-
-A passage in a third of all documents reaches each chunk once, so no key is hot in step 3, and
-counts are pre-aggregated. The filter only saves work: what passes it by chance is counted
-exactly afterwards.
+2. Documents without such an anchor are finished. The others are dealt into chunks of bounded
+   size, in the order in which they lie. Neighbouring windows of one anchor make a fragment.
+3. Passages are confirmed by hashes: an anchor with one fragment, met twice, is a recurring
+   passage as it stands; for other anchors the windows are counted one by one. A chunk is told
+   where in its own documents each of its passages stands first.
+4. A chunk's task compiles the passages, the stretches of confirmed windows in its documents,
+   into an automaton over word numbers and streams the chunk's documents through it; the words
+   of every occurrence go.
+
+A passage in a third of all documents reaches each chunk once, so no key is hot in steps 3 and
+4. Texts move once, and only those of open documents. The filters only save work: what passes
+them by chance is counted exactly afterwards.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from supportlake.llm.common import arrow_map, materialize
 
@@ -57,15 +60,23 @@ def _extreme(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+
+
+def _rolled(h: np.ndarray, width: int, mix: np.uint64 = _MIX) -> np.ndarray:
+    """Hash of every `width` neighbours."""
+    n = h.size - width + 1
+    out = np.zeros(n, np.uint64)
+    for j in range(width):
+        out *= mix
+        out += h[j : j + n]
+    return _scramble(out)
+
+
 def anchors(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `anchor` words, and each window's least one."""
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
-    n = h.size - anchor + 1
-    runs = np.zeros(n, np.uint64)
-    for j in range(anchor):
-        runs *= _MIX
-        runs += h[j : j + n]
-    runs = _scramble(runs)
+    runs = _rolled(_hashes(words), anchor)
     return runs, _extreme(runs, window - anchor + 1, np.minimum)
 
 
@@ -91,29 +102,10 @@ def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _anchor_filter(docs: DataFrame, window: int, anchor: int) -> Broadcast:
-    """Bloom filter of the anchors met at least twice."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [
-                chosen(*anchors(words, window, anchor))
-                for text in batch.column(0)
-                if len(words := (text.as_py() or b"").split()) >= window
-            ]
-            if keys:
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(n)], ["anchor", "n"]
-                )
-
-    spark = docs.sparkSession
-    met = arrow_map(docs.select(F.col("text").cast("binary")), count, "anchor long, n long")
-    twice = materialize(
-        met.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"),
-        "anchors",
-    )
-    total = twice.count()
+def _filter(keys: DataFrame) -> Broadcast:
+    """Bloom filter of the numbers in the column `anchor`."""
+    keys = materialize(keys, "anchors")
+    total = keys.count()
     size = 1 << 16
     while size < min(MOST_BITS, FILTER_BITS * total):
         size *= 2
@@ -128,11 +120,31 @@ def _anchor_filter(docs: DataFrame, window: int, anchor: int) -> Broadcast:
 
     # One row per 32 bits: at most MOST_BITS / 32 rows come to the driver.
     rows = (
-        arrow_map(twice, words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("b"))
+        arrow_map(keys, words, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("b"))
     ).toArrow()
     bits = np.zeros(size // 32, np.uint32)
     bits[rows["at"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(bits.view(np.uint8))
+    return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def _met_twice(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Anchors met at least twice."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [
+                chosen(*anchors(words, window, anchor))
+                for text in batch.column(0)
+                if len(words := (text.as_py() or b"").split()) >= window
+            ]
+            if keys:
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(n)], ["anchor", "n"]
+                )
+
+    met = arrow_map(docs.select(F.col("text").cast("binary")), count, "anchor long, n long")
+    return met.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
 def _fragments(least: np.ndarray, ok: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -151,202 +163,181 @@ def _key(text: bytes) -> bytes:
 
 
 def _split_documents(
-    docs: DataFrame, seen: Broadcast, keep: Callable, window: int, anchor: int
+    docs: DataFrame, seen: Broadcast, keep: Callable, window: int, anchor: int, chunk_bytes: int
 ) -> DataFrame:
-    """A row per document; `text` and `fragments` only where it may hold recurring windows."""
+    """A row per document; `text`, `chunk` and `place` (its number in the chunk) only where it
+    may hold recurring windows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
+        chunk, place, filled = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
-            size, kept, text, keys = [], [], [], []
+            size, kept, text, at = [], [], [], []
             for value in batch.column(1):
                 words = (value.as_py() or b"").split()
-                found = []
+                open_ = False
                 if len(words) >= window:
                     _, least = anchors(words, window, anchor)
-                    ok = _passes(least, seen.value)
-                    if ok.any():
-                        found = [
-                            _key(b" ".join(words[a : b + window - 1]))
-                            for a, b in _fragments(least, ok, MOST_WINDOWS)
-                        ]
+                    open_ = bool(_passes(least, seen.value).any())
                 size.append(len(words))
-                keys.append(list(dict.fromkeys(found)))
-                text.append(b" ".join(words) if found else None)
-                kept.append(None if found else keep(words))
-            n = batch.num_rows
+                kept.append(None if open_ else keep(words))
+                text.append(b" ".join(words) if open_ else None)
+                at.append((chunk, place) if open_ else (None, None))
+                if open_:
+                    place, filled = place + 1, filled + len(text[-1])
+                    if filled >= chunk_bytes:
+                        chunk, place, filled = chunk + 1, 0, 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(row, row + n), pa.int64()),
-                    batch.column(0),
-                    pa.array(size, pa.int64()),
-                    pa.array(kept, pa.string()),
-                    pa.array(text, pa.binary()),
-                    pa.array(keys, pa.list_(pa.binary())),
+                    batch.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.string()),
+                    pa.array(text, pa.binary()), pa.array([c for c, _ in at], pa.int64()),
+                    pa.array([p for _, p in at], pa.int64()),
                 ],
-                ["row_id", "doc_id", "n_words", "kept", "text", "fragments"],
+                ["doc_id", "n_words", "kept", "text", "chunk", "place"],
             )
-            row += n
 
     return arrow_map(
         docs.select("doc_id", F.col("text").cast("binary")),
         task,
-        f"row_id long, doc_id {kind}, n_words long, kept string, text binary, "
-        "fragments array<binary>",
+        f"doc_id {kind}, n_words long, kept string, text binary, chunk long, place long",
     )
 
 
-def _passages(open_docs: DataFrame, seen: Broadcast, window: int, anchor: int) -> DataFrame:
-    """(fragment, passage): stretches of recurring windows of each distinct fragment."""
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(chunk, rows without it) of rows that lie together by their first column."""
+    chunk, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns))):
+            if row[0] != chunk:
+                if held:
+                    yield chunk, held
+                chunk, held = row[0], []
+            held.append(row[1:])
+    if held:
+        yield chunk, held
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                tally: dict[tuple[int, bytes], int] = {}
-                for value in batch.column(0).slice(at, 200):
-                    words = value.as_py().split()
-                    _, least = anchors(words, window, anchor)
-                    ok = _passes(least, seen.value)
-                    for a, b in _fragments(least, ok, MOST_WINDOWS):
-                        one = int(least[a]), b" ".join(words[a : b + window - 1])
-                        tally[one] = tally.get(one, 0) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array([k for k, _ in tally], np.uint64).view(np.int64)),
-                        pa.array([t for _, t in tally], pa.binary()),
-                        pa.array(tally.values(), pa.int64()),
-                    ],
-                    ["anchor", "text", "n"],
-                )
 
-    found = materialize(
-        arrow_map(open_docs.select("text"), cut, "anchor long, text binary, n long")
-        .groupBy("anchor", "text")
-        .agg(F.sum("n").alias("n")),
-        "fragments",
-    )
-    per_anchor = found.groupBy("anchor").agg(
-        (F.count(F.lit(1)) == 1).alias("alone"), F.sum("n").alias("met")
-    )
-    judged = found.join(
-        per_anchor.select("anchor", (F.col("alone") & (F.col("met") > 1)).alias("whole")), "anchor"
-    )
+def _places(open_docs: DataFrame, judge: Callable, schema: str) -> DataFrame:
+    """What `judge(tally, at, words)` tallies up within a chunk: key -> [count, where first]."""
+    width = schema.count(",") - 2
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                keys, key, n, place = [], [], [], []
-                for text, times in zip(
-                    batch.column(0).slice(at, 1000).to_pylist(),
-                    batch.column(1).slice(at, 1000).to_pylist(),
-                ):
-                    words, own = text.split(), _key(text)
-                    for i in range(len(words) - window + 1):
-                        keys.append(_key(b" ".join(words[i : i + window])))
-                        key.append(own)
-                        n.append(times)
-                        place.append(i)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, docs in _by_chunk(batches):
+            tally: dict[tuple, list[int]] = {}
+            for place, text in docs:
+                judge(tally, place << 32, text.split())
+            columns = list(zip(*tally)) or [()] * width
+            kinds = [pa.binary() if c and isinstance(c[0], bytes) else pa.int64() for c in columns]
+            if tally:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys, pa.binary()), pa.array(key, pa.binary()),
-                        pa.array(n, pa.int64()), pa.array(place, pa.int32()),
+                        *(pa.array(c, k) for c, k in zip(columns, kinds)),
+                        pa.array([chunk] * len(tally), pa.int64()),
+                        pa.array([n for n, _ in tally.values()], pa.int64()),
+                        pa.array([at for _, at in tally.values()], pa.int64()),
                     ],
-                    ["window", "fragment", "n", "place"],
+                    [f.split()[0] for f in schema.split(", ")],
                 )
 
-    judged = materialize(judged.select("text", "n", "whole"), "judged")
-    apart = arrow_map(
-        judged.filter("not whole").select("text", "n"),
-        windows,
-        "window binary, fragment binary, n long, place int",
-    )
-    again = apart.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1")
-    places = (
-        apart.join(again, "window")
-        .groupBy("fragment")
-        .agg(F.collect_list("place").alias("places"))
-    )
+    return arrow_map(open_docs.select("chunk", "place", "text"), task, schema)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, passage = [], []
-            for text, places_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, own, at = text.split(), _key(text), sorted(places_)
-                first = 0
-                for i in range(1, len(at) + 1):
-                    if i == len(at) or at[i] != at[i - 1] + 1:
-                        key.append(own)
-                        passage.append(b" ".join(words[at[first] : at[i - 1] + window]))
-                        first = i
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.binary()), pa.array(passage, pa.binary())],
-                ["fragment", "passage"],
-            )
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([_key(t) for t in batch.column(0).to_pylist()], pa.binary()),
-                    batch.column(0),
-                ],
-                ["fragment", "passage"],
-            )
+def _passages(open_docs: DataFrame, seen: Broadcast, window: int, anchor: int) -> DataFrame:
+    """(chunk, at, windows): where a chunk's passages stand, as place in the chunk << 32 | word,
+    and how many windows each has."""
+
+    def fragments(tally: dict, at: int, words: list[bytes]) -> None:
+        _, least = anchors(words, window, anchor)
+        keys = least.view(np.int64)
+        for a, b in _fragments(least, _passes(least, seen.value), MOST_WINDOWS):
+            one = int(keys[a]), b - a, _key(b" ".join(words[a : b + window - 1]))
+            tally.setdefault(one, [0, at | a])[0] += 1
 
-    kind = "fragment binary, passage binary"
-    keyed = arrow_map(judged.filter("not whole").select("text"), whole, kind)
-    partial = arrow_map(
-        keyed.join(places, "fragment").select("passage", "places"), runs, kind
+    found = materialize(
+        _places(
+            open_docs, fragments,
+            "anchor long, windows long, fragment binary, chunk long, n long, at long",
+        ),
+        "fragments",
+    )
+    judged = found.groupBy("anchor").agg(
+        (F.min("fragment") == F.max("fragment")).alias("alone"), F.sum("n").alias("met")
+    ).select("anchor", (F.col("alone") & (F.col("met") > 1)).alias("whole"))
+    judged = materialize(judged, "judged")
+    whole = found.join(judged.filter("whole"), "anchor").select("chunk", "at", "windows")
+    apart = _filter(judged.filter("not whole").select("anchor"))
+
+    def windows(tally: dict, at: int, words: list[bytes]) -> None:
+        _, least = anchors(words, window, anchor)
+        for a in np.flatnonzero(_passes(least, apart.value) & _passes(least, seen.value)).tolist():
+            one = (_key(b" ".join(words[a : a + window])),)
+            tally.setdefault(one, [0, at | a])[0] += 1
+
+    # At most one row for each window and chunk, so no window is a hot key.
+    counted = _places(open_docs, windows, "window binary, chunk long, n long, at long")
+    again = counted.select(
+        "chunk", "at", F.sum("n").over(Window.partitionBy("window")).alias("met")
+    )
+    return whole.unionAll(
+        again.filter("met > 1").select("chunk", "at", F.lit(1).cast("long").alias("windows"))
     )
-    return arrow_map(judged.filter("whole").select("text"), whole, kind).unionAll(partial)
 
 
-def _strip(rows: DataFrame, keep: Callable, kind: str) -> DataFrame:
-    """Per chunk, in order: passages, then documents."""
+def _strip(rows: DataFrame, keep: Callable, window: int, kind: str) -> DataFrame:
+    """A chunk's rows lie together: passages (text is null), then documents by place."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        chunk, number, automaton, ready = None, {}, None, False
-        for batch in batches:
-            ids, size, gone, kept = [], [], [], []
-            columns = [batch.column(i) for i in range(4)]
-            for i in range(batch.num_rows):
-                c, document, text = (columns[k][i].as_py() for k in (0, 1, 2))
-                if c != chunk:
-                    chunk, number, ready = c, {}, False
-                    automaton = ahocorasick.Automaton(
-                        ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE
-                    )
-                words = text.split()
-                if not document:
+        for _, held in _by_chunk(batches):
+            docs = {at: text.split() for at, _, text, _ in held if text is not None}
+            hashes = {at: _hashes(words) for at, words in docs.items() if len(words) >= window}
+            # Both hashes of all windows, 128 bits together.
+            rolled = {at: [_rolled(h, window, m) for m in (_MIX, _MIX2)] for at, h in hashes.items()}
+            known = [
+                np.unique(np.concatenate([np.zeros(0, np.uint64), *(
+                    rolled[at >> 32][k][at & 0xFFFFFFFF : (at & 0xFFFFFFFF) + n]
+                    for at, n, text, _ in held
+                    if text is None
+                )]))
+                for k in (0, 1)
+            ]
+            number: dict[bytes, int] = {}
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            # A document's stretches of confirmed windows are its passages.
+            for at, (one, two) in rolled.items():
+                ok = np.isin(one, known[0]) & np.isin(two, known[1])
+                edge = np.diff(np.concatenate([[0], ok.astype(np.int8), [0]]))
+                for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+                    words = docs[at][a : b - 1 + window]
                     key = tuple(number.setdefault(w, len(number) + 1) for w in words)
                     automaton.add_word(key, len(key))
+            if len(automaton):
+                automaton.make_automaton()
+            size, gone, kept, ids = [], [], [], []
+            for _, _, text, doc_id in held:
+                if text is None:
                     continue
-                if not ready:
-                    ready = True
-                    if len(automaton):
-                        automaton.make_automaton()
+                words = text.split()
                 hit = np.zeros(len(words) + 1, np.int64)
                 if len(automaton):
                     for end, length in automaton.iter(tuple(number.get(w, 0) for w in words)):
                         hit[end + 1 - length] += 1
                         hit[end + 1] -= 1
                 stay = np.cumsum(hit)[:-1] == 0
-                ids.append(i)
+                ids.append(doc_id)
                 size.append(len(words))
                 gone.append(int((~stay).sum()))
                 kept.append(keep([w for w, s in zip(words, stay.tolist()) if s]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    columns[3].take(pa.array(ids, pa.int64())),
-                    pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
+                    pa.array(ids, id_kind), pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
                     pa.array(kept, pa.string()),
                 ],
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
+    id_kind = to_arrow_type(rows.schema["doc_id"].dataType)
     return arrow_map(rows, task, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
@@ -370,25 +361,21 @@ def remove_repeats(
     gives no rows. Columns other than doc_id and text are not used.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = _anchor_filter(docs, window, anchor)
-    split = materialize(_split_documents(docs, seen, keep, window, anchor), "split")
+    seen = _filter(_met_twice(docs, window, anchor))
+    split = materialize(
+        _split_documents(docs, seen, keep, window, anchor, chunk_bytes), "split"
+    )
     done = split.filter("text is null").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept"
     )
     open_docs = split.filter("text is not null")
-    volume = open_docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = 1 + volume // chunk_bytes
-    dealt = open_docs.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(chunks)))
-    passages = _passages(open_docs, seen, window, anchor)
-    wanted = dealt.select("chunk", F.explode("fragments").alias("fragment")).distinct()
-    sent = wanted.join(passages, "fragment").select(
-        "chunk", F.lit(False).alias("document"), F.col("passage").alias("text"),
+    passages = _passages(open_docs, seen, window, anchor).select(
+        "chunk", "at", "windows", F.lit(None).cast("binary").alias("text"),
         F.lit(None).cast(kind).alias("doc_id"),
     )
-    streams = dealt.select("chunk", F.lit(True).alias("document"), "text", "doc_id")
-    rows = (
-        sent.unionAll(streams)
-        .repartition("chunk")
-        .sortWithinPartitions("chunk", "document")
+    streams = open_docs.select(
+        "chunk", F.col("place").alias("at"), F.lit(0).cast("long").alias("windows"), "text",
+        "doc_id",
     )
-    return done.unionAll(_strip(rows, keep, kind))
+    rows = passages.unionAll(streams).repartition("chunk").sortWithinPartitions("chunk")
+    return done.unionAll(_strip(rows, keep, window, kind))
