@@ -9,7 +9,7 @@
    passage as it stands; for other anchors the windows are counted one by one. A chunk is told
    where in its own documents each of its passages stands first.
 4. A chunk's task compiles the passages, the stretches of confirmed windows in its documents,
-   into an automaton over word numbers and streams the chunk's documents through it; the words
+   into an automaton over numbered words and streams the chunk's documents through it; the words
    of every occurrence go.
 
 A passage in a third of all documents reaches each chunk once, so no key is hot in steps 3 and
@@ -283,6 +283,14 @@ def _passages(open_docs: DataFrame, seen: Broadcast, window: int, anchor: int) -
     )
 
 
+def _letters(number: int) -> str:
+    """Three letters for a word's number, from an alphabet for each place: an automaton's nodes
+    then have few branches, and words cannot be met out of step."""
+    return chr(0x1000 + number % 128) + chr(0x2000 + number // 128 % 128) + chr(
+        0x3000 + number // 16384
+    )
+
+
 def _strip(rows: DataFrame, keep: Callable, window: int, kind: str) -> DataFrame:
     """A chunk's rows lie together: passages (text is null), then documents by place."""
 
@@ -302,16 +310,18 @@ def _strip(rows: DataFrame, keep: Callable, window: int, kind: str) -> DataFrame
                 )]))
                 for k in (0, 1)
             ]
-            number: dict[bytes, int] = {}
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            letters: dict[bytes, str] = {}
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             # A document's stretches of confirmed windows are its passages.
             for at, (one, two) in rolled.items():
                 ok = np.isin(one, known[0]) & np.isin(two, known[1])
                 edge = np.diff(np.concatenate([[0], ok.astype(np.int8), [0]]))
                 for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
                     words = docs[at][a : b - 1 + window]
-                    key = tuple(number.setdefault(w, len(number) + 1) for w in words)
-                    automaton.add_word(key, len(key))
+                    for w in words:
+                        if w not in letters:
+                            letters[w] = _letters(len(letters) + 1)
+                    automaton.add_word("".join(map(letters.__getitem__, words)), len(words))
             if len(automaton):
                 automaton.make_automaton()
             size, gone, kept, ids = [], [], [], []
@@ -321,9 +331,11 @@ def _strip(rows: DataFrame, keep: Callable, window: int, kind: str) -> DataFrame
                 words = text.split()
                 hit = np.zeros(len(words) + 1, np.int64)
                 if len(automaton):
-                    for end, length in automaton.iter(tuple(number.get(w, 0) for w in words)):
-                        hit[end + 1 - length] += 1
-                        hit[end + 1] -= 1
+                    line = "".join([letters.get(w, other) for w in words])
+                    for end, length in automaton.iter(line):
+                        end = (end + 1) // 3
+                        hit[end - length] += 1
+                        hit[end] -= 1
                 stay = np.cumsum(hit)[:-1] == 0
                 ids.append(doc_id)
                 size.append(len(words))
@@ -337,7 +349,7 @@ def _strip(rows: DataFrame, keep: Callable, window: int, kind: str) -> DataFrame
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    id_kind = to_arrow_type(rows.schema["doc_id"].dataType)
+    id_kind, other = to_arrow_type(rows.schema["doc_id"].dataType), _letters(0)
     return arrow_map(rows, task, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
