@@ -283,6 +283,13 @@ def _passages(open_docs: DataFrame, seen: Broadcast, window: int, anchor: int) -
     )
 
 
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of `x` are in `ordered`, without sorting it again for each document."""
+    if not ordered.size:
+        return np.zeros(x.size, bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), ordered.size - 1)] == x
+
+
 def _letters(number: int) -> str:
     """Three letters for a word's number, from an alphabet for each place: an automaton's nodes
     then have few branches, and words cannot be met out of step."""
@@ -314,7 +321,7 @@ def _strip(rows: DataFrame, keep: Callable, window: int, kind: str) -> DataFrame
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             # A document's stretches of confirmed windows are its passages.
             for at, (one, two) in rolled.items():
-                ok = np.isin(one, known[0]) & np.isin(two, known[1])
+                ok = _among(one, known[0]) & _among(two, known[1])
                 edge = np.diff(np.concatenate([[0], ok.astype(np.int8), [0]]))
                 for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
                     words = docs[at][a : b - 1 + window]
