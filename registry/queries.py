@@ -1103,13 +1103,13 @@ def language_gate(w):
 
 @register("cluster_summary")
 def cluster_summary(w):
-    docs = w.table("documents").select("doc_id", "lang", "source")
+    docs = w.table("documents").select("doc_id", "text", "lang", "source")
     return clusters.cluster_summary(w.clustering, docs, "doc_id")
 
 
 @register("cluster_summary_refined")
 def cluster_summary_refined(w):
-    docs = w.table("documents").select("doc_id", "lang", "source")
+    docs = w.table("documents").select("doc_id", "text", "lang", "source")
     return clusters.cluster_summary(w.refined, docs, "doc_id")
 
 
@@ -1127,7 +1127,7 @@ def cluster_representatives(w):
 @register("kmeans_sweep")
 def kmeans_sweep(w):
     settings = tfidf.with_stop_words(tfidf.REFINE, probe.STOP_WORDS)
-    return clusters.kmeans_sweep(w.table("documents"), "doc_id", "text", settings, restarts=1)
+    return clusters.kmeans_sweep(w.table("documents"), "doc_id", "text", settings)
 
 
 @register("residual_sample")

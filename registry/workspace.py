@@ -134,14 +134,12 @@ class Workspace:
     def clustering(self) -> clusters.Clustering:
         return clusters.cluster_queries(
             self.table("documents"), "doc_id", "text", self._settings(tfidf.EXPLORE), k=7,
-            restarts=2,
         )
 
     @cached_property
     def refined(self) -> clusters.Clustering:
         return clusters.cluster_queries(
             self.table("documents"), "doc_id", "text", self._settings(tfidf.REFINE), k=8,
-            restarts=2,
         )
 
     @cached_property

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -33,15 +34,18 @@ class IntentModel:
     def save(self, path: str) -> None:
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        spark = self.vocab.sparkSession
+        settings = spark.createDataFrame([(json.dumps(asdict(self.settings)),)], "settings string")
+        settings.coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 
     @staticmethod
-    def load(
-        spark: SparkSession, path: str, settings: tfidf.Vectorizer = tfidf.CLASSIFY
-    ) -> IntentModel:
+    def load(spark: SparkSession, path: str) -> IntentModel:
+        saved = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+        saved["stop_words"] = tuple(saved["stop_words"])
         return IntentModel(
             spark.read.parquet(f"{path}/vocabulary"),
             PipelineModel.load(f"{path}/pipeline"),
-            settings,
+            tfidf.Vectorizer(**saved),
         )
 
     def predict(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

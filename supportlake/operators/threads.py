@@ -48,11 +48,11 @@ def primary_edges(messages: DataFrame) -> DataFrame:
 def thread_roots(messages: DataFrame) -> DataFrame:
     """Inbound messages whose parent is null or not in the table."""
     present = messages.select(F.col("tweet_id").alias("parent_id"))
-    return (
-        messages.filter(F.col("inbound"))
-        .join(present, "parent_id", "left_anti")
-        .select("tweet_id")
-    )
+    inbound = messages.filter(F.col("inbound"))
+    # Messages without a parent are no part of the join: they would all be one key of it.
+    starts = inbound.filter(F.col("parent_id").isNull()).select("tweet_id")
+    orphans = inbound.filter(F.col("parent_id").isNotNull()).join(present, "parent_id", "left_anti")
+    return starts.unionByName(orphans.select("tweet_id"))
 
 
 def walk(messages: DataFrame) -> DataFrame:
@@ -103,6 +103,8 @@ def walk(messages: DataFrame) -> DataFrame:
         nodes = active
         for part in finished:
             nodes = nodes.unionByName(part)
+    else:
+        raise RuntimeError(f"a reply chain did not end within {MAX_ROUNDS} doublings")
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)

@@ -63,7 +63,9 @@ def inspect(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def grade(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = sources.brand_filter(sources.last_version(_raw(spark, a)), a.brand)
+    # The filter comes first: a later version that no longer names the brand is no version of
+    # its conversation, and texts of other brands are not shuffled.
+    rows = sources.last_version(sources.brand_filter(_raw(spark, a), a.brand))
     rows = materialize(rows, "messages")
     profiles = spark.read.parquet(a.profiles) if a.profiles else None
     graded = support.graded_threads(rows, a.brand, profiles=profiles, ignore_case=True)
@@ -117,7 +119,7 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def agent(spark: SparkSession, a: argparse.Namespace) -> None:
     model = IntentModel.load(spark, a.model)
-    rows = sources.last_version(_raw(spark, a)).filter("inbound")
+    rows = sources.last_version(_raw(spark, a).filter("inbound"))
     out = support.run_agent(rows, model, _index(spark, a.threads))
     tables.write_report(out, f"{a.out}/decisions")
 

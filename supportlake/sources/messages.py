@@ -68,7 +68,7 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
 def parse_created_at(created_at: Column) -> Column:
     """`Tue Oct 31 22:10:47 +0000 2017` as a timestamp; null where it does not parse."""
-    return F.try_to_timestamp(F.substring(created_at, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    return F.try_to_timestamp(F.substr(created_at, F.lit(5)), F.lit("MMM dd HH:mm:ss Z yyyy"))
 
 
 def coerce_messages(raw: DataFrame) -> DataFrame:
