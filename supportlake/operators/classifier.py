@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportlake.operators import tfidf
-from supportlake.operators.clusters import sparse_vectors, vocabulary
+from supportlake.operators.clusters import dealt, sparse_vectors, vocabulary
 from supportlake.operators.intents import class_weights
 from supportlake.operators.sampling import stratified_split
-from supportlake.session import materialize, spread
+from supportlake.session import materialize
 
 
 @dataclass
@@ -81,13 +81,15 @@ def train(
 ) -> IntentModel:
     """Fit on labelled rows. regParam = 1 / (c * n) gives the usual penalised objective, as
     balanced weights sum to n."""
+    if settings.max_features is None:
+        raise ValueError("the classifier needs a vocabulary cut to max_features")
     n = docs.count()
     vocab = materialize(vocabulary(tfidf.fit(docs, id_col, text_col, settings)), "vocab")
     vectors = _vectors(docs, id_col, text_col, vocab, settings)
     ids = docs.select(F.col(id_col).alias("id"), F.col(label).alias("label_text"))
     balance = class_weights(docs, label).select(F.col(label).alias("label_text"), "weight")
     # One row per class: broadcast.
-    features = spread(
+    features = dealt(
         materialize(vectors.join(ids, "id").join(F.broadcast(balance), "label_text"), "features")
     )
     indexer = StringIndexer(

@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from supportlake.operators import tfidf
 from supportlake.operators.sampling import sample_key, smallest_per_group
-from supportlake.session import materialize, spread
+from supportlake.session import materialize
 
 
 def vocabulary(stats: DataFrame) -> DataFrame:
@@ -24,17 +25,34 @@ def vocabulary(stats: DataFrame) -> DataFrame:
 def sparse_vectors(weights: DataFrame, vocab: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, features) for every row of `ids`; documents without a known term get zeros.
 
-    The one row function of the package: the ML vector type has no native constructor for
-    index and value arrays. A row holds at most `size` entries.
+    A written table: the parts of a sparse vector are stored as the struct that the ML vector
+    type is made of and read back as vectors, so no row goes through Python. A row holds at
+    most `size` entries.
     """
-    build = F.udf(lambda i, w: SparseVector(size, i or [], w or []), VectorUDT())
-    pair = F.struct(F.col("term_index").alias("i"), F.col("weight").alias("w"))
+    pair = F.struct(
+        F.col("term_index").cast("int").alias("i"), F.col("weight").cast("double").alias("w")
+    )
     packed = (
         weights.join(F.broadcast(vocab.select("term", "term_index")), "term")
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
     )
-    return ids.join(packed, "id", "left").select("id", build("pairs.i", "pairs.w").alias("features"))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),  # 0: sparse
+        F.lit(size).cast("int").alias("size"),
+        F.coalesce("pairs.i", F.array().cast("array<int>")).alias("indices"),
+        F.coalesce("pairs.w", F.array().cast("array<double>")).alias("values"),
+    )
+    rows = ids.join(packed, "id", "left").select("id", vector.alias("features"))
+    kinds = T.StructType([rows.schema["id"], T.StructField("features", VectorUDT())])
+    return materialize(rows, "vectors", kinds)
+
+
+def dealt(features: DataFrame) -> DataFrame:
+    """Rows by a hash of their id, in order, over the session's shuffle partitions: what a fit
+    draws depends neither on the cores nor on the table's size and files."""
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return features.repartition(parts, "id").sortWithinPartitions("id")
 
 
 @dataclass
@@ -58,10 +76,8 @@ def _features(
     vocab = materialize(vocabulary(tfidf.fit(docs, id_col, text_col, settings)), "vocab")
     weights = materialize(tfidf.transform(docs, id_col, text_col, vocab, settings), "weights")
     ids = docs.select(F.col(id_col).alias("id"))
-    features = materialize(
-        sparse_vectors(weights, vocab, ids, max(1, vocab.count())), "features"
-    )
-    return vocab, weights, spread(features)
+    features = sparse_vectors(weights, vocab, ids, max(1, vocab.count()))
+    return vocab, weights, dealt(features)
 
 
 def _best_model(features: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:

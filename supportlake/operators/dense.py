@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions import packs
+from supportlake.operators.retrieval import first_ids
 from supportlake.operators.sampling import sample_key, smallest_per_group
 from supportlake.session import materialize
 
@@ -32,10 +33,11 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 
 class DenseIndex:
-    """Cells and blocks over a case table (case_id, embedding, intent)."""
+    """Cells and blocks over a case table (case_id, embedding, intent). Cases without an
+    embedding are left out."""
 
-    def __init__(self, cases: DataFrame, keep: int = 10, block_rows: int = 4096):
-        self.keep = keep
+    def __init__(self, cases: DataFrame, block_rows: int = 4096):
+        cases = cases.filter(F.col("embedding").isNotNull())
         key = F.md5(
             F.concat_ws(
                 "\u0001",
@@ -47,16 +49,13 @@ class DenseIndex:
             "case_id", F.col("intent").cast("string").alias("intent"), "embedding", key.alias("gid")
         )
         self.cases = materialize(keyed, "dense-cases")
-        ids = smallest_per_group(
-            self.cases.select("gid", "case_id"), ["gid"], [F.col("case_id")], keep
-        )
-        first = ids.groupBy("gid").agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"))
         sizes = self.cases.groupBy("gid").agg(
             F.count("*").alias("copies"),
             F.first("intent").alias("case_intent"),
             F.first("embedding").alias("embedding"),
+            F.min("case_id").alias("first_id"),
         )
-        self.groups = materialize(sizes.join(first, "gid"), "dense-groups")
+        self.groups = materialize(sizes, "dense-groups")
         n_groups = self.groups.count()
         # At most MAX_PIVOTS vectors reach the driver and the tasks.
         n_pivots = min(MAX_PIVOTS, max(1, n_groups // block_rows))
@@ -94,9 +93,7 @@ class DenseIndex:
                     angle=np.arccos(cos[np.arange(len(part)), best]),
                 )
 
-        source = self.groups.withColumn("first_id", F.element_at("case_ids", 1)).select(
-            "gid", "first_id", "copies", "case_intent", "embedding"
-        )
+        source = self.groups.select("gid", "first_id", "copies", "case_intent", "embedding")
         kinds = dict(source.dtypes)
         schema = ", ".join(f"{c} {kinds[c]}" for c in source.columns)
         return source.mapInPandas(nearest, f"{schema}, pivot int, angle double")
@@ -206,11 +203,10 @@ def dense_retrieve(
     intent_weight: float = packs.INTENT_WEIGHT,
 ) -> DataFrame:
     """Long form (query_id, predicted_intent, rank, case_id, case_intent, similarity,
-    final_score, relevant_hit_count) of queries (query_id, embedding, intent)."""
-    if k > index.keep:
-        raise ValueError(f"index keeps {index.keep} ids per group, k is {k}")
+    final_score, relevant_hit_count) of queries (query_id, embedding, intent). A query without
+    an embedding has no rows."""
     asked = materialize(
-        queries.select(
+        queries.filter(F.col("embedding").isNotNull()).select(
             F.col("query_id").alias("qid"), "embedding", F.col("intent").cast("string").alias("intent")
         ),
         "dense-queries",
@@ -242,9 +238,13 @@ def dense_retrieve(
     found = materialize(first.unionByName(second), "dense-found")
     hits = found.groupBy("qid").agg(F.sum("hits").alias("relevant_hit_count"))
     order = [F.desc(F.round("final", 9))]
-    near = smallest_per_group(found, ["qid"], [*order, F.asc("first_id")], k)
-    expanded = near.join(index.groups.select("gid", "case_ids", "case_intent"), "gid").select(
-        "qid", "sim", "final", "case_intent", F.explode("case_ids").alias("case_id")
+    near = materialize(
+        smallest_per_group(found, ["qid"], [*order, F.asc("first_id")], k), "dense-near"
+    )
+    expanded = (
+        near.join(index.groups.select("gid", "case_intent"), "gid")
+        .join(first_ids(index.cases, near, k), "gid")
+        .select("qid", "sim", "final", "case_intent", "case_id")
     )
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order, F.asc("case_id")))
     return (

@@ -16,7 +16,6 @@ from supportlake.operators.sampling import smallest_per_group
 from supportlake.session import materialize
 
 PROFILE_SIZE = 300
-MAX_PROFILE_ROWS = 200_000
 
 
 def trigrams(text: Column) -> Column:
@@ -51,15 +50,14 @@ def language_scores(
 ) -> DataFrame:
     """(id, lang, score) for the languages that share a trigram with the text.
 
-    The profile is `size` rows per language and broadcast while it is that small: trigrams
-    meet it where the text is read, and only partial sums per (id, lang) are shuffled.
+    The profile is a written table of `size` rows per language: its known size lets Spark
+    broadcast it, so trigrams meet it where the text is read and only partial sums per
+    (id, lang) are shuffled.
     """
-    small = profiles.limit(MAX_PROFILE_ROWS + 1).count() <= MAX_PROFILE_ROWS
-    side = F.broadcast(profiles) if small else profiles
     grams = docs.select(
         F.col(id_col).alias("id"), F.explode(trigrams(F.col(text_col))).alias("gram")
     )
-    return grams.join(side, "gram").groupBy("id", "lang").agg(F.sum("gain").alias("score"))
+    return grams.join(profiles, "gram").groupBy("id", "lang").agg(F.sum("gain").alias("score"))
 
 
 def detect_language(

@@ -55,35 +55,34 @@ def _text_key(*cols: str) -> Column:
     return F.md5(F.concat_ws("\u0001", *parts))
 
 
+def first_ids(cases: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(gid, case_id): the first k case ids of every group in `found`."""
+    wanted = found.select("gid").distinct()
+    members = cases.select("gid", "case_id").join(wanted, "gid", "left_semi")
+    return smallest_per_group(members, ["gid"], [F.col("case_id")], k)
+
+
 class CaseIndex:
     """Written index over a case table: (case_id, cleaned_problem, intent, ...).
 
-    groups    one row per distinct (text, intent): size and its first `keep` case ids
+    groups    one row per distinct (text, intent): size and its first case id
     postings  (term, group, weight, bucket), bucket 0 the heaviest
     stats     (term, df, idf); df counts cases, as the weights need
     lengths   (term, postings, and how many of them up to each bucket)
     """
 
-    def __init__(
-        self, cases: DataFrame, settings: tfidf.Vectorizer = tfidf.RETRIEVE, keep: int = 10
-    ):
+    def __init__(self, cases: DataFrame, settings: tfidf.Vectorizer = tfidf.RETRIEVE):
         self.settings = settings
-        self.keep = keep
         self.cases = materialize(
             cases.withColumn("gid", _text_key("cleaned_problem", "intent")), "cases"
         )
-        ids = smallest_per_group(
-            self.cases.select("gid", "case_id"), ["gid"], [F.col("case_id")], keep
-        )
-        first = ids.groupBy("gid").agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"))
         sizes = self.cases.groupBy("gid").agg(
             F.count("*").alias("copies"),
             F.first("cleaned_problem").alias("cleaned_problem"),
             F.first("intent").alias("case_intent"),
+            F.min("case_id").alias("first_id"),
         )
-        self.groups = materialize(
-            sizes.join(first, "gid").withColumn("first_id", F.element_at("case_ids", 1)), "groups"
-        )
+        self.groups = materialize(sizes, "groups")
         n_cases = self.cases.count()
         counts = materialize(
             tfidf.term_counts(self.groups, "gid", "cleaned_problem", settings).join(
@@ -343,8 +342,6 @@ def retrieve(
     `queries` has query_id, cleaned_text, intent (null: no bonus, every hit counts). Ranked by
     final score to nine digits, then case id. `similarity` and `final_score` are unrounded.
     """
-    if k > index.keep:
-        raise ValueError(f"index keeps {index.keep} ids per group, k is {k}")
     keyed = materialize(
         queries.select(
             "query_id", "cleaned_text", "intent", _text_key("cleaned_text", "intent").alias("qid")
@@ -356,13 +353,13 @@ def retrieve(
     )
     distinct = materialize(distinct, "distinct")
     top, hits = _score_groups(distinct, index, k, intent_weight, depth)
-    members = index.groups.select("gid", "case_ids")
-    expanded = top.join(members, "gid").select(
-        "qid", "sim", "final", F.explode("case_ids").alias("case_id")
+    top = materialize(top, "top")
+    expanded = top.join(first_ids(index.cases, top, k), "gid").select(
+        "qid", "sim", "final", "case_id"
     )
     rank = F.row_number().over(
         Window.partitionBy("qid").orderBy(F.desc(F.round("final", 9)), F.asc("case_id"))
-    )  # at most k groups of `keep` ids
+    )  # at most k groups of k ids
     ranked = (
         expanded.withColumn("rank", rank)
         .filter(F.col("rank") <= k)

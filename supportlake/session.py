@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Runtime settings every job here relies on. Skewed equi-joins are split by AQE, also where
 # the split costs one more shuffle.
@@ -62,13 +63,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the scratch folder and read it back: computed once, lineage cut,
-    and a lost executor costs a re-read instead of a re-run."""
+def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Write `df` to the scratch folder and read it back, as `schema` if given: computed once,
+    lineage cut, and a lost executor costs a re-read instead of a re-run."""
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 SMALL_BYTES = 256 * 1024 * 1024

@@ -62,7 +62,7 @@ def make(seed, n_cases, n_queries):
     return queries, cases
 
 
-@pytest.mark.parametrize("seed, depth, k", [(1, 4, 3), (2, 256, 2), (3, 1, 1)])
+@pytest.mark.parametrize("seed, depth, k", [(1, 4, 3), (2, 256, 2), (3, 1, 1), (4, 16, 12)])
 def test_topk_equals_brute_force(spark, seed, depth, k):
     queries, cases = make(seed, 90, 40)
     case_df = spark.createDataFrame(cases, "case_id string, cleaned_problem string, intent string")
