@@ -12,7 +12,7 @@ model's size does not grow with the corpus. Every document's whole text is score
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from supportlake.llm.common import arrow_map, materialize
 
+#: From 1 on, without a gap.
 ORDERS = (1, 2, 3)
 LANDMARKS = 128
 SAMPLE = 3000
@@ -33,26 +34,31 @@ FEATURES = 6144
 BATCH = 128
 UNKNOWN = "und"
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_OTHER = re.compile(r"[\W\d_]+")
+BLANK = 32
 
 
-def _codes(text: str) -> np.ndarray:
-    """Code points in lower case; all that is no letter is one blank, never two in a row."""
-    kept = _OTHER.sub(" ", text.lower()).strip(" ")
-    return np.frombuffer(f" {kept} ".encode("utf-32-le", "replace"), "<u4")
+@functools.cache
+def _folded() -> np.ndarray:
+    """Each code point's lower case, BLANK if it is no letter."""
+    out = np.full(0x110000, BLANK, np.uint32)
+    for point in range(0x110000):
+        c = chr(point)
+        if c.isalnum() and not c.isdecimal():
+            low = c.lower()
+            out[point] = ord(low) if len(low) == 1 else point
+    return out
 
 
-def _grams(codes: np.ndarray, order: int) -> np.ndarray:
-    n = codes.size - order + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, order, np.uint64)
-    for j in range(order):
-        h += codes[j : j + n]
-        h *= _MIX
-        h ^= h >> np.uint64(32)
-    return h
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), "<u4")
+
+
+def _single_blanks(x: np.ndarray, blank: int) -> np.ndarray:
+    """`x` without the blanks that follow a blank."""
+    is_blank = x == blank
+    is_blank[1:] &= is_blank[:-1].copy()
+    is_blank[0] = False
+    return x[~is_blank]
 
 
 def has_letter(text: str) -> bool:
@@ -61,11 +67,14 @@ def has_letter(text: str) -> bool:
 
 @dataclass
 class Model:
-    """slots: open-addressing table from n-gram hash to column; orders: columns' lengths,
-    in order."""
-
-    keys: np.ndarray
-    slots: np.ndarray
+    """The columns' n-grams lie in a trie, a table per length: `steps[k]` leads from a node of
+    k letters and a letter to a node of k + 1, `columns[k]` from there to a column (the last,
+    unused one for nodes that are only on the way). Node and letter 0 stand for all others.
+    orders: columns' lengths, in order."""
+
+    letters: np.ndarray  # code point -> letter
+    steps: list[np.ndarray]
+    columns: list[np.ndarray]
     orders: np.ndarray
     landmarks: np.ndarray  # (landmark, column), scaled
     weights: np.ndarray  # (landmark, language)
@@ -73,22 +82,16 @@ class Model:
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """(document, column) 0/1: which of the landmarks' n-grams a text holds."""
-        held = np.zeros((len(texts), self.orders.size), np.float32)
-        mask = np.uint64(self.slots.size - 1)
-        for i, text in enumerate(texts):
-            codes = _codes(text).astype(np.uint64)
-            for order in ORDERS:
-                g = _grams(codes, order)
-                at = g & mask
-                while g.size:
-                    slot = self.slots[at]
-                    ok = np.flatnonzero(slot >= 0)
-                    g, at, slot = g[ok], at[ok], slot[ok]
-                    same = self.keys[slot] == g
-                    held[i, slot[same]] = 1
-                    rest = np.flatnonzero(~same)
-                    g, at = g[rest], (at[rest] + np.uint64(1)) & mask
-        return held
+        held = np.zeros((len(texts), self.orders.size + 1), np.float32)
+        blank, width = self.letters[BLANK], self.columns[0].size
+        for row, text in zip(held, texts):
+            letters = _single_blanks(self.letters[_points(text)], blank).astype(np.int64)
+            node = letters
+            row[self.columns[0][node]] = 1
+            for k, (step, column) in enumerate(zip(self.steps, self.columns[1:]), 1):
+                node = step[node[:-1] * width + letters[k:]]
+                row[column[node]] = 1
+        return held[:, :-1]
 
     def scaled(self, texts: list[str]) -> np.ndarray:
         """Presence, each length of n-gram divided by its norm."""
@@ -107,17 +110,34 @@ class Model:
         return self.kernel(texts) @ self.weights
 
 
-def _table(keys: np.ndarray) -> np.ndarray:
-    size = 1
-    while size < 4 * keys.size:
-        size *= 2
-    slots, mask = np.full(size, -1, np.int32), size - 1
-    for column, key in enumerate(keys.tolist()):
-        at = key & mask
-        while slots[at] >= 0:
-            at = (at + 1) & mask
-        slots[at] = column
-    return slots
+def _commonest(sets: list[np.ndarray], most: int) -> np.ndarray:
+    """What is in most of the sets; ties go to the least."""
+    values, n = np.unique(np.concatenate(sets), return_counts=True)
+    return values[np.lexsort((values, -n))[:most]]
+
+
+def _trie(grams: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Steps and columns of `Model`; `grams[k]` are numbers of k + 1 digits to base `width`."""
+    nothing = sum(g.size for g in grams)
+    first = np.full(width, nothing)
+    first[grams[0]] = np.arange(grams[0].size)
+    steps, columns, before, at = [], [first], np.arange(width), grams[0].size
+    for k, own in enumerate(grams[1:], 1):
+        # All beginnings of this and of longer n-grams; `before` holds those one shorter.
+        nodes = np.unique(np.concatenate(
+            [g // width ** (j - k) for j, g in enumerate(grams) if j >= k]
+        ))
+        step = np.zeros(before.size * width, np.int64)
+        step[np.searchsorted(before, nodes // width) * width + nodes % width] = (
+            np.arange(nodes.size) + 1
+        )
+        column = np.full(nodes.size + 1, nothing)
+        column[np.searchsorted(nodes, own) + 1] = at + np.arange(own.size)
+        steps.append(step)
+        columns.append(column)
+        # Node 0 has no way on.
+        before, at = np.concatenate([[-1], nodes]), at + own.size
+    return steps, columns
 
 
 def fit(
@@ -134,18 +154,30 @@ def fit(
         chosen += [rows[k] for rows in turns.values() if k < len(rows)]
     chosen = chosen[: max(landmarks, len(names))]
 
+    # Letters that are no column are letter 0; n-grams with such a letter are none either.
     each = max(1, features // len(ORDERS))
-    keys, orders = [], []
+    folded = _folded()
+    spelled = [_single_blanks(folded[_points(texts[i])], BLANK) for i in chosen]
+    alphabet = _commonest([np.unique(x) for x in spelled], each)
+    width = alphabet.size + 1
+    number = np.zeros(0x110000, np.int16)
+    number[alphabet] = np.arange(1, width)
+    spelled = [number[x].astype(np.int64) for x in spelled]
+    grams = []
     for order in ORDERS:
-        grams = [np.unique(_grams(_codes(texts[i]).astype(np.uint64), order)) for i in chosen]
-        key, n = np.unique(np.concatenate(grams), return_counts=True)
-        best = np.lexsort((key, -n))[:each]
-        keys.append(key[best])
-        orders.append(np.full(best.size, order))
-    all_keys = np.concatenate(keys)
+        sets = []
+        for x in spelled:
+            g, ok = np.zeros(max(0, x.size - order + 1), np.int64), True
+            for j in range(order):
+                part = x[j : j + g.size]
+                g, ok = g * width + part, ok & (part > 0)
+            sets.append(np.unique(g[ok]))
+        grams.append(_commonest(sets, each))
+    steps, columns = _trie(grams, width)
+    orders = np.repeat(ORDERS, [g.size for g in grams])
     model = Model(
-        all_keys, _table(all_keys), np.concatenate(orders),
-        np.zeros((1, all_keys.size), np.float32), np.zeros((1, 1)), names,
+        number[folded], steps, columns, orders, np.zeros((1, orders.size), np.float32),
+        np.zeros((1, 1)), names,
     )
     model.landmarks = model.scaled([texts[i] for i in chosen]) / np.float32(len(ORDERS))
     own = model.kernel([texts[i] for i in chosen]).astype(np.float64)
