@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from supportlake.llm.common import arrow_map, materialize
 
 #: Rows of the table: the first SHAPES for shapes, the others for words.
-ROWS, SHAPES = 8192, 1024
+SHAPE_BITS = 10
+ROWS, SHAPES = 8192, 1 << SHAPE_BITS
 DIMS = 128
 NONZERO = 2
 NEAR = 2
@@ -39,7 +40,13 @@ SEED = 11
 KEPT_FROM = 0.3
 CACHED_WORDS = 400_000
 
-_LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
+_CAPITALS, _SMALL, _DIGITS = range(65, 91), (*range(97, 123), *range(128, 256)), range(48, 58)
+_NO_LETTERS = bytes(b for b in range(256) if b not in _CAPITALS and b not in _SMALL)
+_LOWER = bytes(b + 32 if b in _CAPITALS else b for b in range(256))
+_KINDS = bytes(
+    65 if b in _CAPITALS else 97 if b in _SMALL else 48 if b in _DIGITS else b for b in range(256)
+)
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 def index_vectors(rows: int = ROWS, dims: int = DIMS, seed: int = SEED):
@@ -53,35 +60,31 @@ def index_vectors(rows: int = ROWS, dims: int = DIMS, seed: int = SEED):
 
 def shape(word: bytes) -> bytes:
     """Runs of capitals, small letters, digits and marks, each run once; marks as they are."""
-    out = bytearray()
-    for b in word:
-        c = 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b
-        if not out or out[-1] != c:
-            out.append(c)
-    return bytes(out[:8])
+    return _RUN.sub(rb"\1", word.translate(_KINDS))[:8]
+
+
+class _Known(dict):
+    """Word -> row numbers of its letters and its shape in one number; learns what it is asked."""
+
+    def __missing__(self, word: bytes) -> int:
+        letters = word.translate(_LOWER, _NO_LETTERS)
+        a = SHAPES + zlib.crc32(letters) % (ROWS - SHAPES)
+        code = self[word] = a * SHAPES + zlib.crc32(shape(word)) % SHAPES
+        return code
 
 
 class Features:
     """Row numbers of the words and shapes of texts."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def _learn(self, word: bytes) -> int:
-        letters = b"".join(_LETTERS.findall(word)).lower()
-        a = SHAPES + zlib.crc32(letters) % (ROWS - SHAPES)
-        code = a * SHAPES + zlib.crc32(shape(word)) % SHAPES
-        self.known[word] = code
-        return code
+        self.known = _Known()
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         words = text.split()
-        get, learn = self.known.get, self._learn
-        codes = [get(w) or learn(w) for w in words]
-        both = np.array(codes, np.int64)
-        return both // SHAPES, both % SHAPES
+        both = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return both >> SHAPE_BITS, both & (SHAPES - 1)
 
 
 def context_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
