@@ -36,6 +36,8 @@ STEP = 16
 BOX = 8
 #: Rounding of the bounds, in cosine.
 SLACK = 1e-9
+#: Tiles that are compared with one tile in one go.
+PARTNERS = 128
 
 
 def _vectors(batch: pa.RecordBatch, at: int) -> Iterator[np.ndarray | None]:
@@ -246,25 +248,47 @@ def compare_tiles(
     return i[ok], j[ok]
 
 
-def _links(pairs: DataFrame, axes: np.ndarray, threshold: float) -> DataFrame:
+def meeting_tiles(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """Each tile followed by the tiles it is compared with, as rows (tile, part, with, size, ids,
+    counts, raws) that lie together; with is null for the tile itself. A tile with many partners
+    stands once for about PARTNERS of them, so no task gets all."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "b").select(
+        F.col("b").alias("tile"), F.pmod(F.xxhash64("a"), "parts").alias("part"),
+        F.col("a").alias("with"),
+    )
+    load = packed.select(F.col("tile").alias("_tile"), "size", "ids", "counts", "raws")
+    own = dealt.select("tile", "part").distinct().withColumn("with", F.lit(None).cast("long"))
+    rows = own.join(load, F.col("tile") == F.col("_tile")).unionAll(
+        dealt.join(load, F.col("with") == F.col("_tile"))
+    )
+    return rows.drop("_tile").repartition("tile", "part").sortWithinPartitions(
+        "tile", "part", F.col("with").asc_nulls_first()
+    )
+
+
+def _links(rows: DataFrame, axes: np.ndarray, threshold: float) -> DataFrame:
     """(a, b, n): vector, one it is joined with (or itself), number of links found here."""
-    shared = pairs.sparkSession.sparkContext.broadcast(axes)
+    shared = rows.sparkSession.sparkContext.broadcast(axes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                own, size, ids, counts, raws, ids2, counts2, raws2 = (
-                    batch.column(c)[k].as_py() for c in range(8)
+                tile, _, partner, size, ids, counts, raws = (
+                    batch.column(c)[k].as_py() for c in range(7)
                 )
-                x, y = _turned(raws, size, shared.value)
-                x2, y2 = (x, y) if own else _turned(raws2, size, shared.value)
+                if partner is None:
+                    x, y = _turned(raws, size, shared.value)
+                    ids1, n1 = (np.frombuffer(v, "<i8") for v in (ids, counts))
+                    continue
+                own, id_, n = partner == tile, ids1, n1
+                x2, y2 = (x, y) if own else _turned(raws, size, shared.value)
                 i, j = compare_tiles(x, y, x2, y2, threshold, own)
                 if not i.size:
                     continue
-                id_, n = (np.frombuffer(v, "<i8") for v in (ids, counts))
                 if not own:
-                    id_ = np.concatenate([id_, np.frombuffer(ids2, "<i8")])
-                    n = np.concatenate([n, np.frombuffer(counts2, "<i8")])
+                    id_ = np.concatenate([id_, np.frombuffer(ids, "<i8")])
+                    n = np.concatenate([n, np.frombuffer(counts, "<i8")])
                     j = j + len(x)
                 label, met = np.arange(id_.size), np.zeros(id_.size, np.int64)
                 np.add.at(met, i, n[j])
@@ -276,7 +300,7 @@ def _links(pairs: DataFrame, axes: np.ndarray, threshold: float) -> DataFrame:
                     ["a", "b", "n"],
                 )
 
-    return arrow_map(pairs, task, "a long, b long, n long")
+    return arrow_map(rows, task, "a long, b long, n long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -303,19 +327,10 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     width = distinct.agg(F.max("size")).first()[0] or 1
     axes = principal_axes(distinct, width)
     packed = materialize(tiles(distinct, axes, tile), "tiles")
-    pairs = near_tiles(packed, threshold)
-    left = packed.select(
-        F.col("tile").alias("a"), "size", "ids", "counts", "raws"
-    )
-    right = packed.select(
-        F.col("tile").alias("b"), F.col("ids").alias("ids2"), F.col("counts").alias("counts2"),
-        F.col("raws").alias("raws2"),
-    )
-    full = pairs.join(left, "a").join(right, "b").select(
-        (F.col("a") == F.col("b")).alias("own"), "size", "ids", "counts", "raws", "ids2",
-        "counts2", "raws2",
+    pairs = materialize(near_tiles(packed, threshold), "tile-pairs")
+    links = materialize(
+        _links(meeting_tiles(pairs, packed), axes, threshold), "vector-links"
     )
-    links = materialize(_links(full, axes, threshold), "vector-links")
     classes = components(links.select("a", "b"))
     met = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("met"))
     labelled = (
