@@ -517,3 +517,36 @@ def test_redirects_carry_decisions(spark):
     again = {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(frame, redirects=more).collect()}
     assert again[11] == "allow"  # that class has a member that a rule allows
     assert url_filter.judge_pages(frame.limit(0)).count() == 0
+
+
+def test_language_presence_equals_sets_of_ngrams():
+    texts = ["Das ist  ein Haus, 12 Häuser!", "the house is the house", "", "la maison ß", "x"] * 2
+    model = language_id.fit(texts[:4], ["de", "en", "xx", "fr"], landmarks=4, features=90)
+    asked = texts + ["HAUS haus\n\n the İ 漢字", "9 9", "ein " * 500]
+    got = model.presence(asked)
+
+    def grams(text, order):
+        low = "".join(
+            (c.lower() if len(c.lower()) == 1 else c) if c.isalnum() and not c.isdecimal() else " "
+            for c in f" {text} "
+        )
+        low = f" {' '.join(low.split())} "
+        return {low[i : i + order] for i in range(len(low) - order + 1)}
+
+    for order in language_id.ORDERS:
+        first, last = np.searchsorted(model.orders, [order, order + 1])
+        columns = {}
+        for column in range(first, last):
+            # A column is known by the texts that hold it.
+            where = frozenset(i for i in range(len(asked)) if got[i, column])
+            columns[where] = columns.get(where, 0) + 1
+        known = sorted({g for t in texts[:4] for g in grams(t, order) if t})
+        expected = {}
+        for g in known:
+            where = frozenset(i for i, t in enumerate(asked) if g in grams(t, order))
+            expected[where] = expected.get(where, 0) + 1
+        assert last - first <= 30
+        if len(known) <= 30:
+            assert columns == expected
+        else:
+            assert all(columns[w] <= expected.get(w, 0) for w in columns)
