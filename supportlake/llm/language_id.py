@@ -1,7 +1,8 @@
 """Language identification by a blended-spectrum string kernel.
 
-Two texts are as alike as the share of character n-grams (n = 1..3) that both hold, each
-length of n-gram with the same weight; how often they stand does not count. Texts of a bounded
+Two texts are as alike as the share of character n-grams (n = 1..4) that both hold, each
+length of n-gram with the same weight; how often they stand does not count. All n-grams of a
+text count in its norm, also those that no landmark holds. Texts of a bounded
 number of landmarks span the Nystroem space; kernel ridge regression, one class against the
 rest, is solved there. A document is scored by products of matrices: which n-grams of the
 landmarks it holds, times the landmarks, times the weights, a batch of documents at once.
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 from supportlake.llm.common import arrow_map, materialize
 
 #: From 1 on, without a gap.
-ORDERS = (1, 2, 3)
+ORDERS = (1, 2, 3, 4)
 LANDMARKS = 128
 SAMPLE = 3000
 RIDGE = 1e-3
-#: Columns of the presence matrix: n-grams of the landmarks, those in most of them first.
-FEATURES = 6144
+#: Entries of a table of steps, at most; longer ones are looked up in a sorted list.
+STEPS = 1 << 22
+#: Of the hashes that tell a text's n-grams apart.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Documents in one product.
 BATCH = 128
 UNKNOWN = "und"
@@ -69,10 +72,13 @@ def has_letter(text: str) -> bool:
 class Model:
     """The columns' n-grams lie in a trie, a table per length: `steps[k]` leads from a node of
     k letters and a letter to a node of k + 1, `columns[k]` from there to a column (the last,
-    unused one for nodes that are only on the way). Node and letter 0 stand for all others.
+    unused one for nodes that are only on the way). Where `listed[k]`, `steps[k]` is the sorted
+    list of the steps that lead on. Node and letter 0 stand for all others.
     orders: columns' lengths, in order."""
 
-    letters: np.ndarray  # code point -> letter
+    folded: np.ndarray  # code point -> lower case
+    letters: np.ndarray  # lower case -> letter
+    listed: list[bool]
     steps: list[np.ndarray]
     columns: list[np.ndarray]
     orders: np.ndarray
@@ -82,24 +88,39 @@ class Model:
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """(document, column) 0/1: which of the landmarks' n-grams a text holds."""
+        return self._held(texts)[0]
+
+    def _held(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """presence(), and how many n-grams of each length a text has, columns or not."""
         held = np.zeros((len(texts), self.orders.size + 1), np.float32)
-        blank, width = self.letters[BLANK], self.columns[0].size
-        for row, text in zip(held, texts):
-            letters = _single_blanks(self.letters[_points(text)], blank).astype(np.int64)
+        counts = np.zeros((len(texts), len(ORDERS)), np.float32)
+        width = self.columns[0].size
+        for row, count, text in zip(held, counts, texts):
+            points = _single_blanks(self.folded[_points(text)], BLANK)
+            letters = self.letters[points].astype(np.int64)
             node = letters
             row[self.columns[0][node]] = 1
+            code = points = points.astype(np.uint64)
+            count[0] = np.unique(code).size
             for k, (step, column) in enumerate(zip(self.steps, self.columns[1:]), 1):
-                node = step[node[:-1] * width + letters[k:]]
+                node = node[:-1] * width + letters[k:]
+                if self.listed[k - 1]:
+                    at = np.searchsorted(step, node)
+                    there = step[np.minimum(at, step.size - 1)] == node if step.size else False
+                    node = np.where(there, at + 1, 0)
+                else:
+                    node = step[node]
                 row[column[node]] = 1
-        return held[:, :-1]
+                code = (code[:-1] ^ (code[:-1] >> np.uint64(31))) * SPREAD + points[k:]
+                count[k] = np.unique(code).size
+        return held[:, :-1], counts
 
     def scaled(self, texts: list[str]) -> np.ndarray:
-        """Presence, each length of n-gram divided by its norm."""
-        held = self.presence(texts)
-        for order in ORDERS:
+        """Presence, each length of n-gram divided by the norm of the text's whole spectrum."""
+        held, counts = self._held(texts)
+        for k, order in enumerate(ORDERS):
             first, last = np.searchsorted(self.orders, [order, order + 1])
-            part = held[:, first:last]
-            part /= np.sqrt(np.maximum(part.sum(1, keepdims=True), 1))
+            held[:, first:last] /= np.sqrt(np.maximum(counts[:, k : k + 1], 1))
         return held
 
     def kernel(self, texts: list[str]) -> np.ndarray:
@@ -110,41 +131,45 @@ class Model:
         return self.kernel(texts) @ self.weights
 
 
-def _commonest(sets: list[np.ndarray], most: int) -> np.ndarray:
-    """What is in most of the sets; ties go to the least."""
+def _commonest(sets: list[np.ndarray], most: int | None) -> np.ndarray:
+    """What is in most of the sets, or all; ties go to the least."""
     values, n = np.unique(np.concatenate(sets), return_counts=True)
     return values[np.lexsort((values, -n))[:most]]
 
 
-def _trie(grams: list[np.ndarray], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Steps and columns of `Model`; `grams[k]` are numbers of k + 1 digits to base `width`."""
+def _trie(grams: list[np.ndarray], width: int) -> tuple[list, list, list]:
+    """Steps, listed and columns of `Model`; `grams[k]` are numbers of k + 1 digits to base `width`."""
     nothing = sum(g.size for g in grams)
     first = np.full(width, nothing)
     first[grams[0]] = np.arange(grams[0].size)
-    steps, columns, before, at = [], [first], np.arange(width), grams[0].size
+    steps, listed, columns = [], [], [first]
+    before, at = np.arange(width), grams[0].size
     for k, own in enumerate(grams[1:], 1):
         # All beginnings of this and of longer n-grams; `before` holds those one shorter.
         nodes = np.unique(np.concatenate(
             [g // width ** (j - k) for j, g in enumerate(grams) if j >= k]
         ))
-        step = np.zeros(before.size * width, np.int64)
-        step[np.searchsorted(before, nodes // width) * width + nodes % width] = (
-            np.arange(nodes.size) + 1
-        )
+        step = np.searchsorted(before, nodes // width) * width + nodes % width
+        listed.append(before.size * width > STEPS)
+        if not listed[-1]:
+            led = np.zeros(before.size * width, np.int64)
+            led[step] = np.arange(nodes.size) + 1
+            step = led
         column = np.full(nodes.size + 1, nothing)
         column[np.searchsorted(nodes, own) + 1] = at + np.arange(own.size)
         steps.append(step)
         columns.append(column)
         # Node 0 has no way on.
         before, at = np.concatenate([[-1], nodes]), at + own.size
-    return steps, columns
+    return steps, listed, columns
 
 
 def fit(
     texts: list[str], languages: list[str], landmarks: int = LANDMARKS,
-    features: int = FEATURES, ridge: float = RIDGE,
+    features: int | None = None, ridge: float = RIDGE,
 ) -> Model:
-    """The first texts of each language in turn are landmarks, all of them teach."""
+    """The first texts of each language in turn are landmarks, all of them teach. `features`:
+    columns at most, those in most landmarks; all n-grams of the landmarks if it is None."""
     names = sorted(set(languages))
     turns: dict[str, list[int]] = {n: [] for n in names}
     for i, name in enumerate(languages):
@@ -155,12 +180,12 @@ def fit(
     chosen = chosen[: max(landmarks, len(names))]
 
     # Letters that are no column are letter 0; n-grams with such a letter are none either.
-    each = max(1, features // len(ORDERS))
+    each = features and max(1, features // len(ORDERS))
     folded = _folded()
     spelled = [_single_blanks(folded[_points(texts[i])], BLANK) for i in chosen]
     alphabet = _commonest([np.unique(x) for x in spelled], each)
     width = alphabet.size + 1
-    number = np.zeros(0x110000, np.int16)
+    number = np.zeros(0x110000, np.int32)
     number[alphabet] = np.arange(1, width)
     spelled = [number[x].astype(np.int64) for x in spelled]
     grams = []
@@ -173,10 +198,10 @@ def fit(
                 g, ok = g * width + part, ok & (part > 0)
             sets.append(np.unique(g[ok]))
         grams.append(_commonest(sets, each))
-    steps, columns = _trie(grams, width)
+    steps, listed, columns = _trie(grams, width)
     orders = np.repeat(ORDERS, [g.size for g in grams])
     model = Model(
-        number[folded], steps, columns, orders, np.zeros((1, orders.size), np.float32),
+        folded, number, listed, steps, columns, orders, np.zeros((1, orders.size), np.float32),
         np.zeros((1, 1)), names,
     )
     model.landmarks = model.scaled([texts[i] for i in chosen]) / np.float32(len(ORDERS))

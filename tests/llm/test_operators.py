@@ -550,3 +550,29 @@ def test_language_presence_equals_sets_of_ngrams():
             assert columns == expected
         else:
             assert all(columns[w] <= expected.get(w, 0) for w in columns)
+
+
+@pytest.mark.parametrize("steps", [1 << 22, 0])
+def test_language_kernel_is_the_full_blended_spectrum(monkeypatch, steps):
+    monkeypatch.setattr(language_id, "STEPS", steps)
+    rng = random.Random(13)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
+    texts = [words(rng, 400, letters[i % 2]) for i in range(8)] + ["漢字 仮名交じり文", "ქართული ენა"]
+    model = language_id.fit(texts, ["aa", "bb"] * 4 + ["ja", "ka"], landmarks=10)
+    asked = [*texts, "abc абв 漢字 ωψ 12", "ქართული", words(rng, 300, letters[0])]
+
+    def grams(text, order):
+        low = f" {' '.join(''.join(c.lower() if c.isalpha() else ' ' for c in text).split())} "
+        return {low[i : i + order] for i in range(len(low) - order + 1)}
+
+    def alike(a, b):
+        return np.mean([
+            len(grams(a, n) & grams(b, n)) / (len(grams(a, n)) * len(grams(b, n))) ** 0.5
+            for n in (1, 2, 3, 4)
+        ])
+
+    expected = [[alike(a, b) for b in texts] for a in asked]
+    # Landmarks are the texts of each language in turn.
+    order = [0, 1, 8, 9, 2, 3, 4, 5, 6, 7]
+    assert np.allclose(model.kernel(asked), np.array(expected)[:, order], atol=1e-5)
+    assert model.languages[model.scores(["ქართული"])[0].argmax()] == "ka"
