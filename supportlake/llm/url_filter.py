@@ -38,14 +38,34 @@ def path_of(url: Column) -> Column:
     return F.coalesce(path, F.lit(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """`path` without its segments . and .., which stay inside the root."""
+    parts = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda held, part: F.when(part == ".", held)
+        .when(part == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1))))
+        .otherwise(F.concat(held, F.array(part))),
+    )
+    end = F.when(path.rlike("/\\.\\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(
+        path.rlike("/\\.\\.?(/|$)"), F.concat(F.array_join(parts, "/"), end)
+    ).otherwise(path)
+
+
 def address_of(url: Column) -> Column:
-    """The address that a class joins: without fragment, scheme and host in lower case."""
+    """The address that a class joins: without fragment and dot segments, scheme and host in
+    lower case."""
     bare = F.regexp_extract(url, "^[^#]*", 0)
     scheme = F.regexp_extract(bare, "^(.*?)://", 1)
-    rest = F.regexp_extract(_after_scheme(bare), "^[^/?#]*(.*)$", 1)
+    after = _after_scheme(bare)
+    path = F.regexp_extract(after, "^[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(after, "^[^/?#]*[^?#]*(.*)$", 1)
     return F.when(
         F.instr(bare, "://") > 0,
-        F.concat(F.translate(scheme, _UP, _LOW), F.lit("://"), host_of(bare), rest),
+        F.concat(
+            F.translate(scheme, _UP, _LOW), F.lit("://"), host_of(bare), _without_dots(path), rest
+        ),
     ).otherwise(bare)
 
 

@@ -576,3 +576,25 @@ def test_language_kernel_is_the_full_blended_spectrum(monkeypatch, steps):
     order = [0, 1, 8, 9, 2, 3, 4, 5, 6, 7]
     assert np.allclose(model.kernel(asked), np.array(expected)[:, order], atol=1e-5)
     assert model.languages[model.scores(["ქართული"])[0].argmax()] == "ka"
+
+
+def test_links_with_dot_segments_carry_decisions(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [
+        (0, "http://example.com/de/x", None),
+        (1, "http://example.com/en/a/b", link("../../de/x")),
+        (2, "http://example.com/en/c", link("./../../../de/./x#t")),
+        (3, "http://example.com/en/d", link("http://example.com/en/../de/x")),
+        (4, "http://example.com/en/e?../x", link("../de/x?q=/../x")),
+        (5, "http://example.com/en/../f", link("/f")),
+        (6, "http://example.com/f", link("http://bad.net/a/..")),
+        (7, "http://a.example.org/g/..", link("http://bad.net/a/.")),
+        (8, "http://a.example.org/", None),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(frame).collect()}
+    assert [got[i] for i in range(9)] == ["block"] * 9
+    paths = {"/a/..": "/", "/a/b/..": "/a/", "/a/.": "/a/", "/../a": "/a", "/a//../b": "/a/b", "/..": "/", "/a.b/..c": "/a.b/..c"}
+    rows = spark.createDataFrame([("HTTP://X.net" + k, "http://x.net" + v) for k, v in paths.items()], "url string, good string")
+    found = rows.select(url_filter.address_of(rows["url"]).alias("got"), "good").collect()
+    assert all(r["got"] == r["good"] for r in found), found
