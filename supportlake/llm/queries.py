@@ -14,13 +14,16 @@ from supportlake.llm import (
     embedding_dedup,
     language_id,
     line_dedup,
+    merkle,
     packing,
+    prefix_trie,
     quality,
     simhash,
     substring_dedup,
+    token_counts,
     url_filter,
 )
-from supportlake.llm.common import sha256_hex, table
+from supportlake.llm.common import materialize, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,3 +306,168 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+#: Unsigned CRC-32 of a number's decimal text, by the table `t` of a joined `crc_table`.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), "
+    "lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+).format
+_CRC_TABLE = """
+    crc_steps(i, k, v) AS (
+      SELECT i, 0, i FROM range(256) r(i)
+      UNION ALL SELECT i, k + 1,
+        CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+      FROM crc_steps WHERE k < 8),
+    crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')".format
+_LEAF = lambda n: "sha256(" + " || ".join(
+    map(_FIELD, ("doc_id", "source", "lang", n, "text"))
+) + ")"
+
+
+@register(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    docs AS (
+      SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf,
+        CASE WHEN {_CRC("doc_id")} % 7 = 0 THEN {_LEAF("n_chars + 1")}
+          ELSE {_LEAF("n_chars")} END AS shown
+      FROM documents, crc_table),
+    leaves AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, shown) - 1
+        AS i, count(*) OVER (PARTITION BY lang) AS n FROM docs),
+    tree(lang, lev, i, n, h) AS (
+      SELECT lang, 0, i, n, leaf FROM leaves
+      UNION ALL SELECT lang, lev + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i))
+      FROM tree WHERE n > 1 GROUP BY lang, lev, i // 2, n),
+    roots AS (
+      SELECT lang, lev, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i,
+        count(*) OVER () AS n FROM tree WHERE n = 1),
+    top(lev, i, n, h) AS (
+      SELECT 0, i, n, h FROM roots
+      UNION ALL SELECT lev + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i))
+      FROM top WHERE n > 1 GROUP BY lev, i // 2, n),
+    climb AS (
+      SELECT doc_id, lang, leaf, i AS start, 0 AS lev, i, n, '' AS proof, shown AS h FROM leaves
+      UNION ALL
+      SELECT c.doc_id, c.lang, leaf, start, c.lev + 1, c.i // 2, (c.n + 1) // 2,
+        proof || coalesce(s.h, ''),
+        sha256(CASE WHEN c.i % 2 = 1 THEN coalesce(s.h, '') || c.h ELSE c.h || coalesce(s.h, '') END)
+      FROM climb c LEFT JOIN tree s
+        ON s.lang IS NOT DISTINCT FROM c.lang AND s.lev = c.lev AND s.i = xor(c.i, 1)
+      WHERE c.n > 1),
+    climbed AS (
+      SELECT doc_id, leaf, start, r.h AS subroot, 0 AS lev, r.i, r.n, proof, c.h
+      FROM climb c JOIN roots r ON r.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1),
+    upper_climb AS (
+      SELECT doc_id, leaf, start, subroot, lev, i, n, proof, h FROM climbed
+      UNION ALL
+      SELECT doc_id, leaf, start, subroot, c.lev + 1, c.i // 2, (c.n + 1) // 2,
+        proof || coalesce(s.h, ''),
+        sha256(CASE WHEN c.i % 2 = 1 THEN coalesce(s.h, '') || c.h ELSE c.h || coalesce(s.h, '') END)
+      FROM upper_climb c LEFT JOIN top s ON s.lev = c.lev AND s.i = xor(c.i, 1)
+      WHERE c.n > 1)
+    SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256,
+      c.h AS folded_root, c.h = t.h AS verified
+    FROM upper_climb c, (SELECT h FROM top WHERE n = 1) t WHERE c.n = 1
+    """,
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digest(table(spark, sf_dir, "documents"))
+
+
+def merkle_digest(docs: DataFrame) -> DataFrame:
+    """Proofs of the documents, and what they make of rows where n_chars is tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    hashed = docs.select(
+        "doc_id", "lang",
+        merkle.leaf_hash("doc_id", "source", "lang", "n_chars", "text").alias("leaf"),
+        F.when(
+            tampered,
+            merkle.leaf_hash("doc_id", "source", "lang", F.col("n_chars") + 1, "text"),
+        ).alias("tampered"),
+    )
+    built = merkle.manifest(hashed, "leaf", "lang", "doc_id", carried=["doc_id", "tampered"])
+    shown = F.coalesce("carried.tampered", "leaf")
+    folded = built.leaves.withColumn("folded_root", merkle.fold(shown, F.col("path")))
+    return folded.select(
+        "carried.doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def rebuilt_conversations(rows: DataFrame, every: int = 20, starts: int = 4) -> DataFrame:
+    """(conv_id, turns): each conversation c begins with the first crc32(c) mod `starts` turns
+    of conversation c - c % `every`, where its own first ones stood."""
+    lists = materialize(prefix_trie.turn_lists(rows), "turn-lists")
+    conv = F.col("conv_id")
+    first = lists.filter(conv % every == 0).select(
+        conv.alias("base"), F.slice("turns", 1, starts - 1).alias("start")
+    )
+    none = F.expr("cast(array() as array<string>)")
+    length = (F.crc32(conv.cast("string")) % starts).cast("int")
+    return (
+        lists.withColumn("base", conv - conv % every)
+        .join(first, "base", "left")
+        .select(
+            "conv_id",
+            F.concat(
+                F.slice(F.coalesce("start", none), F.lit(1), length),
+                F.slice("turns", length + 1, F.size("turns")),
+            ).alias("turns"),
+        )
+    )
+
+
+@register(
+    "op12_prefix_trie",
+    rf"""
+    WITH RECURSIVE {_CRC_TABLE},
+    own AS (
+      SELECT conv_id, {_CRC("conv_id")} % 4 AS h, conv_id - conv_id % 20 AS base, turns
+      FROM crc_table, (
+        SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+          ORDER BY turn NULLS FIRST,
+            substr(sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)
+          ) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id)),
+    rebuilt AS (
+      SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns
+      FROM own o LEFT JOIN own b ON b.conv_id = o.base),
+    prefixes AS (
+      SELECT conv_id, d, len(turns) AS n, turns[1:d] AS path
+      FROM rebuilt, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+    nodes AS (
+      SELECT d, path, min(conv_id) AS conv_id, count(*) AS n,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends
+      FROM prefixes GROUP BY d, path),
+    tree AS (
+      SELECT c.*, p.conv_id AS parent, (SELECT count(*) FROM nodes k WHERE k.d = c.d + 1
+          AND k.path[1:c.d] = c.path) AS kids,
+        CASE WHEN c.d = 0 THEN 0 ELSE
+          (c.n - 1) * len(regexp_extract_all(c.path[c.d].text, '[^ 	-]+')) END AS saved
+      FROM nodes c LEFT JOIN nodes p ON p.d = c.d - 1 AND p.path = c.path[1:c.d - 1]),
+    spread AS (
+      SELECT unnest(range(0, d + 1)) AS top, path, kids, saved FROM tree),
+    sums AS (
+      SELECT top, path[1:top] AS path, count(*) FILTER (kids = 0) AS leaves, sum(saved) AS saved
+      FROM spread GROUP BY 1, 2)
+    SELECT t.conv_id, t.d AS depth, t.parent AS parent_conv_id, t.n AS n_convs, t.kids AS n_children,
+      s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(t.ends) AS ends_sha256
+    FROM tree t JOIN sums s ON s.top = t.d AND s.path = t.path
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        "ends_sha256",
+    )
+
+
+@register("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), word_tokenizer())
