@@ -12,10 +12,16 @@ Exact top-k and hit counts without comparing every query with every case:
    with a deeper cut.
 4. Cases without any common term still rank by their intent bonus: the first k of the intent
    and the first k of all stand in for them.
+
+Long posting lists lie in parts, and a term that very many queries ask for is asked in parts, so
+no join has a hot key. An index is one segment; a stored one (`case_store`) may have several,
+which hold different cases and are searched each.
 """
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +33,9 @@ from supportlake.operators.intents import weak_intent
 from supportlake.operators.sampling import smallest_per_group
 from supportlake.session import materialize
 
+if TYPE_CHECKING:
+    from supportlake.operators.case_store import CaseStore
+
 BUCKETS_PER_OCTAVE = 8
 EPS = 1e-9
 
@@ -62,55 +71,29 @@ def first_ids(cases: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return smallest_per_group(members, ["gid"], [F.col("case_id")], k)
 
 
-class CaseIndex:
-    """Written index over a case table: (case_id, cleaned_problem, intent, ...).
+class Segment:
+    """What a search reads of some cases, as written tables.
 
+    cases     (case_id, gid, cleaned_problem, intent, ...)
     groups    one row per distinct (text, intent): size and its first case id
-    postings  (term, group, weight, bucket), bucket 0 the heaviest
-    stats     (term, df, idf); df counts cases, as the weights need
-    lengths   (term, postings, and how many of them up to each bucket)
+    postings  (term, part, gid, tf, weight, bucket), bucket 0 the heaviest
+    terms     (term, listed, parts, then): length of the list and its parts, idf at writing
+    lengths   (term, bucket, upto): how many postings there are up to a bucket
+    stats     (term, df, idf) of all segments together; df counts cases, as the weights need
+    scales    (gid, scale), or None: what a case's weights are to be multiplied with, where
+              idf has moved since the segment was written; `drift` is the largest of them
     """
 
-    def __init__(self, cases: DataFrame, settings: tfidf.Vectorizer = tfidf.RETRIEVE):
-        self.settings = settings
-        self.cases = materialize(
-            cases.withColumn("gid", _text_key("cleaned_problem", "intent")), "cases"
-        )
-        sizes = self.cases.groupBy("gid").agg(
-            F.count("*").alias("copies"),
-            F.first("cleaned_problem").alias("cleaned_problem"),
-            F.first("intent").alias("case_intent"),
-            F.min("case_id").alias("first_id"),
-        )
-        self.groups = materialize(sizes, "groups")
-        n_cases = self.cases.count()
-        counts = materialize(
-            tfidf.term_counts(self.groups, "gid", "cleaned_problem", settings).join(
-                self.groups.select(F.col("gid").alias("id"), "copies"), "id"
-            ),
-            "counts",
-        )
-        df = counts.groupBy("term").agg(F.sum("copies").alias("df"), F.count("*").alias("listed"))
-        idf = F.log((1.0 + F.lit(n_cases)) / (1.0 + F.col("df"))) + 1.0
-        self.stats = materialize(df.withColumn("idf", idf), "stats")
-        weights = tfidf.tfidf_weights(counts, self.stats)
-        bucket = F.floor(-F.log2(F.least(F.col("weight"), F.lit(1.0))) * BUCKETS_PER_OCTAVE)
-        self.postings = materialize(
-            weights.select(
-                "term",
-                F.col("id").alias("gid"),
-                "weight",
-                F.greatest(bucket, F.lit(0)).cast("int").alias("bucket"),
-            ),
-            "postings",
-        )
-        histogram = self.postings.groupBy("term", "bucket").agg(F.count("*").alias("n"))
-        running = Window.partitionBy("term").orderBy("bucket")  # one row per bucket
-        self.lengths = materialize(
-            histogram.withColumn("upto", F.sum("n").over(running)).drop("n"), "lengths"
-        )
-        longest = self.stats.agg(F.max("listed")).first()[0]
-        self.longest = int(longest or 0)
+    cases: DataFrame
+    groups: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+    scales: DataFrame | None = None
+    drift: float = 1.0
+    settings: tfidf.Vectorizer
+    longest: int
 
     def long_lists(self, depth: int) -> DataFrame:
         """Terms with more than `depth` postings: the first bucket not read and the weight
@@ -120,24 +103,144 @@ class CaseIndex:
             "below", F.pow(F.lit(2.0), -F.col("cut") / F.lit(float(BUCKETS_PER_OCTAVE)))
         )
 
+    def in_parts(self, facts: DataFrame) -> DataFrame:
+        """Rows (term, parts, ...) once for each part of the term's list."""
+        return facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def scaled(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """Sums of products of pairs (qid, gid, ...) under the present idf."""
+        if self.scales is None:
+            return pairs
+        scale = pairs.join(self.scales, "gid")
+        return scale.withColumns({c: F.col(c) * F.col("scale") for c in columns}).drop("scale")
+
+
+def grouped_cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases with the id of their group, and the groups."""
+    cases = materialize(cases.withColumn("gid", _text_key("cleaned_problem", "intent")), "cases")
+    sizes = cases.groupBy("gid").agg(
+        F.count("*").alias("copies"),
+        F.first("cleaned_problem").alias("cleaned_problem"),
+        F.first("intent").alias("case_intent"),
+        F.min("case_id").alias("first_id"),
+    )
+    return cases, materialize(sizes, "groups")
+
+
+def group_counts(groups: DataFrame, settings: tfidf.Vectorizer) -> DataFrame:
+    """(id, term, tf, copies) of the groups' texts, written."""
+    counts = tfidf.term_counts(groups, "gid", "cleaned_problem", settings)
+    return materialize(
+        counts.join(groups.select(F.col("gid").alias("id"), "copies"), "id"), "counts"
+    )
+
 
-def _query_terms(queries: DataFrame, index: CaseIndex) -> DataFrame:
-    """(qid, term, weight) under the index vocabulary."""
-    weights = tfidf.transform(queries, "qid", "cleaned_text", index.stats, index.settings)
-    return weights.select(F.col("id").alias("qid"), "term", "weight")
+def term_sizes(counts: DataFrame) -> DataFrame:
+    """(term, df, listed): cases and groups that have the term."""
+    return counts.groupBy("term").agg(F.sum("copies").alias("df"), F.count("*").alias("listed"))
 
 
-def _dot(left: str, right: str) -> Column:
-    """Product sum of two term -> weight maps over their common terms."""
-    return F.aggregate(
-        F.array_intersect(F.map_keys(left), F.map_keys(right)),
-        F.lit(0.0),
-        lambda acc, t: acc + F.element_at(left, t) * F.element_at(right, t),
+def with_idf(sizes: DataFrame, n_cases: int) -> DataFrame:
+    idf = F.log((1.0 + F.lit(n_cases)) / (1.0 + F.col("df"))) + 1.0
+    return sizes.withColumn("idf", idf)
+
+
+def posting_tables(
+    counts: DataFrame, sizes: DataFrame, stats: DataFrame, part_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """`postings` and `terms` of a segment with these counts, under the idf of `stats`. sizes:
+    (term, listed) of this segment alone."""
+    heavy = tfidf.HeavyTerms(sizes.select("term", F.col("listed").alias("n")), part_rows)
+    weights = tfidf.tfidf_weights(counts, stats, heavy=heavy)
+    bucket = F.floor(-F.log2(F.least(F.col("weight"), F.lit(1.0))) * BUCKETS_PER_OCTAVE)
+    postings = heavy.deal(weights, "id").select(
+        "term", "part", F.col("id").alias("gid"), F.col("tf").cast("int").alias("tf"), "weight",
+        F.greatest(bucket, F.lit(0)).cast("int").alias("bucket"),
     )
+    terms = (
+        sizes.select("term", "listed")
+        .join(stats.select("term", F.col("idf").alias("then")), "term")
+        .join(F.broadcast(heavy.table), "term", "left")
+        .select("term", "listed", F.coalesce("heavy_parts", F.lit(1)).alias("parts"), "then")
+    )
+    return postings, terms
+
+
+def list_lengths(postings: DataFrame) -> DataFrame:
+    histogram = postings.groupBy("term", "bucket").agg(F.count("*").alias("n"))
+    running = Window.partitionBy("term").orderBy("bucket")  # one row per bucket
+    return histogram.withColumn("upto", F.sum("n").over(running)).drop("n")
+
+
+class CaseIndex(Segment):
+    """Index over a case table (case_id, cleaned_problem, intent, ...), kept for this
+    application."""
+
+    def __init__(
+        self, cases: DataFrame, settings: tfidf.Vectorizer = tfidf.RETRIEVE,
+        part_rows: int = tfidf.PART_ROWS,
+    ):
+        self.settings = settings
+        self.cases, self.groups = grouped_cases(cases)
+        n_cases = self.cases.count()
+        counts = group_counts(self.groups, settings)
+        self.stats = materialize(with_idf(term_sizes(counts), n_cases), "stats")
+        postings, terms = posting_tables(counts, self.stats, self.stats, part_rows)
+        self.postings = materialize(postings, "postings")
+        self.terms = materialize(terms, "terms")
+        self.lengths = materialize(list_lengths(self.postings), "lengths")
+        self.longest = int(self.stats.agg(F.max("listed")).first()[0] or 0)
+
+    def segments(self) -> list[Segment]:
+        return [self]
+
+
+#: Queries with the same term that are joined in one task.
+ASKED_ROWS = 16_384
+
+
+def _query_terms(queries: DataFrame, index: Segment) -> DataFrame:
+    """(qid, term, weight) under the index vocabulary, written."""
+    counts = materialize(
+        tfidf.term_counts(queries, "qid", "cleaned_text", index.settings), "asked-counts"
+    )
+    asked = counts.groupBy("term").agg(F.count("*").alias("n"))
+    weights = tfidf.tfidf_weights(counts, index.stats, heavy=tfidf.HeavyTerms(asked, ASKED_ROWS))
+    return materialize(weights.select(F.col("id").alias("qid"), "term", "weight"), "terms")
+
+
+def _asked_facts(
+    terms: DataFrame, index: Segment, depth: int | None
+) -> tuple[DataFrame, DataFrame, tfidf.HeavyTerms]:
+    """facts (term, listed, parts, cut, below), a row per asked term that the segment lists;
+    the query terms (qid, term, salt, weight) with their cut, weights under the idf at
+    writing; and how the terms are dealt."""
+    asked = materialize(terms.groupBy("term").agg(F.count("*").alias("n")), "asked")
+    heavy = tfidf.HeavyTerms(asked, ASKED_ROWS)
+    facts = (
+        asked.select("term")
+        .join(index.terms, "term")
+        .join(index.stats.select("term", "idf"), "term")
+        .withColumn("ratio", F.col("idf") / F.col("then"))
+        .drop("idf", "then")
+    )
+    none = F.lit(None)
+    if depth is None:
+        facts = facts.withColumns({"cut": none.cast("int"), "below": none.cast("double")})
+    else:
+        facts = facts.join(index.long_lists(depth), "term", "left")
+    facts = materialize(facts, "facts")
+    marked = (
+        heavy.deal(terms, "qid", "salt")
+        .join(heavy.spread(facts, "salt"), ["term", "salt"])
+        .withColumn("weight", F.col("weight") * F.col("ratio"))
+        .drop("ratio")
+    )
+    return facts, marked, heavy
 
 
 def _candidates(
-    terms: DataFrame, index: CaseIndex, depth: int
+    terms: DataFrame, index: Segment, depth: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the index finds when cut at `depth`.
 
@@ -145,59 +248,51 @@ def _candidates(
             similarity; `short` sums those of uncut terms
     bounds  (qid, bound): what postings not read can add to any pair of the query; queries
             without cut terms have no row
-    long    the cut terms
+    long    (qid, term, parts, weight) of the cut terms
+
+    Only what is read of a list, at most `depth` postings, leaves the place where it lies.
     """
-    long = materialize(index.long_lists(depth), "long")
-    marked = terms.join(long, "term", "left")
+    facts, marked, heavy = _asked_facts(terms, index, depth)
+    marked = materialize(marked, "marked")
     read = (
-        index.postings.join(long, "term", "left")
+        index.postings.join(index.in_parts(facts.select("term", "parts", "cut")), ["term", "part"])
         .filter(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))
         .select("term", "gid", F.col("weight").alias("w"))
     )
     product = F.col("weight") * F.col("w")
     uncut = F.when(F.col("cut").isNull(), product).otherwise(F.lit(0.0))
     pairs = (
-        marked.join(read, "term")
+        marked.join(heavy.spread(read, "salt"), ["term", "salt"])
         .groupBy("qid", "gid")
         .agg(F.sum(product).alias("low"), F.sum(uncut).alias("short"))
     )
-    bounds = (
-        marked.filter(F.col("cut").isNotNull())
-        .groupBy("qid")
-        .agg(
-            F.least(
-                F.sum(F.col("weight") * F.col("below")),
-                F.sqrt(F.sum(F.col("weight") * F.col("weight"))),
-            ).alias("bound")
-        )
+    long = marked.filter(F.col("cut").isNotNull())
+    bounds = long.groupBy("qid").agg(
+        F.least(
+            F.sum(F.col("weight") * F.col("below")) * F.lit(index.drift),
+            F.sqrt(F.sum(F.col("weight") * F.col("weight"))) * F.lit(index.drift),
+        ).alias("bound")
     )
-    return pairs, bounds, long
+    return index.scaled(pairs, "low", "short"), bounds, long.select("qid", "term", "parts", "weight")
 
 
-def _complete(pairs: DataFrame, terms: DataFrame, index: CaseIndex, long: DataFrame) -> DataFrame:
-    """(qid, gid, exact) of the given pairs (qid, gid, short): cut terms are added from both
-    sides' weights, read or not."""
-    entry = F.map_from_entries(F.collect_list(F.struct("term", "weight")))
-    query_long = (
-        terms.join(long.select("term"), "term", "left_semi").groupBy("qid").agg(entry.alias("ql"))
+def _common(pairs: DataFrame, terms: DataFrame, index: Segment) -> DataFrame:
+    """(qid, gid, more): what the terms (qid, term, parts, weight) add to the similarity of the
+    given pairs (qid, gid). Each needed posting is looked up in its part of the list; lists are
+    not moved as a whole."""
+    wanted = pairs.join(terms, "qid").withColumn(
+        "part", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")
     )
-    case_long = (
-        index.postings.join(long.select("term"), "term", "left_semi")
-        .join(pairs.select("gid").distinct(), "gid", "left_semi")
-        .groupBy("gid")
-        .agg(entry.alias("cl"))
-    )
-    return (
-        pairs.join(query_long, "qid", "left")
-        .join(case_long, "gid", "left")
-        .select(
-            "qid", "gid",
-            (F.col("short") + F.coalesce(_dot("ql", "cl"), F.lit(0.0))).alias("exact"),
-        )
+    listed = index.postings.select("term", "part", "gid", F.col("weight").alias("w"))
+    more = (
+        wanted.join(listed, ["term", "part", "gid"])
+        .groupBy("qid", "gid")
+        .agg(F.sum(F.col("weight") * F.col("w")).alias("more"))
     )
+    return index.scaled(more, "more")
 
 
-def _stand_ins(queries: DataFrame, index: CaseIndex, k: int) -> DataFrame:
+def _stand_ins(queries: DataFrame, index: Segment, k: int) -> DataFrame:
     """(qid, gid) of the first k groups of the query's intent and the first k of all."""
     by_intent = smallest_per_group(
         index.groups.select("gid", "case_intent", "first_id"),
@@ -220,7 +315,7 @@ def _hit(sim: str) -> Column:
 
 
 def _decide_pairs(
-    scored: DataFrame, bounds: DataFrame, terms: DataFrame, index: CaseIndex, long: DataFrame, k: int
+    scored: DataFrame, bounds: DataFrame, index: Segment, long: DataFrame, k: int
 ) -> tuple[DataFrame, DataFrame]:
     """The pairs whose place among the first k or whose hit is not settled by low and
     low + bound, with exact `sim`; and (qid, hit) of the settled rest. The first k of a query
@@ -245,9 +340,12 @@ def _decide_pairs(
         .drop("bound", "n", "kth")
     )
     open_pairs = materialize(judged.filter("unsettled"), "open-pairs")
-    exact = _complete(open_pairs.select("qid", "gid", "short"), terms, index, long)
-    completed = open_pairs.drop("sim").join(
-        exact.withColumnRenamed("exact", "sim"), ["qid", "gid"]
+    more = _common(open_pairs.select("qid", "gid"), long, index)
+    completed = (
+        open_pairs.drop("sim")
+        .join(more, ["qid", "gid"], "left")
+        .withColumn("sim", F.col("short") + F.coalesce("more", F.lit(0.0)))
+        .drop("more")
     )
     rest = judged.filter(~F.col("unsettled")).select("qid", _hit("low").alias("hit"))
     settled = rest.filter(F.col("hit") > 0).groupBy("qid").agg(F.sum("hit").alias("hit"))
@@ -255,11 +353,10 @@ def _decide_pairs(
 
 
 def _score_groups(
-    queries: DataFrame, index: CaseIndex, k: int, intent_weight: float, depth: int
+    queries: DataFrame, terms: DataFrame, index: Segment, k: int, intent_weight: float, depth: int
 ) -> tuple[DataFrame, DataFrame]:
     """Top-k groups (qid, gid, place, sim, final) and hits (qid, relevant_hit_count) of
-    distinct queries (qid, cleaned_text, intent)."""
-    terms = materialize(_query_terms(queries, index), "terms")
+    distinct queries (qid, intent) with `terms` (qid, term, weight)."""
     intents = index.groups.select(F.col("case_intent").alias("intent")).distinct()
     facts = index.groups.select("gid", "case_intent", "copies", "first_id")
     zero = F.lit(0.0)
@@ -287,7 +384,7 @@ def _score_groups(
         settled = None
         if not last:
             scored = materialize(scored, "scored")
-            scored, settled = _decide_pairs(scored, bounds, terms, index, long, k)
+            scored, settled = _decide_pairs(scored, bounds, index, long, k)
         final = (F.col("sim") + F.col("bonus")).alias("final")
         scored = scored.select("qid", "gid", "first_id", "sim", final, _hit("sim").alias("hit"))
         order = [F.desc(F.round("final", 9)), F.asc("first_id")]
@@ -332,7 +429,7 @@ def _score_groups(
 
 def retrieve(
     queries: DataFrame,
-    index: CaseIndex,
+    index: CaseIndex | CaseStore,
     k: int = 3,
     intent_weight: float = packs.INTENT_WEIGHT,
     depth: int = 1024,
@@ -341,6 +438,7 @@ def retrieve(
 
     `queries` has query_id, cleaned_text, intent (null: no bonus, every hit counts). Ranked by
     final score to nine digits, then case id. `similarity` and `final_score` are unrounded.
+    Every segment of the index is searched; the first k of all are among the first k of each.
     """
     keyed = materialize(
         queries.select(
@@ -352,20 +450,25 @@ def retrieve(
         F.first("cleaned_text").alias("cleaned_text"), F.first("intent").alias("intent")
     )
     distinct = materialize(distinct, "distinct")
-    top, hits = _score_groups(distinct, index, k, intent_weight, depth)
-    top = materialize(top, "top")
-    expanded = top.join(first_ids(index.cases, top, k), "gid").select(
-        "qid", "sim", "final", "case_id"
-    )
+    terms, expanded, hits = None, None, None
+    for segment in index.segments():
+        if terms is None:
+            terms = _query_terms(distinct, segment)
+        top, found = _score_groups(distinct, terms, segment, k, intent_weight, depth)
+        top = materialize(top, "top")
+        rows = (
+            top.join(first_ids(segment.cases, top, k), "gid")
+            .select("qid", "sim", "final", "case_id")
+            .join(segment.cases.withColumnRenamed("intent", "case_intent"), "case_id")
+            .select("qid", "sim", "final", "case_id", "case_intent", "customer_problem", "resolution")
+        )
+        expanded = rows if expanded is None else expanded.unionByName(rows)
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("qid").agg(F.sum("relevant_hit_count").alias("relevant_hit_count"))
     rank = F.row_number().over(
         Window.partitionBy("qid").orderBy(F.desc(F.round("final", 9)), F.asc("case_id"))
-    )  # at most k groups of k ids
-    ranked = (
-        expanded.withColumn("rank", rank)
-        .filter(F.col("rank") <= k)
-        .join(hits, "qid")
-        .join(index.cases.withColumnRenamed("intent", "case_intent"), "case_id")
-    )
+    )  # at most k groups of k ids for each segment
+    ranked = expanded.withColumn("rank", rank).filter(F.col("rank") <= k).join(hits, "qid")
     return keyed.select("query_id", "qid", F.col("intent").alias("predicted_intent")).join(
         ranked, "qid"
     ).select(
@@ -460,34 +563,46 @@ def similar_pairs(
         ),
         "distinct",
     )
-    terms = _query_terms(distinct, index).join(index.stats.select("term", "listed"), "term")
+    facts, terms, heavy = _asked_facts(_query_terms(distinct, index), index, None)
     from_frequent = Window.partitionBy("qid").orderBy(F.desc("listed"), F.asc("term"))
-    tail = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(from_frequent))
+    square = F.col("weight") * F.col("weight")
+    tail = F.sqrt(F.sum(square).over(from_frequent))
     terms = materialize(
-        terms.withColumn("in_prefix", tail >= threshold - EPS).drop("listed"), "prefix"
+        terms.withColumn("in_prefix", tail >= threshold - EPS).select(
+            "qid", "term", "salt", "parts", "weight", "in_prefix"
+        ),
+        "prefix",
     )
-    listed = index.postings.select("term", "gid", F.col("weight").alias("w"))
+    inside = terms.filter("in_prefix").select("term").distinct()
+    read = index.postings.join(
+        index.in_parts(facts.select("term", "parts").join(inside, "term", "left_semi")),
+        ["term", "part"],
+    ).select("term", "gid", F.col("weight").alias("w"))
     head = (
         terms.filter("in_prefix")
-        .join(listed, "term")
+        .join(heavy.spread(read, "salt"), ["term", "salt"])
         .groupBy("qid", "gid")
-        .agg(F.sum(F.col("weight") * F.col("w")).alias("head"))
+        .agg(
+            F.sum(F.col("weight") * F.col("w")).alias("head"),
+            F.sum(F.col("w") * F.col("w")).alias("seen"),
+        )
     )
-    entry = F.struct("term", "weight")
     outside = terms.filter(~F.col("in_prefix"))
-    query_rest = outside.groupBy("qid").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("ql")
+    rest = outside.groupBy("qid").agg(F.sqrt(F.sum(square)).alias("rest"))
+    # What the case has outside the terms met is no longer than the rest of a unit vector.
+    reach = F.col("head") + F.coalesce("rest", F.lit(0.0)) * F.sqrt(
+        F.greatest(1.0 - F.col("seen"), F.lit(0.0))
+    )
+    open_pairs = materialize(
+        head.join(rest, "qid", "left").filter(reach >= threshold - EPS).select("qid", "gid", "head"),
+        "open-pairs",
     )
-    case_rest = (
-        index.postings.join(outside.select("term").distinct(), "term", "left_semi")
-        .groupBy("gid")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("cl"))
+    more = _common(
+        open_pairs.select("qid", "gid"), outside.select("qid", "term", "parts", "weight"), index
     )
-    similarity = F.col("head") + F.coalesce(_dot("ql", "cl"), F.lit(0.0))
     return (
-        head.join(query_rest, "qid", "left")
-        .join(case_rest, "gid", "left")
-        .select("qid", "gid", similarity.alias("similarity"))
+        open_pairs.join(more, ["qid", "gid"], "left")
+        .select("qid", "gid", (F.col("head") + F.coalesce("more", F.lit(0.0))).alias("similarity"))
         .filter(F.col("similarity") >= threshold)
         .join(distinct.select("qid", "query_id", "query_copies"), "qid")
         .join(index.groups.select("gid", "first_id", "case_intent", "copies"), "gid")

@@ -8,13 +8,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions.text import ngrams, tokens
 from supportlake.session import materialize
 
 
+#: Rows of a term that lie together, and how many terms may be dealt in parts.
+PART_ROWS = 65_536
+HEAVY_TERMS = 10_000
+
+
 @dataclass(frozen=True)
 class Vectorizer:
     """Settings of one use of TF-IDF."""
@@ -88,14 +93,53 @@ def term_stats(counts: DataFrame, n_docs: int, settings: Vectorizer) -> DataFram
     return stats.withColumn("idf", idf)
 
 
-def tfidf_weights(counts: DataFrame, stats: DataFrame, bounded: bool = False) -> DataFrame:
+class HeavyTerms:
+    """Terms with very many rows, each dealt over parts of about `part_rows` rows, so that a
+    join on (term, part) has no hot key.
+
+    At most `most` terms, the most frequent ones, are listed; that is the bound of what is
+    broadcast. A term not listed has fewer than 1 / `most` of all rows, or fits one part.
+    """
+
+    def __init__(self, sizes: DataFrame, part_rows: int = PART_ROWS, most: int = HEAVY_TERMS):
+        """sizes: (term, n), a row per term."""
+        heavy = (
+            sizes.filter(F.col("n") > part_rows)
+            .orderBy(F.desc("n"), F.asc("term"))
+            .limit(most)
+            .select("term", F.ceil(F.col("n") / part_rows).cast("int").alias("heavy_parts"))
+        )
+        self.table = materialize(heavy, "heavy-terms")
+
+    def _parts(self, rows: DataFrame) -> tuple[DataFrame, Column]:
+        return rows.join(F.broadcast(self.table), "term", "left"), F.coalesce("heavy_parts", F.lit(1))
+
+    def deal(self, rows: DataFrame, by: str, part: str = "part") -> DataFrame:
+        """Adds the part that a row of its term belongs to, by the value of column `by`."""
+        marked, parts = self._parts(rows)
+        return marked.withColumn(part, F.pmod(F.xxhash64(by), parts).cast("int")).drop("heavy_parts")
+
+    def spread(self, facts: DataFrame, part: str = "part") -> DataFrame:
+        """Rows that belong to a whole term, once for each of its parts."""
+        marked, parts = self._parts(facts)
+        return marked.withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1))).drop("heavy_parts")
+
+
+def tfidf_weights(
+    counts: DataFrame, stats: DataFrame, bounded: bool = False, heavy: HeavyTerms | None = None
+) -> DataFrame:
     """(id, term, tf, weight), each document's weights scaled to length 1.
 
     bounded: the vocabulary is cut to max_features, so its few thousand rows are broadcast;
-    otherwise the join shuffles on the term and AQE splits frequent terms.
+    otherwise the join shuffles on the term, and on parts of the `heavy` terms if given.
     """
     idf = stats.select("term", "idf")
-    joined = counts.join(F.broadcast(idf) if bounded else idf, "term")
+    if bounded:
+        joined = counts.join(F.broadcast(idf), "term")
+    elif heavy is not None:
+        joined = heavy.deal(counts, "id").join(heavy.spread(idf), ["term", "part"])
+    else:
+        joined = counts.join(idf, "term")
     raw = joined.select(
         "id", "term", "tf", ((1.0 + F.log(F.col("tf"))) * F.col("idf")).alias("raw")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from supportlake.functions import packs
 from supportlake.operators import dense, retrieval, tfidf
+from supportlake.operators.case_store import CaseStore
 
 
 def grams(text):
@@ -82,6 +83,121 @@ def test_topk_equals_brute_force(spark, seed, depth, k):
         assert {r.relevant_hit_count for r in rows} == {hits}, q
 
 
+def check_ranked(rows, queries, cases, k):
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append(r)
+    expected = brute(queries, cases, k)
+    assert got.keys() == expected.keys()
+    for q, (top, hits) in expected.items():
+        found = sorted(got[q], key=lambda r: r["rank"])
+        assert [r.case_id for r in found] == [c for c, _, _ in top], q
+        np.testing.assert_allclose([r.similarity for r in found], [s for _, s, _ in top], atol=1e-9)
+        assert {r.relevant_hit_count for r in found} == {hits}, q
+
+
+CASES = "case_id string, cleaned_problem string, intent string"
+QUERIES = "query_id string, cleaned_text string, intent string"
+
+
+@pytest.mark.parametrize("depth, k, part_rows", [(4, 3, 7), (256, 2, 65536)])
+def test_store_grows_and_merges_exactly(spark, tmp_path, depth, k, part_rows):
+    queries, cases = make(11 + k, 120, 40)
+    # Later cases have other words and copies of earlier texts, so idf moves and groups meet.
+    cases = cases[:60] + [(c, t.replace("w1", "new"), i) for c, t, i in cases[60:]]
+    asked = spark.createDataFrame(queries, QUERIES)
+
+    def frame(rows):
+        return spark.createDataFrame(rows, CASES).withColumns(
+            {"customer_problem": F.lit("p"), "resolution": F.lit("r")}
+        )
+
+    path = str(tmp_path / "store")
+    CaseStore.create(path, frame(cases[:60]), buckets=3, part_rows=part_rows)
+    for upto in (100, 120):
+        store = CaseStore.open(spark, path)
+        store.append(frame(cases[60 if upto == 100 else 100 : upto]))
+        store = CaseStore.open(spark, path)
+        assert store.manifest["n_cases"] == upto
+        rows = retrieval.retrieve(asked, store, k, depth=depth).collect()
+        check_ranked(rows, queries, cases[:upto], k)
+    assert len(store.segments()) == 3 and store.segments()[0].drift > 1
+    CaseStore.open(spark, path).merge()
+    merged = CaseStore.open(spark, path)
+    assert len(merged.segments()) == 1 and merged.segments()[0].scales is None
+    merged.vacuum()
+    check_ranked(retrieval.retrieve(asked, merged, k, depth=depth).collect(), queries, cases, k)
+
+
+def test_store_versions(spark, tmp_path):
+    case = spark.createDataFrame([("c1", "late parcel", "a", "p", "r")], f"{CASES}, customer_problem string, resolution string")
+    path = str(tmp_path / "it's a store")
+    with pytest.raises(FileNotFoundError):
+        CaseStore.open(spark, path)
+    first = CaseStore.create(path, case, buckets=2)
+    with pytest.raises(ValueError):
+        CaseStore.create(path, case)
+    first.append(case.withColumn("case_id", F.lit("c2")))
+    with pytest.raises(RuntimeError):  # another writer was faster
+        first.append(case.withColumn("case_id", F.lit("c3")))
+    asked = spark.createDataFrame([("q", "parcel", None)], QUERIES)
+    old = retrieval.retrieve(asked, first, 3).collect()
+    assert [r.case_id for r in old] == ["c1"]  # an opened version stays as it is
+    now = retrieval.retrieve(asked, CaseStore.open(spark, path), 3).collect()
+    assert sorted(r.case_id for r in now) == ["c1", "c2"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_lists_are_read_where_they_lie(spark, tmp_path):
+    """No exchange between a posting list's scan and the join with what is asked of it."""
+    queries, cases = make(5, 90, 30)
+    frame = spark.createDataFrame(cases, CASES).withColumns(
+        {"customer_problem": F.lit("p"), "resolution": F.lit("r")}
+    )
+    store = CaseStore.create(str(tmp_path / "store"), frame, buckets=16)
+    segment = store.segments()[0]
+    facts = segment.in_parts(segment.terms.select("term", "parts"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = segment.postings.join(facts, ["term", "part"])
+        looked_up = segment.postings.join(
+            segment.postings.select("term", "part", "gid").distinct(), ["term", "part", "gid"]
+        )
+        for plan in (plan_of(joined), plan_of(looked_up)):
+            lines = plan.splitlines()
+            at = next(i for i, x in enumerate(lines) if "FileScan" in x and "bucket#" in x)
+            above = lines[:at]
+            join = max(i for i, x in enumerate(above) if "SortMergeJoin" in x)
+            assert "Bucketed: true" in lines[at]
+            assert not any("Exchange" in x for x in above[join:]), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_word_of_every_case_is_many_parts(spark):
+    n = 6000
+    cases = spark.range(n).select(
+        F.format_string("c%05d", "id").alias("case_id"),
+        F.concat(F.lit("common w"), (F.col("id") % 1500).cast("string"), F.lit(" x"), F.col("id").cast("string")).alias("cleaned_problem"),
+        F.lit("a").alias("intent"), F.lit("p").alias("customer_problem"), F.lit("r").alias("resolution"),
+    )
+    index = retrieval.CaseIndex(cases, part_rows=200)
+    lists = index.postings.filter("term = 'common'").groupBy("part").count().collect()
+    assert len(lists) == n // 200 and sum(r["count"] for r in lists) == n
+    # Dealt by (term, part), no task holds much more than others.
+    dealt = index.postings.repartition(16, "term", "part").groupBy(F.spark_partition_id()).count()
+    sizes = sorted(r["count"] for r in dealt.collect())
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+    asked = cases.limit(50).select(
+        F.col("case_id").alias("query_id"), F.col("cleaned_problem").alias("cleaned_text"), "intent"
+    )
+    rows = retrieval.retrieve(asked, index, 1, depth=100).collect()
+    assert len(rows) == 50 and all(abs(r.similarity - 1) < 1e-9 for r in rows)
+
+
 def test_similar_pairs_equal_brute_force(spark):
     queries, cases = make(7, 60, 30)
     case_df = spark.createDataFrame(cases, "case_id string, cleaned_problem string, intent string")
