@@ -1,15 +1,21 @@
 """Exact top-k by cosine over embedding columns, without a cross join.
 
-Cases are grouped into cells around pivot vectors, one cell per pivot and intent, and cells
-into blocks of bounded size. By the triangle inequality on angles no case of a cell is nearer
-to a query than the pivot's angle less the cell's radius. A query first visits its most
-promising cell, then only the cells whose bound can still change its top k or its hit count.
-One task multiplies one block by one chunk of queries and emits k rows per query.
+Cases lie in a tree of pivot vectors. A node with more than `block_rows` cases gets up to `FAN`
+of them as pivots of child nodes, and each case goes to the nearest; leaves hold the cases. Nodes
+are rows of a table, as many as the cases demand. By the triangle inequality on angles no case
+below a node is nearer to a query than the pivot's angle less the node's radius, nor farther
+than their sum.
+
+Queries go down level by level, each join meeting the queries at a node with the node's
+children. First every query takes its most promising way to a leaf, whose cases give it a k-th
+best score. Then it goes down all ways that can still change its top k or its hits; a node whose
+cases are certainly all hits is counted as a whole. One task multiplies one block of a leaf by one
+chunk of queries and emits k rows per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,8 +27,11 @@ from supportlake.operators.retrieval import first_ids
 from supportlake.operators.sampling import sample_key, smallest_per_group
 from supportlake.session import materialize
 
-MAX_PIVOTS = 256
-MAX_CELLS = 20_000
+#: Children of a node, and queries or cases of one node that a task meets with them.
+FAN = 64
+CHUNK = 1024
+ASSIGNED = 16_384
+ROOT = 1
 EPS = 1e-9
 
 
@@ -32,11 +41,41 @@ def _unit(column: pd.Series) -> np.ndarray:
     return m / np.where(norm == 0.0, 1.0, norm)
 
 
+def _meet(
+    rows: DataFrame, facts: DataFrame, sizes: DataFrame, chunk_rows: int, by: str,
+    task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+) -> DataFrame:
+    """Rows (node, ...) and facts (node, ...) that share a node, handed to `task` in chunks of
+    about `chunk_rows` rows with all facts of the node. sizes: (node, n) of the rows."""
+    chunks = sizes.select("node", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+    left = rows.join(chunks, "node").withColumn(
+        "chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")
+    )
+    right = facts.join(chunks, "node").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    )
+    return _cogroup(left.drop("chunks"), right.drop("chunks"), ["node", "chunk"], task, schema)
+
+
+def _cogroup(
+    left: DataFrame, right: DataFrame, keys: list[str],
+    task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+) -> DataFrame:
+    # Both sides may come from one table: new names part their columns.
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(task, schema)
+
+
 class DenseIndex:
-    """Cells and blocks over a case table (case_id, embedding, intent). Cases without an
-    embedding are left out."""
+    """A pivot tree over a case table (case_id, embedding, intent). Cases without an embedding
+    are left out. Cases with equal embedding and intent are one group.
 
-    def __init__(self, cases: DataFrame, block_rows: int = 4096):
+    placed    (gid, first_id, copies, case_intent, embedding, node), node a leaf
+    nodes     (node, parent, pivot, radius, groups, copies, leaf); the root has no pivot
+    intents   (node, case_intent, of_intent): copies of each intent below a node
+    """
+
+    def __init__(self, cases: DataFrame, block_rows: int = 4096, fan: int = FAN):
         cases = cases.filter(F.col("embedding").isNotNull())
         key = F.md5(
             F.concat_ws(
@@ -48,6 +87,7 @@ class DenseIndex:
         keyed = cases.select(
             "case_id", F.col("intent").cast("string").alias("intent"), "embedding", key.alias("gid")
         )
+        self.block_rows, self.fan = block_rows, fan
         self.cases = materialize(keyed, "dense-cases")
         sizes = self.cases.groupBy("gid").agg(
             F.count("*").alias("copies"),
@@ -56,109 +96,179 @@ class DenseIndex:
             F.min("case_id").alias("first_id"),
         )
         self.groups = materialize(sizes, "dense-groups")
-        n_groups = self.groups.count()
-        # At most MAX_PIVOTS vectors reach the driver and the tasks.
-        n_pivots = min(MAX_PIVOTS, max(1, n_groups // block_rows))
-        rows = (
-            self.groups.select("gid", "embedding")
-            .orderBy(sample_key(0, "gid"))
-            .limit(n_pivots)
-            .select("embedding")
-            .toPandas()
+        self._build()
+
+    def _build(self) -> None:
+        """One level after another, until no leaf is too large or none can be split."""
+        root = F.lit(ROOT).cast("long")
+        placed = self.groups.select(
+            "gid", "first_id", "copies", "case_intent", "embedding", root.alias("node")
         )
-        self.pivots = _unit(rows["embedding"])
-        self.placed = materialize(self._assign(), "dense-placed")
-        cells = (
-            self.placed.groupBy("pivot", "case_intent")
-            .agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
-            .withColumn("blocks", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
-            .withColumn("cell", F.row_number().over(Window.orderBy("pivot", "case_intent")))
+        whole = placed.groupBy("node").agg(
+            F.count("*").alias("groups"), F.sum("copies").alias("copies")
         )
-        self.cells = materialize(cells, "dense-cells")
-        if self.cells.count() > MAX_CELLS:
-            raise ValueError("too many intents for a cell table of bounded size")
-        self.block_rows = block_rows
-
-    def _assign(self) -> DataFrame:
-        pivots = self.pivots
-
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                if part.empty:
-                    continue
-                cos = np.clip(_unit(part["embedding"]) @ pivots.T, -1.0, 1.0)
-                best = cos.argmax(axis=1)
-                yield part.assign(
-                    pivot=best.astype("int32"),
-                    angle=np.arccos(cos[np.arange(len(part)), best]),
-                )
-
-        source = self.groups.select("gid", "first_id", "copies", "case_intent", "embedding")
-        kinds = dict(source.dtypes)
-        schema = ", ".join(f"{c} {kinds[c]}" for c in source.columns)
-        return source.mapInPandas(nearest, f"{schema}, pivot int, angle double")
-
+        empty = F.array().cast(self.groups.schema["embedding"].dataType)
+        level = materialize(
+            whole.select(
+                "node", F.lit(0).cast("long").alias("parent"), empty.alias("pivot"),
+                F.lit(np.pi).alias("radius"), "groups", "copies",
+                (F.col("groups") <= self.block_rows).alias("leaf"),
+            ),
+            "dense-level",
+        )
+        nodes, intents = level, []
+        done = None
+        while True:
+            intents.append(
+                placed.groupBy("node", "case_intent").agg(F.sum("copies").alias("of_intent"))
+            )
+            leaves = placed.join(level.filter("leaf").select("node"), "node", "left_semi")
+            done = leaves if done is None else done.unionByName(leaves)
+            open_ = level.filter(~F.col("leaf"))
+            if open_.isEmpty():
+                break
+            placed, level = self._split(placed, open_)
+            nodes = nodes.unionByName(level)
+        self.placed = materialize(done, "dense-placed")
+        self.nodes = materialize(nodes, "dense-nodes")
+        every = intents[0]
+        for more in intents[1:]:
+            every = every.unionByName(more)
+        self.intents = materialize(every, "dense-intents")
+        self.depth = len(intents)
 
-def _bounds(queries: DataFrame, index: DenseIndex, intent_weight: float) -> DataFrame:
-    """(qid, sim_bound, bound): per cell, in cell order, the best similarity and final score
-    a case of it could have. Cells are few (pivots times intents, at most MAX_CELLS)."""
-    cells = index.cells.toPandas().sort_values("cell")
-    pivots = index.pivots
+    def _split(self, placed: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of the open nodes at their children, and the children."""
+        fan = self.fan
+        rows = placed.join(open_.select("node"), "node", "left_semi")
+        wanted = F.least(F.lit(fan), F.greatest(F.lit(2), F.ceil(F.col("groups") / self.block_rows)))
+        drawn = smallest_per_group(
+            rows.select("node", "gid", "embedding"), ["node"], [sample_key(0, "gid")], fan
+        )
+        number = F.row_number().over(Window.partitionBy("node").orderBy(sample_key(0, "gid")))
+        pivots = materialize(
+            drawn.withColumn("child", number - 1)
+            .join(open_.select("node", wanted.alias("wanted")), "node")
+            .filter(F.col("child") < F.col("wanted"))
+            .select(
+                "node", (F.col("node") * fan + F.col("child")).alias("child"),
+                F.col("embedding").alias("pivot"),
+            ),
+            "dense-pivots",
+        )
 
-    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        which = cells["pivot"].to_numpy()
-        radius = cells["radius"].to_numpy()
-        intents = cells["case_intent"].to_numpy(dtype=object)
-        for part in batches:
+        def nearest(part: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
             if part.empty:
-                continue
-            angle = np.arccos(np.clip(_unit(part["embedding"]) @ pivots.T, -1.0, 1.0))
-            sim = np.cos(np.maximum(angle[:, which] - radius, 0.0))
-            same = part["intent"].to_numpy(dtype=object)[:, None] == intents[None, :]
-            yield pd.DataFrame(
-                {
-                    "qid": part["qid"],
-                    "sim_bound": list(sim),
-                    "bound": list(sim + np.where(same, intent_weight, 0.0)),
-                }
+                return pd.DataFrame(columns=columns)
+            near = near.sort_values("child")
+            cos = np.clip(_unit(part["embedding"]) @ _unit(near["pivot"]).T, -1.0, 1.0)
+            best = cos.argmax(axis=1)
+            out = part[columns[:-2]].copy()
+            out["node"] = near["child"].to_numpy()[best]
+            out["angle"] = np.arccos(cos[np.arange(len(part)), best])
+            return out
+
+        kept = ["gid", "first_id", "copies", "case_intent", "embedding"]
+        columns = [*kept, "node", "angle"]
+        kinds = dict(rows.dtypes)
+        schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", node long, angle double"
+        sizes = open_.select("node", F.col("groups").alias("n"))
+        moved = materialize(
+            _meet(rows, pivots, sizes, ASSIGNED, "gid", nearest, schema), "dense-moved"
+        )
+        found = moved.groupBy("node").agg(
+            F.max("angle").alias("radius"), F.count("*").alias("groups"),
+            F.sum("copies").alias("copies"),
+        )
+        level = (
+            pivots.select(F.col("child").alias("node"), F.col("node").alias("parent"), "pivot")
+            .join(found, "node")
+            .join(open_.select(F.col("node").alias("parent"), F.col("groups").alias("above")), "parent")
+            # Equal vectors do not part: such a node stays a leaf of many blocks. Numbers of
+            # nodes end where a long does.
+            .withColumn(
+                "leaf",
+                (F.col("groups") <= self.block_rows)
+                | (F.col("groups") == F.col("above"))
+                | (F.col("node") >= (1 << 62) // fan),
             )
+            .select("node", "parent", "pivot", "radius", "groups", "copies", "leaf")
+        )
+        return moved.drop("angle"), materialize(level, "dense-level")
+
+
+def _children(at: DataFrame, queries: DataFrame, index: DenseIndex, weight: float) -> DataFrame:
+    """(qid, counted, node, leaf, high, low, bound, relevant, intent) for the children of the
+    nodes that queries are at (qid, node, counted): the largest and smallest similarity below, the
+    largest final score, and how many cases below count as hits if they are near enough."""
 
+    def angles(part: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or near.empty:
+            return pd.DataFrame(columns=columns)
+        angle = np.arccos(np.clip(_unit(part["embedding"]) @ _unit(near["pivot"]).T, -1.0, 1.0))
+        radius = near["radius"].to_numpy()[None, :]
+        n, m = angle.shape
+        return pd.DataFrame(
+            {
+                "qid": np.repeat(part["qid"].to_numpy(), m),
+                "counted": np.repeat(part["counted"].to_numpy(), m),
+                "intent": np.repeat(part["intent"].to_numpy(dtype=object), m),
+                "node": np.tile(near["child"].to_numpy(), n),
+                "leaf": np.tile(near["leaf"].to_numpy(), n),
+                "copies": np.tile(near["copies"].to_numpy(), n),
+                "high": np.cos(np.maximum(angle - radius, 0.0)).ravel(),
+                "low": np.cos(np.minimum(angle + radius, np.pi)).ravel(),
+            }
+        )
+
+    columns = ["qid", "counted", "intent", "node", "leaf", "copies", "high", "low"]
     kind = dict(queries.dtypes)["qid"]
-    schema = f"qid {kind}, sim_bound array<double>, bound array<double>"
-    return queries.select("qid", "intent", "embedding").mapInPandas(bound, schema)
+    schema = (
+        f"qid {kind}, counted boolean, intent string, node long, leaf boolean, copies long, "
+        "high double, low double"
+    )
+    below = index.nodes.filter("parent > 0").select(
+        F.col("parent").alias("node"), F.col("node").alias("child"), "pivot", "radius", "leaf", "copies"
+    )
+    there = at.join(queries.select("qid", "intent", "embedding"), "qid")
+    sizes = at.groupBy("node").agg(F.count("*").alias("n"))
+    met = _meet(there, below, sizes, CHUNK, "qid", angles, schema)
+    same = index.intents.withColumnRenamed("case_intent", "intent")
+    joined = met.join(same, ["node", "intent"], "left")
+    bonus = F.when(F.col("of_intent").isNotNull(), F.lit(weight)).otherwise(F.lit(0.0))
+    relevant = F.when(F.col("intent").isNull(), F.col("copies")).otherwise(
+        F.coalesce("of_intent", F.lit(0))
+    )
+    return joined.select(
+        "qid", "counted", "intent", "node", "leaf", "high", "low",
+        (F.col("high") + bonus).alias("bound"), relevant.alias("relevant"),
+    )
 
 
 def _score(
     visits: DataFrame, queries: DataFrame, index: DenseIndex, k: int, intent_weight: float
 ) -> DataFrame:
-    """Score (qid, cell) visits block by block: k candidate rows per query and block, the hit
-    count of the block on the first of them."""
-    load = visits.groupBy("cell").agg(F.count("*").alias("visitors"))
-    chunked = load.withColumn(
-        "chunks", F.ceil(F.col("visitors") / F.lit(1024)).cast("int")
-    ).join(index.cells.select("cell", "pivot", "case_intent", "blocks"), "cell")
+    """Score (qid, node, counted) visits of leaves block by block: k candidate rows per query and
+    block, the hits of the block on the first of them, none where they are counted already."""
+    load = visits.groupBy("node").agg(
+        F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks")
+    )
+    blocks = F.ceil(F.col("groups") / F.lit(index.block_rows)).cast("int")
+    plan = load.join(index.nodes.filter("leaf").select("node", blocks.alias("blocks")), "node")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (
-        visits.join(F.broadcast(chunked.select("cell", "chunks", "blocks")), "cell")
+        visits.join(plan, "node")
         .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("block", each("blocks"))
         .join(queries.select("qid", "intent", "embedding"), "qid")
-        .select("cell", "block", "chunk", "qid", "intent", "embedding")
+        .select("node", "block", "chunk", "qid", "intent", "embedding", "counted")
     )
     right = (
-        index.placed.join(
-            F.broadcast(
-                chunked.select(
-                    "cell", "chunks", "blocks",
-                    F.col("pivot").alias("of_pivot"), F.col("case_intent").alias("of_intent"),
-                )
-            ),
-            (F.col("case_intent").eqNullSafe(F.col("of_intent")))
-            & (F.col("pivot") == F.col("of_pivot")),
-        )
+        index.placed.join(plan, "node")
         .withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumn("chunk", each("chunks"))
         .select(
-            *[F.col(c).alias(c) for c in ("cell", "block", "chunk")], "gid", "first_id", "copies", "case_intent",
+            "node", "block", "chunk", "gid", "first_id", "copies", "case_intent",
             F.col("embedding").alias("vector"),
         )
     )
@@ -166,17 +276,16 @@ def _score(
     def block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         columns = ["qid", "gid", "first_id", "sim", "final", "hits"]
         if q.empty or c.empty:
-            return pd.DataFrame({name: [] for name in columns})
+            return pd.DataFrame(columns=columns)
         sims = _unit(q["embedding"]) @ _unit(c["vector"]).T
-        case_intent = c["case_intent"].iloc[0]  # a cell has one intent
-        same = (q["intent"] == case_intent).to_numpy()
-        anything = q["intent"].isna().to_numpy()
-        final = sims + np.where(same, intent_weight, 0.0)[:, None]
-        relevant = sims >= packs.HIT_SIMILARITY
+        codes, _ = pd.factorize(pd.concat([q["intent"], c["case_intent"]]))  # null: -1
+        asked, have = codes[: len(q)], codes[len(q) :]
+        same = (asked[:, None] == have[None, :]) & (asked >= 0)[:, None]
+        final = sims + np.where(same, intent_weight, 0.0)
+        relevant = (sims >= packs.HIT_SIMILARITY) & (same | (asked < 0)[:, None])
         hits = (relevant * c["copies"].to_numpy()[None, :]).sum(axis=1)
-        hits = np.where(same | anything, hits, 0)
-        ids = c["first_id"].to_numpy()
-        gids = c["gid"].to_numpy()
+        hits = np.where(q["counted"].to_numpy(dtype=bool), 0, hits)
+        ids, gids = c["first_id"].to_numpy(), c["gid"].to_numpy()
         out = []
         rounded = np.round(final, 9)
         for i, qid in enumerate(q["qid"].to_numpy()):
@@ -192,8 +301,61 @@ def _score(
     schema = (
         f"qid {kinds['qid']}, gid string, first_id {id_kind}, sim double, final double, hits long"
     )
-    by = ["cell", "block", "chunk"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(block, schema)
+    return _cogroup(left, right, ["node", "block", "chunk"], block, schema)
+
+
+def _first_leaf(start: DataFrame, asked: DataFrame, index: DenseIndex, weight: float) -> DataFrame:
+    """(qid, node, level): the leaf at the end of each query's most promising way."""
+    at, leaves = start, None
+    for level in range(1, index.depth):
+        best = F.row_number().over(
+            Window.partitionBy("qid").orderBy(F.desc("bound"), F.asc("node"))
+        )  # the children of one node
+        step = materialize(
+            _children(at, asked, index, weight).withColumn("nth", best).filter("nth = 1"),
+            "dense-step",
+        ).select("qid", "counted", "node", "leaf")
+        ended = step.filter("leaf").select("qid", "node", F.lit(level).alias("level"))
+        leaves = ended if leaves is None else leaves.unionByName(ended)
+        at = step.filter(~F.col("leaf")).select("qid", "node", "counted")
+    return leaves if leaves is not None else start.select("qid", "node", F.lit(0).alias("level"))
+
+
+def _open_leaves(
+    start: DataFrame, first: DataFrame, kth: DataFrame, asked: DataFrame, index: DenseIndex,
+    k: int, weight: float,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves (qid, node, counted) that can still change a query's top k or hits, and
+    (qid, hits) of nodes counted as a whole. `first`: the leaf each query looked into."""
+    at, leaves, sure = start, None, []
+    known = first.select("qid", F.col("node").alias("seen"), F.col("level").alias("seen_level"))
+    for level in range(1, index.depth):
+        any_ = ~F.col("counted") & (F.col("relevant") > 0)
+        # The node of this level that the leaf looked into lies below; its hits are counted.
+        above = F.expr(f"seen div cast(pow({index.fan}, greatest(seen_level - {level}, 0)) as bigint)")
+        on_way = (F.col("seen_level") >= level) & (above == F.col("node"))
+        whole = any_ & ~on_way & (F.col("low") >= packs.HIT_SIMILARITY + EPS)
+        some = any_ & (F.col("high") >= packs.HIT_SIMILARITY - EPS)
+        judged = (
+            _children(at, asked, index, weight)
+            .join(kth, "qid", "left")
+            .join(known, "qid")
+            .filter(F.col("seen") != F.col("node"))
+            .withColumns({
+                "near": (F.coalesce("n", F.lit(0)) < k) | (F.col("bound") >= F.col("kth") - EPS),
+                "whole": whole, "some": some,
+            })
+            .filter(F.col("near") | F.col("some"))
+        )
+        judged = materialize(judged, "dense-judged")
+        sure.append(judged.filter("whole").select("qid", F.col("relevant").alias("hits")))
+        on = judged.filter(F.col("near") | ~F.col("whole")).select(
+            "qid", "node", (F.col("counted") | F.col("whole")).alias("counted"), "leaf"
+        )
+        ended = on.filter("leaf").drop("leaf")
+        leaves = ended if leaves is None else leaves.unionByName(ended)
+        at = on.filter(~F.col("leaf")).drop("leaf")
+    return leaves, sure
 
 
 def dense_retrieve(
@@ -211,32 +373,28 @@ def dense_retrieve(
         ),
         "dense-queries",
     )
-    bounds = materialize(_bounds(asked, index, intent_weight), "dense-bounds")
-    best = F.array_position("bound", F.array_max("bound")).cast("int")  # cells count from 1
-    started = bounds.select("qid", best.alias("cell"))
-    first = materialize(_score(started, asked, index, k, intent_weight), "dense-first")
-    kth = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("final").alias("kth"))
-    each = F.posexplode(F.arrays_zip("sim_bound", "bound")).alias("pos", "c")
-    rest = (
-        bounds.join(asked.select("qid", "intent"), "qid")
-        .join(kth, "qid", "left")
-        .select("qid", "intent", "n", "kth", best.alias("seen"), each)
-        .withColumn("cell", F.col("pos") + 1)
-        .filter(F.col("cell") != F.col("seen"))
-        .join(F.broadcast(index.cells.select("cell", "case_intent")), "cell")
-        .filter(
-            (F.coalesce("n", F.lit(0)) < k)
-            | (F.col("c.bound") >= F.col("kth") - EPS)
-            | (
-                (F.col("c.sim_bound") >= packs.HIT_SIMILARITY - EPS)
-                & (F.col("intent").isNull() | (F.col("intent") == F.col("case_intent")))
-            )
-        )
-        .select("qid", "cell")
+    no = F.lit(False).alias("counted")
+    start = asked.select("qid", F.lit(ROOT).cast("long").alias("node"), no)
+    first = materialize(_first_leaf(start, asked, index, intent_weight), "dense-first-leaf")
+    found = materialize(
+        _score(first.select("qid", "node", no), asked, index, k, intent_weight),
+        "dense-first",
     )
-    second = _score(materialize(rest, "dense-rest"), asked, index, k, intent_weight)
-    found = materialize(first.unionByName(second), "dense-found")
-    hits = found.groupBy("qid").agg(F.sum("hits").alias("relevant_hit_count"))
+    hit_rows = [found.select("qid", "hits")]
+    if index.depth > 1:
+        best = smallest_per_group(found.select("qid", "final"), ["qid"], [F.desc("final")], k)
+        kth = best.groupBy("qid").agg(F.count("*").alias("n"), F.min("final").alias("kth"))
+        leaves, sure = _open_leaves(start, first, kth, asked, index, k, intent_weight)
+        second = materialize(
+            _score(materialize(leaves, "dense-leaves"), asked, index, k, intent_weight),
+            "dense-second",
+        )
+        found = found.unionByName(second)
+        hit_rows += [second.select("qid", "hits"), *sure]
+    hits = hit_rows[0]
+    for more in hit_rows[1:]:
+        hits = hits.unionByName(more)
+    hits = hits.groupBy("qid").agg(F.sum("hits").alias("relevant_hit_count"))
     order = [F.desc(F.round("final", 9))]
     near = materialize(
         smallest_per_group(found, ["qid"], [*order, F.asc("first_id")], k), "dense-near"

@@ -38,7 +38,7 @@ from supportlake.sources import tables
 
 
 def _raw(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    raw = sources.read_messages_csv(spark, a.raw, not a.single_line, a.max_rows)
+    raw = sources.scan_messages_csv(spark, a.raw, a.max_rows, False if a.single_line else None)
     return sources.coerce_messages(raw)
 
 

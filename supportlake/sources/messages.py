@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supportlake.functions.text import nvl, strip
+from supportlake.session import materialize
 
 RAW_SCHEMA = T.StructType(
     [
@@ -40,6 +41,110 @@ def read_messages_csv(
     return raw
 
 
+def _file_key(path: Column, block: Column) -> Column:
+    """Place of a row: file, start of its split, number within the split's scan."""
+    return F.struct(
+        path.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("row")
+    ).alias("ord")
+
+
+def _odd_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Physical lines with their place and number of quote characters."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    return spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        quotes.alias("quotes"),
+    )
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, row, record) of CSV files whose quoted fields may hold line breaks, split
+    like any text: a record's text, and the place of its first line.
+
+    A line begins inside quotes if an odd number of quotes stands before it in its file. Counts
+    per split say so for a split's first line, counts within the split for the others. Only
+    lines of records with breaks are brought together, each record on its own. A quote that is
+    never closed makes the rest of its file one record, as it does for any CSV reader. Line
+    ends inside quotes become a line feed.
+    """
+    lines = _odd_lines(spark, path)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialize(
+        lines.groupBy("file", "block").agg(F.sum("quotes").alias("n")), "csv-splits"
+    ).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("file", "block").orderBy("row")
+    earlier = F.coalesce(
+        F.sum("quotes").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    inside = (F.col("ahead") + earlier) % 2 == 1
+    marked = materialize(
+        lines.join(splits, ["file", "block"])
+        .withColumn("inside", inside)
+        .withColumn("whole", ~F.col("inside") & (F.col("quotes") % 2 == 0))
+        .drop("ahead", "quotes"),
+        "csv-lines",
+    )
+    broken = marked.filter(~F.col("whole"))
+    start = F.when(~F.col("inside"), F.struct("block", "row"))
+    # The record a line belongs to began in its split, or is the last that earlier ones began.
+    last = broken.groupBy("file", "block").agg(F.max(start).alias("last"))
+    open_ = last.select(
+        "file", "block", F.last("last", ignorenulls=True).over(before).alias("carried")
+    )
+    of = F.coalesce(F.last(start, ignorenulls=True).over(within), F.col("carried"))
+    pieces = F.transform(
+        F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda x: x["value"]
+    )
+    joined = (
+        broken.join(open_, ["file", "block"])
+        .withColumn("of", of)
+        .groupBy("file", "of")
+        .agg(F.array_join(pieces, "\n").alias("record"))
+        .select("file", "of.block", "of.row", "record")
+    )
+    blank = F.col("value") == ""
+    plain = marked.filter(F.col("whole") & ~blank).select(
+        "file", "block", "row", F.col("value").alias("record")
+    )
+    return plain.unionByName(joined)
+
+
+def scan_messages_csv(
+    spark: SparkSession, path: str, max_rows: int | None = None, multi_line: bool | None = None
+) -> DataFrame:
+    """Raw message rows plus `ord`, their place (file, block, row): it orders rows without
+    numbering them, so nothing is shuffled or joined.
+
+    multi_line: whether quoted fields hold line breaks; None: look, by counting each line's
+    quotes. Files without breaks are split and parsed by the CSV reader, in one scan; with
+    breaks, records are put together first (`csv_records`), still split. `max_rows` keeps the
+    first raw rows.
+    """
+    if multi_line is None:
+        multi_line = not _odd_lines(spark, path).filter(F.col("quotes") % 2 == 1).isEmpty()
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if multi_line:
+        header = ",".join(RAW_SCHEMA.names)
+        cells = F.from_csv("record", RAW_SCHEMA.simpleString()[7:-1].replace(":", " "), options)
+        key = F.struct("file", "block", "row").alias("ord")
+        bare = F.regexp_replace(F.trim("record"), '"', "")
+        raw = (
+            csv_records(spark, path).filter(bare != header).select(cells.alias("c"), key)
+            .select("c.*", "ord")
+        )
+    else:
+        place = _file_key(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+        raw = (
+            spark.read.schema(RAW_SCHEMA).options(header=True, **options).csv(path)
+            .select(*RAW_SCHEMA.names, place)
+        )
+    return raw if max_rows is None else first_rows(raw, max_rows)
+
+
 def with_file_order(df: DataFrame) -> DataFrame:
     """Add `ord`, the position of the row in (file path, offset) order.
 
@@ -110,25 +215,48 @@ def brand_filter(messages: DataFrame, brand: str, strict: bool = False) -> DataF
     return messages.filter(F.coalesce(keep, F.lit(False)))
 
 
+#: Order numbers that are counted together.
+STRETCH = 65_536
+
+
+def _order_levels(messages: DataFrame) -> list[Column]:
+    """The order key from its coarsest part to its finest: rows with the same coarser parts
+    lie together and are few enough to be sorted."""
+    kind = messages.schema["ord"].dataType
+    if isinstance(kind, T.StructType):
+        return [F.col("ord").getField(f.name) for f in kind.fields]
+    return [F.floor(F.col("ord") / F.lit(STRETCH)), F.col("ord")]
+
+
 def first_rows(messages: DataFrame, max_rows: int) -> DataFrame:
-    """The first `max_rows` rows by `ord`: the row cap of an extract.
+    """The first `max_rows` rows by `ord`, a unique number or a unique (file, block, row) key: the
+    row cap of an extract.
 
-    Rows are counted per stretch of 65,536 order numbers; only the counts are put in order,
-    and rows are ranked within their stretch.
+    The place of the cut is found first, by counts per file and per block (or per stretch of
+    numbers), read in order only as far as the cap reaches, so the result is a plain filter: no
+    row is moved, and files behind the cut are not read.
     """
-    stretch = F.floor(F.col("ord") / F.lit(65536)).alias("_stretch")
-    keyed = messages.select("*", stretch)
-    sizes = keyed.groupBy("_stretch").agg(F.count("*").alias("_in"))
-    running = Window.orderBy("_stretch")
-    before = (F.sum("_in").over(running) - F.col("_in")).alias("_before")
-    wanted = sizes.select("_stretch", before).filter(F.col("_before") < max_rows)
-    rank = F.row_number().over(Window.partitionBy("_stretch").orderBy("ord"))
-    return (
-        keyed.join(wanted, "_stretch")
-        .withColumn("_rank", rank)
-        .filter(F.col("_before") + F.col("_rank") <= max_rows)
-        .drop("_stretch", "_before", "_rank")
-    )
+    if max_rows <= 0:
+        return messages.filter(F.lit(False))
+    *coarse, fine = _order_levels(messages)
+    left, found, there = max_rows, [], messages.select("ord")
+    for part in coarse:
+        here = None
+        sizes = there.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part")
+        for row in sizes.toLocalIterator():
+            if row["n"] >= left:
+                here = row["part"]
+                break
+            left -= row["n"]
+        if here is None:
+            return messages
+        found.append((part, F.lit(here)))
+        there = there.filter(part == F.lit(here))
+    last = there.select(fine.alias("part")).orderBy("part").limit(left).agg(F.max("part")).first()[0]
+    keep = fine <= F.lit(last)
+    for part, here in reversed(found):
+        keep = (part < here) | ((part == here) & keep)
+    return messages.filter(keep)
 
 
 def extract_brand(
@@ -150,12 +278,8 @@ def file_audit(spark: SparkSession, path: str) -> DataFrame:
         .groupBy(F.col("_metadata.file_path").alias("path"))
         .agg(F.count("*").alias("total_lines"))
     )
-    records = (
-        spark.read.schema(RAW_SCHEMA)
-        .options(header=True, multiLine=True, quote='"', escape='"')
-        .csv(path)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(F.count("*").alias("total_records"))
+    records = csv_records(spark, path).groupBy(F.col("file").alias("path")).agg(
+        (F.count("*") - 1).alias("total_records")  # less the header
     )
     total = F.coalesce("total_lines", F.lit(0))
     plain = F.regexp_replace("path", "^file:/+", "/")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +45,15 @@ def write_threads(threads: DataFrame, path: str, fmt: str = "json") -> None:
     threads.write.mode("overwrite").partitionBy("quality_label").format(fmt).save(path)
 
 
-def read_threads(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return spark.read.schema(THREAD_SCHEMA).format(fmt).load(path)
+def read_threads(
+    spark: SparkSession, path: str, fmt: str = "json", corrupt: bool = False
+) -> DataFrame:
+    """Nested threads. `corrupt` adds _corrupt_record, the text of a JSON line that does not
+    parse, whose other columns are null; without it such lines give rows of nulls."""
+    schema = THREAD_SCHEMA
+    if corrupt:
+        schema = T.StructType([*THREAD_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def read_thread_file(spark: SparkSession, path: str) -> DataFrame:
@@ -65,13 +75,48 @@ def read_golden(spark: SparkSession, path: str, numbered: bool = False) -> DataF
     return rows.fillna("", subset=list(GOLDEN_COLUMNS))
 
 
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """What `write` puts into a folder takes the place of `path` as a whole: it is written
+    beside it, the old folder is moved aside and removed when the new one has its name. So
+    `path` may be what the written rows are read from. A failure leaves the old folder there,
+    or beside it, complete."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex[:8]
+    name = target.getName()
+    staged, aside = (
+        jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{name}-{x}-{mark}") for x in ("new", "old")
+    )
+    write(staged.toString())
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        fs.delete(staged, True)
+        raise OSError(f"could not move {path}")
+    if not fs.rename(staged, target):
+        if had:
+            fs.rename(aside, target)
+        raise OSError(f"could not replace {path}")
+    if had:
+        fs.delete(aside, True)
+
+
 def write_golden(rows: DataFrame, path: str) -> None:
-    """Evaluation sheet in its fixed column order. `path` must differ from the one `rows`
-    was read from: the table is rewritten whole."""
-    sheet = rows.select(*[F.col(c).cast("string").alias(c) for c in GOLDEN_COLUMNS])
-    sheet.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    """Evaluation sheet in its fixed column order, in the order of `idx` if the rows have it.
+    The sheet is replaced as a whole and may be the one that `rows` was read from."""
+    sheet = rows.orderBy("idx") if "idx" in rows.columns else rows
+    sheet = sheet.select(*[F.col(c).cast("string").alias(c) for c in GOLDEN_COLUMNS])
+    replace_folder(
+        rows.sparkSession, path,
+        lambda new: sheet.write.options(header=True, quote='"', escape='"').csv(new),
+    )
 
 
 def write_report(report: DataFrame, path: str) -> None:
     """Metric or report rows as JSON lines."""
     report.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a report; a line that does not parse is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -248,36 +248,59 @@ def test_coverage_edges(spark):
         assert ("< 0.20" in r.why) == (r.want == "THIN_OR_ABSENT")
 
 
-@pytest.mark.parametrize("block_rows", [7, 1000])
-def test_dense_topk_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize("block_rows, fan, k", [(7, 3, 3), (7, 64, 12), (2, 2, 1), (1000, 64, 3)])
+def test_dense_topk_equals_brute_force(spark, block_rows, fan, k):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 8))
     vectors = base[rng.integers(0, 6, 80)] + 0.3 * rng.normal(size=(80, 8))
     vectors[::3] = vectors[0]  # a third are copies
-    labels = rng.integers(0, 3, 80)
-    rows = [(i, [float(x) for x in v], str(l)) for i, (v, l) in enumerate(zip(vectors, labels))]
+    vectors[7] = 0.0
+    labels = [str(x) if x else None for x in rng.integers(0, 4, 80)]
+    rows = [(i, [float(x) for x in v], l) for i, (v, l) in enumerate(zip(vectors, labels))]
     df = spark.createDataFrame(rows, "case_id bigint, embedding array<float>, intent string")
-    index = dense.DenseIndex(df, block_rows=block_rows)
+    index = dense.DenseIndex(df.unionAll(df.limit(1).selectExpr("-1L", "null", "'x'")), block_rows, fan)
+    leaves = index.nodes.filter("leaf").agg(F.sum("groups"), F.max("groups"), F.count("*")).first()
+    assert leaves[0] == index.groups.count() and (leaves[2] > 8) == (block_rows < 10)
     asked = df.withColumnRenamed("case_id", "query_id").withColumn(
-        "intent", F.when(F.col("query_id") % 5 != 0, F.col("intent"))
+        "intent", F.when(F.col("query_id") % 5 != 0, F.coalesce("intent", F.lit("unknown")))
     )
     got = {}
-    for r in dense.dense_retrieve(asked, index, 3).collect():
+    for r in dense.dense_retrieve(asked, index, k).collect():
         got.setdefault(r.query_id, []).append(r)
     unit = np.float32(vectors).astype(float)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    norm = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit /= np.where(norm == 0, 1, norm)
     sims = unit @ unit.T
     for i in range(80):
-        intent = None if i % 5 == 0 else labels[i]
-        final = sims[i] + np.where(labels == intent, 0.25, 0.0) if intent is not None else sims[i]
-        order = sorted(range(80), key=lambda j: (-round(final[j], 9), j))[:3]
+        intent = None if i % 5 == 0 else labels[i] or "unknown"
+        same = np.array([intent is not None and x == intent for x in labels])
+        final = sims[i] + np.where(same, 0.25, 0.0)
+        order = sorted(range(80), key=lambda j: (-round(final[j], 9), j))[:k]
         near = sims[i] >= 0.18
-        hits = near.sum() if intent is None else (near & (labels == intent)).sum()
+        hits = near.sum() if intent is None else (near & same).sum()
         found = sorted(got[i], key=lambda r: r["rank"])
         assert [r.case_id for r in found] == order
         assert {r.relevant_hit_count for r in found} == {hits}
 
 
+def test_dense_search_leaves_far_cells_out(spark):
+    """Queries look into few of the leaves, and count whole ones without looking."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 16))
+    vectors = np.repeat(base, 20, axis=0) + 0.02 * rng.normal(size=(600, 16))
+    rows = [(i, [float(x) for x in v], "a") for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "case_id bigint, embedding array<double>, intent string")
+    index = dense.DenseIndex(df, block_rows=20, fan=8)
+    asked = df.select(F.col("case_id").alias("qid"), "embedding", "intent").filter("qid % 10 = 0")
+    start = asked.select("qid", F.lit(1).cast("long").alias("node"), F.lit(False).alias("counted"))
+    first = dense._first_leaf(start, asked, index, 0.25)
+    kth = asked.select("qid", F.lit(3).alias("n"), F.lit(1.2).alias("kth"))
+    leaves, sure = dense._open_leaves(start, first, kth, asked, index, 3, 0.25)
+    n_leaves = index.nodes.filter("leaf").count()
+    assert n_leaves > 20 and leaves.count() < 0.6 * 60 * n_leaves
+    assert sum(s.count() for s in sure) > 60
+
+
 def test_tfidf_cuts_vocabulary(spark):
     docs = spark.createDataFrame(
         [(1, "aa bb aa"), (2, "aa cc"), (3, "bb dd")], "id bigint, text string")

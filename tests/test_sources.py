@@ -48,6 +48,91 @@ def test_file_order_over_several_files(spark, tmp_path):
     assert [int(r.tweet_id) for r in got] == [*range(4), *range(10, 15), *range(20, 26)]
 
 
+def scanned(frame):
+    """Rows in order, without the place itself."""
+    return [tuple(r)[:-1] for r in frame.orderBy("ord").collect()]
+
+
+def test_scan_equals_the_numbered_reader(spark, tmp_path):
+    rows = list(ROWS) + [
+        '9,c9,True,,"three\n\nlines, ""quoted"" ",,\n', '10,c9,True,,"",,\n', "   \n",
+        '11,c9,True,,"ends\n',  # goes on in the next line, with what looks like a row
+        '12,c1,True,,no row,,\n', 'here",,\n', "13,c9,True,,é 日本,,12.0\n",
+    ]
+    for i in range(3):
+        csv(tmp_path, rows if i != 1 else ROWS[2:], f"part{i}.csv")
+    path = str(tmp_path) + "/part*.csv"
+    expected = scanned(m.read_messages_csv(spark, path))
+    assert len(expected) == 29
+    assert scanned(m.scan_messages_csv(spark, path)) == expected
+    for n in (0, 1, 7, 13, 28, 29, 50):
+        assert scanned(m.scan_messages_csv(spark, path, n)) == expected[:n]
+
+
+def test_records_across_splits(spark, tmp_path):
+    """Splits of a few bytes: records begin, go on and end in different ones."""
+    rows = [
+        f'{i},c,True,,"{"x" * (i % 7)}' + "\nmore, text" * (i % 4) + '",,\n' for i in range(120)
+    ]
+    path = csv(tmp_path, rows)
+    expected = scanned(m.read_messages_csv(spark, path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        assert scanned(m.scan_messages_csv(spark, path)) == expected
+        assert m.file_audit(spark, path).first().total_records == 120
+        plain = csv(tmp_path, [r.replace("\nmore, text", "") for r in rows], "plain.csv")
+        expected = scanned(m.read_messages_csv(spark, plain, multi_line=False))
+        assert scanned(m.scan_messages_csv(spark, plain)) == expected
+        assert scanned(m.scan_messages_csv(spark, plain, 61)) == expected[:61]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_scan_and_cut_move_no_rows(spark, tmp_path):
+    path = csv(tmp_path, [r for r in ROWS if "\n" not in r[:-1]])
+    for frame in (m.scan_messages_csv(spark, path), m.scan_messages_csv(spark, path, 3)):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(200_000).select((F.col("id") * 7).alias("ord"))
+    cut = m.first_rows(rows, 70_001)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert cut.agg(F.count("*"), F.max("ord")).first()[:] == (70_001, 490_000)
+
+
+def test_golden_sheet_is_replaced_in_place(spark, tmp_path):
+    path = str(tmp_path / "g")
+    columns = ", ".join(f"{c} string" for c in packs.GOLDEN_COLUMNS)
+    values = [[f"{i}-{c}" for c in packs.GOLDEN_COLUMNS] for i in range(9)]
+    values[3][2] = "a\nb"
+    tables.write_golden(spark.createDataFrame(values, columns).repartition(1), path)
+    sheet = tables.read_golden(spark, path, numbered=True)
+    changed = sheet.withColumn("gold_intent", F.concat(F.lit("new "), F.col("gold_intent")))
+    tables.write_golden(changed, path)
+    again = tables.read_golden(spark, path, numbered=True).orderBy("idx").collect()
+    assert [r.gold_intent for r in again] == [
+        "new " + v[packs.GOLDEN_COLUMNS.index("gold_intent")] for v in values
+    ]
+    assert [p.name for p in tmp_path.iterdir()] == ["g"]
+
+    def fails(new):
+        raise RuntimeError("disk full")
+
+    try:
+        tables.replace_folder(spark, path, fails)
+    except RuntimeError:
+        pass
+    assert tables.read_golden(spark, path).count() == 9
+
+
+def test_corrupt_thread_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "quality_label=usable").mkdir()
+    (tmp_path / "quality_label=usable" / "x.json").write_text('{"thread_id": "1", "messages": []}\n{"thread\n')
+    rows = tables.read_threads(spark, str(tmp_path), corrupt=True).collect()
+    assert sorted((r.thread_id or "", r._corrupt_record or "") for r in rows) == [("", '{"thread'), ("1", "")]
+
+
 def test_brand_filters(spark, tmp_path):
     rows = m.coerce_messages(m.read_messages_csv(spark, csv(tmp_path)))
     strict = sorted(r.ord for r in m.brand_filter(rows, "ShopDesk", strict=True).collect())
