@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window
 
 from supportlake.session import materialize, tune
 
-__all__ = ["arrow_map", "materialize", "prepare", "running_totals", "sha256_hex", "table"]
+__all__ = ["arrow_map", "lean", "materialize", "prepare", "running_totals", "sha256_hex", "table"]
 
 #: Rows and bytes that reach a Python worker at once.
 BATCH_ROWS = 2000
@@ -38,6 +40,28 @@ def arrow_map(
     return df.mapInArrow(task, schema)
 
 
+def _give_back() -> None:
+    """Hand memory that is no longer used back to the system: a worker lives on between tasks,
+    and the next stage's share of the executor is what idle workers leave."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(
+    task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that gives its memory back when it ends, for those that hold large arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        _give_back()
+
+    return run
+
+
 #: Slices of a running sum; fewer where it is kept for each of many values.
 SLICES, SLICES_WITHIN = 4096, 128
 

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import arrow_map
+from supportlake.llm.common import arrow_map, lean
 
 PHRASE_WORDS = 10
 SHARD_WORDS = 1_000_000
@@ -362,7 +362,7 @@ def find_phrases(
                 *(F.col(f"`{c}`") for c in columns),
                 F.col("text").cast("binary").alias("_bytes"), "_n_words", "_spans", "_items",
             ),
-            task,
+            lean(task),
             f"{schema}, _n_words long, _spans array<array<long>>, _items array<string>",
         )
 
@@ -415,6 +415,6 @@ def remove_spans(found: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in columns)
     return arrow_map(
         found.select(*(F.col(f"`{c}`") for c in columns), "_spans"),
-        task,
+        lean(task),
         f"{schema}, _changed boolean",
     )

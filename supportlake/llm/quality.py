@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import arrow_map, materialize
+from supportlake.llm.common import arrow_map, lean, materialize
 
 #: Rows of the table: the first SHAPES for shapes, the others for words.
 SHAPE_BITS = 10
@@ -60,7 +60,7 @@ def index_vectors(rows: int = ROWS, dims: int = DIMS, seed: int = SEED):
 
 def shape(word: bytes) -> bytes:
     """Runs of capitals, small letters, digits and marks, each run once; marks as they are."""
-    return _RUN.sub(rb"\1", word.translate(_KINDS))[:8]
+    return _RUN.sub(rb"\1", word.translate(_KINDS))
 
 
 class _Known(dict):
@@ -146,7 +146,7 @@ def context_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         )
 
     kind = "row long, n long, vector binary"
-    parts = arrow_map(docs.select(F.col("text").cast("binary")), task, kind)
+    parts = arrow_map(docs.select(F.col("text").cast("binary")), lean(task), kind)
     found = arrow_map(parts.repartition("row"), add_up, kind).toArrow()
     vectors, counts = np.zeros((ROWS, DIMS)), np.zeros(ROWS, np.int64)
     for row, n, v in zip(*(found.column(c).to_pylist() for c in range(3))):
@@ -214,7 +214,7 @@ def pooled(docs: DataFrame, shared, columns: list[str]) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return arrow_map(
-        docs.select(*columns, F.col("text").cast("binary")), task, f"{schema}, vector binary"
+        docs.select(*columns, F.col("text").cast("binary")), lean(task), f"{schema}, vector binary"
     )
 
 
@@ -302,20 +302,29 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Learned from `labels` (doc_id, quality) of at most `sample` ids that are not held out, in
     the order of the ids' hash, and from the texts of all documents. Null labels and null ids
-    teach nothing; repeated labels count as often as they stand."""
+    teach nothing; repeated labels count as often as they stand; of the texts that share an id,
+    the one with the least hash is learned from."""
     table = Table.of(*context_sums(docs))
     shared = docs.sparkSession.sparkContext.broadcast(table)
     usable = labels.filter(
         F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))
     ).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    # `sample` rows are a proven bound, so their ids may be broadcast.
+    # `sample` rows are a proven bound, so they may be broadcast.
     chosen = materialize(
         usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample), "quality-sample"
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    learned = (
-        pooled(rows, shared, ["doc_id", "quality"]).limit(2 * sample).toArrow()
-    ).sort_by([("doc_id", "ascending"), ("vector", "ascending")])
+    # One text per id, whatever the order of the rows, so that no more than `sample` are learned.
+    texts = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+        .select("doc_id", "least.text")
+    )
+    rows = texts.join(F.broadcast(chosen), "doc_id")
+    learned = pooled(rows, shared, ["doc_id", "quality"]).toArrow().sort_by(
+        [("doc_id", "ascending"), ("quality", "ascending")]
+    )
     y = np.array(learned["quality"].to_pylist(), np.float64)
     x = np.array([np.frombuffer(v, np.float32) for v in learned["vector"].to_pylist()])
     flat = float(y.mean()) if len(y) else 0.5
@@ -352,7 +361,7 @@ def score_quality(
             "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)),
             F.col("text").cast("binary"),
         ),
-        task,
+        lean(task),
         f"doc_id {kind}, held_out boolean, score double, predicted int",
     )
 
@@ -370,4 +379,4 @@ def filter_quality(
             score = shared.value.scores(features, ((t.as_py() or "").encode() for t in texts))
             yield batch.filter(pa.array(score >= least))
 
-    return arrow_map(docs, task, docs.schema)
+    return arrow_map(docs, lean(task), docs.schema)

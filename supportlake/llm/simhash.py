@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportlake.llm.common import arrow_map, materialize
+from supportlake.llm.common import arrow_map, lean, materialize
 from supportlake.llm.components import components
 
 DISTANCE = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow_map(
-        docs.select("doc_id", F.col("text").cast("binary")), task, f"doc_id {kind}, fp long"
+        docs.select("doc_id", F.col("text").cast("binary")), lean(task), f"doc_id {kind}, fp long"
     )
 
 
@@ -229,7 +229,7 @@ def _link_groups(rows: DataFrame, distance: int) -> DataFrame:
             yield links(np.concatenate(fps), np.concatenate(groups))
 
     dealt = rows.repartition("group").sortWithinPartitions("group")
-    return arrow_map(dealt.select("group", "fp"), task, "a long, b long")
+    return arrow_map(dealt.select("group", "fp"), lean(task), "a long, b long")
 
 
 def _blocks(fp, bits: int, shift: int, parts: int) -> list:

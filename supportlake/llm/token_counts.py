@@ -1,247 +1,45 @@
-"""Token counts by rank-synchronous array merging.
-
-A batch of texts is cut into words; each distinct word is cut into pre-tokens once. The distinct
-pre-tokens lie behind one another in flat arrays, one symbol a byte, a ragged array with a
-sequence for each pre-token. In a round every sequence finds the lowest rank among its pairs and
-merges that pair wherever it stands; sequences without a ranked pair leave. What is left of a
-sequence then is its number of tokens. Nothing is remembered from one batch to the next.
-"""
+"""Token counts by rank-synchronous array merging (`bpe`)."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from itertools import chain
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from supportlake.llm.bpe import batch_tokenizer
 from supportlake.llm.common import arrow_map
 
 LIMIT = 2048
-#: Above any rank.
-NONE = np.iinfo(np.int32).max
-#: Texts whose words are counted together.
-TEXTS = 1000
-#: Below this code point nothing composes, and case and classes are the same in every Unicode
-#: version.
-PLAIN = "ɐ"
-#: Python splits at these separators, a tokenizer does not.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
-SPACE = regex.compile("[^\\S\x1c-\x1f]+")
-
-
-def _byte_letters() -> str:
-    """The letter that byte-level tokenizers write for each byte: the printable one of the same
-    number, or else the next one from 256 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = iter(range(256, 512))
-    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
-
-
-class PairMerger:
-    """The merges of a byte-level BPE model, as sorted arrays."""
-
-    def __init__(self, model: dict):
-        other = {
-            "dropout": (None, 0.0), "unk_token": (None,), "byte_fallback": (False, None),
-            "ignore_merges": (False, None), "continuing_subword_prefix": (None, ""),
-        }
-        for name, plain in other.items():
-            if model.get("type") != "BPE" or model.get(name) not in plain:
-                raise ValueError(f"not a plain BPE model: {name}={model.get(name)!r}")
-        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
-        letters = _byte_letters()
-        self.inner = np.array([vocab[x] for x in letters], np.int64)
-        self.last = np.array([vocab[x + suffix] for x in letters], np.int64)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        # A pair that is listed twice has its last rank.
-        order = np.lexsort((-np.arange(key.size), key))
-        order = order[np.concatenate([[True], np.diff(key[order]) != 0])] if key.size else order
-        self.key, self.rank = key[order], order.astype(np.int32)
-        self.made = made
-
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        if not self.key.size:
-            return np.full(left.size, NONE, np.int32)
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.key, key), self.key.size - 1)
-        return np.where(self.key[at] == key, self.rank[at], NONE)
-
-    def count(self, words: list[bytes]) -> np.ndarray:
-        """Number of tokens of each of `words`."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        symbol = self.inner[np.frombuffer(b"".join(words), np.uint8)]
-        ends = np.cumsum(size)
-        full = size > 0
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        symbol[ends[full] - 1] = self.last[raw[ends[full] - 1]]
-        owner = np.repeat(np.arange(size.size), size)
-        left = size.copy()
-        # rank[i]: of the pair of symbols i and i + 1; the last symbol of a sequence has none.
-        rank = np.full(symbol.size, NONE, np.int32)
-        inside = np.flatnonzero(owner[1:] == owner[:-1])
-        rank[inside] = self._ranks(symbol[inside], symbol[inside + 1])
-        while symbol.size:
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            lowest = np.minimum.reduceat(rank, first)
-            length = np.diff(np.append(first, symbol.size))
-            if (lowest == NONE).any():
-                left[owner[first]] = length
-                live = np.repeat(lowest != NONE, length)
-                symbol, owner, rank = symbol[live], owner[live], rank[live]
-                length, lowest = length[lowest != NONE], lowest[lowest != NONE]
-                if not symbol.size:
-                    break
-            hit = np.flatnonzero(rank == np.repeat(lowest, length))
-            # Of pairs that overlap, as in "aaa", every second one from the left.
-            fresh = np.concatenate([[True], np.diff(hit) > 1])
-            nth = np.arange(hit.size)
-            hit = hit[(nth - np.maximum.accumulate(np.where(fresh, nth, 0))) % 2 == 0]
-            symbol[hit] = self.made[rank[hit]]
-            stays = np.ones(symbol.size, bool)
-            stays[hit + 1] = False
-            symbol, owner, rank = symbol[stays], owner[stays], rank[stays]
-            hit = hit - np.arange(hit.size)
-            # The merged symbol's pair with its successor, and its predecessor's with it.
-            touched = np.concatenate([hit, hit[hit > 0] - 1])
-            rank[touched] = NONE
-            touched = touched[touched + 1 < symbol.size]
-            touched = touched[owner[touched] == owner[touched + 1]]
-            rank[touched] = self._ranks(symbol[touched], symbol[touched + 1])
-        return left
-
-
-#: The normalizer and pre-tokenizer that `_pieces` follows without the library.
-_NORMAL = {
-    "type": "Sequence",
-    "normalizers": [
-        {"type": "NFC"},
-        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
-        {"type": "Lowercase"},
-    ],
-}
-_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_SPLIT = {
-    "type": "Sequence",
-    "pretokenizers": [
-        {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
-        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-    ],
-}
-
-
-class TokenCounter:
-    """Token counts of texts under a tokenizer file of the tokenizers library (.json, byte-level
-    BPE), without begin, end or added special tokens. Special strings within a text are one
-    token each, as by the library's default."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.merger = PairMerger(spec["model"])
-        self.library = Tokenizer.from_file(path)
-        added = spec.get("added_tokens") or []
-        for token in added:
-            if any(token.get(x) for x in ("single_word", "lstrip", "rstrip", "normalized")):
-                raise ValueError(f"added token with a rule of its own: {token['content']!r}")
-        names = sorted((t["content"] for t in added), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.by_word = spec.get("normalizer") == _NORMAL and spec.get("pre_tokenizer") == _SPLIT
-        self.pattern = regex.compile(_PATTERN + "|\n")
-        self.byte = {ord(x): b for b, x in enumerate(_byte_letters())}
-
-    def _library_pieces(self, text: str) -> list[bytes]:
-        if self.library.normalizer is not None:
-            text = self.library.normalizer.normalize_str(text)
-        if self.library.pre_tokenizer is None:
-            raise ValueError("a tokenizer without a byte-level pre-tokenizer")
-        found = self.library.pre_tokenizer.pre_tokenize_str(text)
-        return [piece.translate(self.byte).encode("latin-1") for piece, _ in found]
-
-    def _words(self, text: str) -> list[str]:
-        """What pre-tokens never reach across."""
-        if not self.by_word:
-            return [text]
-        if SEPARATORS.search(text):
-            return [w for w in SPACE.split(text) if w]
-        return text.split()
-
-    def _pieces(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
-        """Pre-tokens of all words, and the number of the word each is of."""
-        plain = [w for w in words if self.by_word and max(w) < PLAIN]
-        rest = [w for w in words if not self.by_word or max(w) >= PLAIN]
-        words[:] = plain + rest
-        pieces, owner = [], np.zeros(0, np.int64)
-        if plain:
-            # Words hold no white space, so a line break always stands between two of them.
-            cut = self.pattern.findall("\n".join(plain).lower())
-            breaks = np.fromiter(map("\n".__eq__, cut), bool, len(cut))
-            owner = np.cumsum(breaks)[~breaks]
-            pieces = [x.encode() for x in cut if x != "\n"]
-        more = [self._library_pieces(w) for w in rest]
-        of = np.repeat(np.arange(len(plain), len(words)), [len(m) for m in more] or 0)
-        return pieces + list(chain.from_iterable(more)), np.concatenate([owner, of])
-
-    def _word_counts(self, words: Iterable[str]) -> dict[str, int]:
-        words = list(words)
-        pieces, owner = self._pieces(words)
-        number = {piece: i for i, piece in enumerate(dict.fromkeys(pieces))}
-        tokens = self.merger.count(list(number))
-        each = tokens[np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))]
-        return dict(zip(words, np.bincount(owner, each, len(words)).astype(np.int64).tolist()))
-
-    def count(self, texts: list[str]) -> list[int]:
-        special, parts = [0] * len(texts), []
-        for i, text in enumerate(texts):
-            if self.special is not None and self.special.search(text):
-                segments = self.special.split(text)
-                special[i] = len(segments) - 1
-                parts.append(list(chain.from_iterable(map(self._words, segments))))
-            else:
-                parts.append(self._words(text))
-        counts = self._word_counts({w for w in chain.from_iterable(parts) if w})
-        counts[""] = 0
-        return [n + sum(map(counts.__getitem__, row)) for n, row in zip(special, parts)]
-
-
-@lru_cache(maxsize=1)
-def _counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each document: UTF-8 bytes, tokens
     under the tokenizer file (the same path on every executor), whether tokens exceed `limit`.
 
-    A null text counts as empty: no byte, no token. Texts are never cut. Repeated rows and
+    A null text counts as empty: no byte, no token. Texts are never cut short. Repeated rows and
     repeated or null ids are answered each on its own; an empty table gives no rows. Columns
-    other than doc_id and text are not read. There is no shuffle.
+    other than doc_id and text are not read. There is no shuffle, and nothing is remembered
+    from one batch to the next.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
+        counter = batch_tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                tokens = counter.count(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(tokens, pa.int64())],
-                    ["doc_id", "n_bytes", "n_tokens"],
-                )
+            tokens = counter.count(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens"],
+            )
 
     text = F.coalesce("text", F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = arrow_map(
-        docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")),
+        docs.select(
+            "doc_id", F.octet_length(text).cast("long").alias("n_bytes"),
+            text.cast("binary").alias("text"),
+        ),
         task,
         f"doc_id {kind}, n_bytes long, n_tokens long",
     )

@@ -11,7 +11,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from supportlake.llm import merkle, prefix_trie, token_counts
+from supportlake.llm import bpe, merkle, prefix_trie, token_counts
 from supportlake.llm.queries import merkle_digest, rebuilt_conversations, word_tokenizer
 from tests.llm.test_operators import make_docs, words
 
@@ -304,13 +304,38 @@ def test_token_counts_under_another_byte_level_file():
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(9)
     texts = [t or "" for t in ODD_TEXTS[:-1]] + [words(rng, 50, "theonrsa ") for _ in range(50)]
-    assert token_counts.TokenCounter(path).count(texts) == library_counts(path, texts)
+    counts = bpe.BatchTokenizer(path).count([t.encode() for t in texts])
+    assert counts.tolist() == library_counts(path, texts)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids_equal_the_library(name, monkeypatch):
+    """Also where texts are cut into small portions, between words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(name))
+    rng = random.Random(3)
+    texts = [t or "" for t in ODD_TEXTS] + ["ÀÉÞß÷×ÿ Ã¥Ü9é8'É É's", "é̈ ñ́ c'est l'été n'a"]
+    texts += [
+        "".join(rng.choice("abAB '’.,0éÉ×ßÿ中 \n̈\x1f<|") for _ in range(rng.randrange(60)))
+        for _ in range(600)
+    ]
+    texts.append(words(rng, 4000, "abcdeé") + "x" * 300)
+    library = Tokenizer.from_file(path)
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    raw = [t.encode() for t in texts]
+    for portion in (bpe.PORTION, 40):
+        monkeypatch.setattr(bpe, "PORTION", portion)
+        ids, size = bpe.BatchTokenizer(path).encode(raw)
+        assert size.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
 
 
 def test_merges_are_those_of_a_queue_by_rank():
     """Against the plain rule: merge the lowest rank, leftmost first, until none is left."""
     rng = random.Random(6)
-    letters = token_counts._byte_letters()
+    letters = bpe.byte_letters()
     for _ in range(30):
         vocab = {x: i for i, x in enumerate(letters)}
         merges, tokens = [], ["a", "b", "c"]
@@ -320,7 +345,7 @@ def test_merges_are_those_of_a_queue_by_rank():
                 merges.append(pair)
                 vocab[pair[0] + pair[1]] = len(vocab)
                 tokens.append(pair[0] + pair[1])
-        merger = token_counts.PairMerger({"type": "BPE", "vocab": vocab, "merges": merges})
+        merger = bpe.PairMerger({"type": "BPE", "vocab": vocab, "merges": merges})
         rank = {p: i for i, p in enumerate(merges)}
         cases = ["".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(60)]
         expected = []
@@ -338,6 +363,6 @@ def test_merges_are_those_of_a_queue_by_rank():
 
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
-        token_counts.PairMerger({"type": "Unigram", "vocab": {}, "merges": []})
+        bpe.PairMerger({"type": "Unigram", "vocab": {}, "merges": []})
     with pytest.raises(ValueError):
-        token_counts.PairMerger({"type": "BPE", "byte_fallback": True, "vocab": {}, "merges": []})
+        bpe.PairMerger({"type": "BPE", "byte_fallback": True, "vocab": {}, "merges": []})

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from supportlake.llm import (
     chat_format,
@@ -116,7 +117,7 @@ def check_packed(pieces, docs, window):
 
 
 def expected_ids(texts):
-    tokenizer = packing._tokenizer(word_tokenizer())
+    tokenizer = Tokenizer.from_file(word_tokenizer())
     return [
         tokenizer.encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for t in texts
     ]
