@@ -81,9 +81,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Passages of the benchmark are cut out; documents of which nothing is left go, others
     stay, null and empty texts too. Rows that repeat are each cut; an empty table stays empty;
     other columns are handed on."""
-    cut = decontaminate.remove_spans(
-        decontaminate.find_phrases(_narrow(docs), table(spark, sf_dir, "benchmark"))
-    )
+    found = decontaminate.find_phrases(_narrow(docs), table(spark, sf_dir, "benchmark"))
+    cut = decontaminate.remove_spans(materialize(found, "spans"))
     kept = cut.filter(~F.col("_changed") | F.col("text").rlike("\\S"))
     return _widen(kept, docs.columns, F.col("_changed"))
 
