@@ -1,8 +1,8 @@
 """Language of a text by letter-trigram profiles.
 
-A profile is learned from texts with known language: the most frequent trigrams per language
-with smoothed log frequencies. A text gets the language with the largest sum over its
-trigrams.
+A profile is learned from texts with known language: the trigrams of each language with
+smoothed log frequencies. A text gets the language with the largest sum over its trigrams.
+Profiles are tables: `fit_profiles` makes one, a job writes it, and grading reads it.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from supportlake.functions.text import nvl
 from supportlake.operators.sampling import smallest_per_group
 from supportlake.session import materialize
 
-PROFILE_SIZE = 300
-
 
 def trigrams(text: Column) -> Column:
     """Letter trigrams of the text, words framed and joined by blanks."""
@@ -27,19 +25,23 @@ def trigrams(text: Column) -> Column:
 
 
 def fit_profiles(
-    docs: DataFrame, text_col: str, lang_col: str, size: int = PROFILE_SIZE
+    docs: DataFrame, text_col: str, lang_col: str, size: int | None = None
 ) -> DataFrame:
-    """(lang, gram, gain): the `size` most frequent trigrams per language. `gain` is how much
-    more likely, in logs, the trigram is than one seen once: always above 0."""
+    """(lang, gram, gain): all trigrams of each language, or its `size` most frequent ones.
+    `gain` is how much more likely, in logs, the trigram is than one seen once: always above 0.
+    Texts without a language teach nothing."""
     grams = F.explode(trigrams(F.col(text_col))).alias("gram")
     counts = materialize(
-        docs.select(F.col(lang_col).alias("lang"), grams)
+        docs.filter(F.col(lang_col).isNotNull())
+        .select(F.col(lang_col).alias("lang"), grams)
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n")),
         "gram-counts",
     )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = smallest_per_group(counts, ["lang"], [F.desc("n"), F.asc("gram")], size)
+    top = counts
+    if size is not None:
+        top = smallest_per_group(counts, ["lang"], [F.desc("n"), F.asc("gram")], size)
     share = F.col("n") / F.col("total")
     gain = F.log(1.0 + share * 1e6).alias("gain")
     return materialize(top.join(totals, "lang").select("lang", "gram", gain), "profiles")
@@ -50,14 +52,23 @@ def language_scores(
 ) -> DataFrame:
     """(id, lang, score) for the languages that share a trigram with the text.
 
-    The profile is a written table of `size` rows per language: its known size lets Spark
-    broadcast it, so trigrams meet it where the text is read and only partial sums per
-    (id, lang) are shuffled.
+    The profile is a written table with one row per trigram: as its size is known, Spark
+    broadcasts a small one, so that trigrams meet it where the text is read, and shuffles a
+    large one. Trigrams are counted per text first.
     """
     grams = docs.select(
         F.col(id_col).alias("id"), F.explode(trigrams(F.col(text_col))).alias("gram")
     )
-    return grams.join(profiles, "gram").groupBy("id", "lang").agg(F.sum("gain").alias("score"))
+    # One row per trigram of all languages, so a text's trigrams are not multiplied by them.
+    by_gram = profiles.groupBy("gram").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
+    return (
+        grams.groupBy("id", "gram")
+        .agg(F.count("*").alias("n"))
+        .join(by_gram, "gram")
+        .select("id", "n", F.inline("of"))
+        .groupBy("id", "lang")
+        .agg(F.sum(F.col("n") * F.col("gain")).alias("score"))
+    )
 
 
 def detect_language(

@@ -1,13 +1,16 @@
 """Command-line jobs: spark-submit this file with a job name and paths.
 
     inspect   raw CSV -> file audit, top outbound authors
+    profiles  parquet table (text, lang) -> language profiles for `grade`
     grade     raw CSV -> graded threads as JSON, one folder per tier, and tier counts
     explore   threads -> cluster summaries
     train     threads -> intent model and its metrics
     golden    threads -> blind evaluation sheet and sampling log
     progress  sheet -> labelling progress
     validate  sheet -> faults
-    agent     messages, model, threads -> decisions
+    index     threads -> kept retrieval index; with one there already, threads not yet in it
+              are added
+    agent     messages, model, threads or index -> decisions
     evaluate  sheet, model, threads -> benchmark, per-class metrics, rubric, failures
 """
 
@@ -24,12 +27,14 @@ from supportlake.operators import (
     clusters,
     intents,
     labels,
+    language,
     quality,
     retrieval,
     sampling,
     tfidf,
     threads,
 )
+from supportlake.operators.case_store import BUCKETS, CaseStore
 from supportlake.operators.classifier import IntentModel
 from supportlake.plans import support
 from supportlake.session import materialize, tune
@@ -50,11 +55,38 @@ def _queries(spark: SparkSession, path: str) -> DataFrame:
     return materialize(quality.first_messages_from_threads(usable, partial), "first-messages")
 
 
-def _index(spark: SparkSession, path: str) -> retrieval.CaseIndex:
+def _cases(spark: SparkSession, path: str) -> DataFrame:
     nested = tables.read_threads(spark, path).filter(F.col("quality_label") == packs.USABLE)
     ends = threads.thread_endpoints(threads.unnest_threads(nested))
-    graded = ends.withColumn("tier", F.lit(packs.USABLE))
-    return retrieval.CaseIndex(retrieval.case_base(graded, packs.SUPPORT))
+    return retrieval.case_base(ends.withColumn("tier", F.lit(packs.USABLE)), packs.SUPPORT)
+
+
+def _index(spark: SparkSession, a: argparse.Namespace) -> retrieval.CaseIndex | CaseStore:
+    """The kept index if there is one, else one of the threads for this run."""
+    if a.index:
+        return CaseStore.open(spark, a.index)
+    return retrieval.CaseIndex(_cases(spark, a.threads))
+
+
+def index(spark: SparkSession, a: argparse.Namespace) -> None:
+    cases = _cases(spark, a.threads)
+    try:
+        store = CaseStore.open(spark, a.index)
+    except FileNotFoundError:
+        CaseStore.create(a.index, cases, buckets=a.buckets)
+        return
+    for segment in store.segments():
+        cases = cases.join(segment.cases.select("case_id"), "case_id", "left_anti")
+    cases = materialize(cases, "new-cases")
+    if not cases.isEmpty():
+        store = store.append(cases)
+    if len(store.segments()) > a.segments:
+        store.merge()
+
+
+def profiles(spark: SparkSession, a: argparse.Namespace) -> None:
+    found = language.fit_profiles(spark.read.parquet(a.texts), "text", "lang")
+    found.write.mode("overwrite").parquet(a.out)
 
 
 def inspect(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -67,8 +99,8 @@ def grade(spark: SparkSession, a: argparse.Namespace) -> None:
     # its conversation, and texts of other brands are not shuffled.
     rows = sources.last_version(sources.brand_filter(_raw(spark, a), a.brand))
     rows = materialize(rows, "messages")
-    profiles = spark.read.parquet(a.profiles) if a.profiles else None
-    graded = support.graded_threads(rows, a.brand, profiles=profiles, ignore_case=True)
+    known = spark.read.parquet(a.profiles) if a.profiles else None
+    graded = support.graded_threads(rows, a.brand, profiles=known, ignore_case=True, language=a.language)
     nested = threads.nest_threads(graded.turns, graded.threads, a.brand)
     tables.write_threads(nested, f"{a.out}/threads")
     tables.write_report(quality.quality_distribution(graded.threads), f"{a.out}/tiers")
@@ -120,7 +152,7 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> None:
 def agent(spark: SparkSession, a: argparse.Namespace) -> None:
     model = IntentModel.load(spark, a.model)
     rows = sources.last_version(_raw(spark, a).filter("inbound"))
-    out = support.run_agent(rows, model, _index(spark, a.threads))
+    out = support.run_agent(rows, model, _index(spark, a))
     tables.write_report(out, f"{a.out}/decisions")
 
 
@@ -138,7 +170,7 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     gold = sheet.select(
         F.col("tweet_id").alias("query_id"), "gold_intent", "gold_auto_or_escalate"
     )
-    run = support.benchmark(materialize(asked, "asked"), gold, _index(spark, a.threads))
+    run = support.benchmark(materialize(asked, "asked"), gold, _index(spark, a))
     limits = {"false_auto_handle": None, "false_escalation": 20, "misclassified": 4}
     failures = failure_samples(run.failures.drop("retrieved_cases"), limits, "query_id")
     for name, report in (
@@ -150,7 +182,9 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 JOBS = {
     f.__name__: f
-    for f in (inspect, grade, explore, train, golden, progress, validate, agent, evaluate)
+    for f in (
+        inspect, profiles, grade, explore, train, golden, progress, validate, index, agent, evaluate,
+    )
 }
 
 
@@ -161,7 +195,15 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--single-line", action="store_true", help="no line breaks inside quotes")
     p.add_argument("--max-rows", type=int, help="keep the first raw rows only")
     p.add_argument("--brand", help="brand handle")
-    p.add_argument("--profiles", help="language profile table; without it, foreign words decide")
+    p.add_argument("--texts", help="parquet table with text and lang, to learn profiles from")
+    p.add_argument("--profiles", help="language profiles; without them only letters and words count")
+    p.add_argument(
+        "--language", choices=("detected", "keyword"), default="detected",
+        help="keyword: the older gate, by foreign words",
+    )
+    p.add_argument("--index", help="folder of a kept retrieval index")
+    p.add_argument("--buckets", type=int, default=BUCKETS, help="buckets of a new index")
+    p.add_argument("--segments", type=int, default=8, help="segments beyond which all are merged")
     p.add_argument("--threads", help="graded threads, as written by `grade`")
     p.add_argument("--model", help="intent model folder")
     p.add_argument("--sheet", help="evaluation sheet")

@@ -12,6 +12,7 @@ from supportlake.functions import packs
 from supportlake.functions.rules import RulePack
 from supportlake.functions.text import clean_text
 from supportlake.operators import classifier, decisions, metrics, quality, retrieval, threads
+from supportlake.operators.case_store import CaseStore
 from supportlake.operators.language import detect_language
 from supportlake.session import materialize
 
@@ -34,19 +35,23 @@ def graded_threads(
     profiles: DataFrame | None = None,
     confirmation: str = "tightened",
     ignore_case: bool = False,
+    language: str = "detected",
 ) -> Graded:
-    """Messages to graded threads. The language of the first customer text comes from `gate`,
-    or from language `profiles`, or (neither given) from the foreign-word test."""
+    """Messages to graded threads. The first customer text must pass the language gate: short
+    texts by their letters, others by the language that `profiles` find or by common words.
+    Without profiles no language is found, and the letters decide. `gate` is another test in its
+    place; `language="keyword"` takes the older one, by foreign words."""
     turns = materialize(threads.thread_turns(messages, brand, ignore_case), "thread-turns")
     ends = threads.thread_endpoints(turns)
-    language = "keyword"
-    if gate is None and profiles is not None:
-        ends = materialize(ends, "endpoints")
-        found = detect_language(ends, "thread_id", "first_customer_text", profiles)
-        ends = ends.join(
-            found.select(F.col("id").alias("thread_id"), "detected"), "thread_id", "left"
-        )
-        language = "detected"
+    if gate is None and language == "detected":
+        if profiles is None:
+            ends = ends.withColumn("detected", F.lit(None).cast("string"))
+        else:
+            ends = materialize(ends, "endpoints")
+            found = detect_language(ends, "thread_id", "first_customer_text", profiles)
+            ends = ends.join(
+                found.select(F.col("id").alias("thread_id"), "detected"), "thread_id", "left"
+            )
     graded = quality.grade_threads(ends, pack, gate, confirmation, language)
     return Graded(turns, materialize(graded, "graded"))
 
@@ -69,7 +74,7 @@ def train_intents(
     )
 
 
-def with_evidence(labelled: DataFrame, index: retrieval.CaseIndex, k: int = 2) -> DataFrame:
+def with_evidence(labelled: DataFrame, index: retrieval.CaseIndex | CaseStore, k: int = 2) -> DataFrame:
     """Add coverage and the retrieved cases to (query_id, customer_message, cleaned_text,
     intent, intent_confidence)."""
     ranked = retrieval.retrieve(labelled.select("query_id", "cleaned_text", "intent"), index, k)
@@ -84,7 +89,7 @@ def with_evidence(labelled: DataFrame, index: retrieval.CaseIndex, k: int = 2) -
     )
 
 
-def agent_decisions(labelled: DataFrame, index: retrieval.CaseIndex, k: int = 2) -> DataFrame:
+def agent_decisions(labelled: DataFrame, index: retrieval.CaseIndex | CaseStore, k: int = 2) -> DataFrame:
     """The agent over a table of classified messages: evidence, reply, decision, reason."""
     return decisions.decide(with_evidence(labelled, index, k))
 
@@ -116,7 +121,7 @@ def classify_messages(
 def run_agent(
     messages: DataFrame,
     model: classifier.IntentModel,
-    index: retrieval.CaseIndex,
+    index: retrieval.CaseIndex | CaseStore,
     id_col: str = "tweet_id",
     text_col: str = "text",
     k: int = 2,
@@ -127,7 +132,7 @@ def run_agent(
 
 
 def three_systems(
-    labelled: DataFrame, index: retrieval.CaseIndex, pack: RulePack = packs.SUPPORT
+    labelled: DataFrame, index: retrieval.CaseIndex | CaseStore, pack: RulePack = packs.SUPPORT
 ) -> DataFrame:
     """Predictions of the keyword baseline, the verbatim baseline and the agent, stacked long.
 
@@ -178,7 +183,7 @@ class Benchmark:
 def benchmark(
     labelled: DataFrame,
     gold: DataFrame,
-    index: retrieval.CaseIndex,
+    index: retrieval.CaseIndex | CaseStore,
     pack: RulePack = packs.SUPPORT,
     target_intents: Sequence[str] = tuple(packs.MANDATORY_ESCALATION),
     stripped_cases: bool = False,

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -63,11 +66,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+_SCOPE = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that this thread materializes inside are deleted at the end, so results must be
+    written elsewhere by then. Yields their folder."""
+    outer = getattr(_SCOPE, "path", None)
+    _SCOPE.path = os.path.join(outer or scratch_dir(spark), f"scope-{uuid.uuid4().hex[:12]}")
+    try:
+        yield _SCOPE.path
+    finally:
+        path, _SCOPE.path = _SCOPE.path, outer
+        _delete(spark, path)
+
+
 def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write `df` to the scratch folder and read it back, as `schema` if given: computed once,
     lineage cut, and a lost executor costs a re-read instead of a re-run."""
     spark = df.sparkSession
-    path = os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    folder = getattr(_SCOPE, "path", None) or scratch_dir(spark)
+    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
@@ -87,9 +107,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(folder, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call when no result built on them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    _delete(spark, scratch_dir(spark))

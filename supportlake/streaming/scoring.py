@@ -13,8 +13,10 @@ from supportlake.functions.rules import RulePack
 from supportlake.functions.text import clean_text
 from supportlake.operators.intents import weak_intent
 from supportlake.operators.quality import rule_flags
+from supportlake.operators.case_store import CaseStore
 from supportlake.operators.retrieval import CaseIndex
 from supportlake.plans.support import agent_decisions, agent_output
+from supportlake.session import scratch_scope
 
 
 def message_stream(
@@ -33,7 +35,7 @@ def score_messages(stream: DataFrame, pack: RulePack) -> DataFrame:
 
 def run_agent_stream(
     stream: DataFrame,
-    index: CaseIndex,
+    index: CaseIndex | CaseStore,
     classify: Callable[[DataFrame], DataFrame],
     out_path: str,
     checkpoint: str,
@@ -43,12 +45,14 @@ def run_agent_stream(
     streaming plans do not take, so each batch runs the batch plan.
 
     A batch is written under its own number: a batch replayed after a failure overwrites
-    itself. `classify` maps messages to the agent's input columns.
+    itself. Its intermediate tables go when it is written, so a stream that runs on holds no
+    more than one batch of them. `classify` maps messages to the agent's input columns.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        decided = agent_output(agent_decisions(classify(rows), index, k))
-        decided.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        with scratch_scope(rows.sparkSession):
+            decided = agent_output(agent_decisions(classify(rows), index, k))
+            decided.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(batch)

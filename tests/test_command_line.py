@@ -44,3 +44,30 @@ def test_all_jobs(spark, tmp_path):
     jobs.main(["evaluate", "--sheet", f"{out}/labelled", *model, *threads])
     assert spark.read.json(f"{out}/benchmark").count() == 3
     assert spark.read.json(f"{out}/failures").count() > 0
+
+
+def test_profiles_and_kept_index(spark, tmp_path, tiny):
+    rows = [
+        f'{n},c{n},True,,"@Desk {ask}, number {n}",,\n{n + 1},Desk,False,,"@c{n} {answer}",,{n}\n'
+        for n, (ask, answer) in ((10 * i, ISSUES[i % 4]) for i in range(1, 25))
+    ]
+    out = str(tmp_path / "out")
+    jobs.main(["profiles", "--texts", f"{tiny}/documents.parquet", "--out", f"{out}/profiles"])
+    assert spark.read.parquet(f"{out}/profiles").groupBy("lang").count().count() > 2
+    index, threads = f"{out}/index", ["--threads", f"{out}/threads", "--out", out]
+    for upto in (12, 24):
+        raw = tmp_path / f"raw{upto}.csv"
+        raw.write_text(HEADER + "".join(rows[:upto]))
+        common = ["--raw", str(raw), "--brand", "Desk", "--out", out]
+        jobs.main(["grade", *common, "--profiles", f"{out}/profiles"])
+        jobs.main(["index", *threads, "--index", index, "--buckets", "4", "--segments", "1"])
+    store = jobs.CaseStore.open(spark, index)
+    assert len(store.segments()) == 1 and store.manifest["n_cases"] > 12
+    jobs.main(["train", *threads])
+    agent = ["agent", "--raw", str(raw), "--model", f"{out}/model"]
+    jobs.main([*agent, "--index", index, "--out", f"{out}/kept"])
+    jobs.main([*agent, "--threads", f"{out}/threads", "--out", f"{out}/fresh"])
+    kept, fresh = (
+        sorted(map(str, spark.read.json(f"{out}/{x}/decisions").collect())) for x in ("kept", "fresh")
+    )
+    assert kept == fresh and len(kept) == 24

@@ -139,6 +139,8 @@ def test_stream_equals_batch(spark, tmp_path):
     last = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch").collect()
     assert [tuple(r) for r in last] == [("Desk", 8)]
 
+    from supportlake.session import scratch_dir
+
     graded = support.graded_threads(rows, "Desk")
     index = retrieval.CaseIndex(retrieval.case_base(graded.threads, packs.SUPPORT))
 
@@ -152,10 +154,34 @@ def test_stream_equals_batch(spark, tmp_path):
         stream, index, classify, str(tmp_path / "agent"), str(tmp_path / "c2"))
     run.awaitTermination()
     streamed = spark.read.parquet(str(tmp_path / "agent")).drop("batch")
+    left = spark.sparkContext._jvm.java.io.File(scratch_dir(spark)).list()
+    assert not [name for name in left if name.startswith("scope-")]  # a batch's tables are gone
     batch = support.agent_output(support.agent_decisions(classify(rows), index))
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
 
 
+def test_scratch_of_a_scope_goes(spark, tmp_path):
+    import os
+
+    from supportlake.session import materialize, scratch_dir, scratch_scope
+
+    with scratch_scope(spark) as folder:
+        inner = materialize(spark.range(3), "x")
+        with scratch_scope(spark) as deeper:
+            materialize(spark.range(3), "y")
+            assert deeper.startswith(folder) and os.listdir(deeper)
+        assert not os.path.exists(deeper) and inner.count() == 3
+    assert not os.path.exists(folder)
+    try:
+        with scratch_scope(spark) as folder:
+            materialize(spark.range(3), "x")
+            raise RuntimeError("batch fails")
+    except RuntimeError:
+        assert not os.path.exists(folder)
+    outside = materialize(spark.range(3), "z")
+    assert outside.count() == 3 and not [n for n in os.listdir(scratch_dir(spark)) if n.startswith("scope")]
+
+
 def test_skewed_join_is_split(spark):
     """A parent with most of the replies: AQE splits its partition."""
     conf = {
