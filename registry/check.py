@@ -57,6 +57,7 @@ def compare(spark_frame: pd.DataFrame, duck_frame: pd.DataFrame) -> str:
 
 
 def main(argv: list[str]) -> int:
+    from registry import round_trips  # noqa: F401
     from registry.queries import ORACLES, QUERIES
     from supportlake.session import local_session
 

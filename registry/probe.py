@@ -22,9 +22,13 @@ ID_STEP = 1_000_000
 SHORT_MESSAGE = 180
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "der", "die", "und", "la", "de", "en")
 
+#: The second list that refined runs leave out.
+NOISE_WORDS = ("this", "with", "for", "von", "mit", "les", "que", "por", "of")
+
 _FLAGS = {
     "deflection": ("this", "las", "den", "aux"),
     "positive": ("that", "von", "les", "por"),
+    "positive_plain": ("that", "von", "les", "por", "with"),
     "negation": ("with", "lich", "pa", "ja"),
     "completed_action": ("not", "ein", "mentai", "ll"),
     "policy_instruction": ("by", "zu", "un", "el"),
@@ -144,6 +148,25 @@ def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts for the language gate: documents, turns, and what is left of a document in two
+    words, in handles and links, in numbers."""
+    docs, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    key = F.col("doc_id").cast("string")
+    of = {
+        "d": F.col("text"),
+        "w": F.substring_index("text", " ", 2),
+        "h": F.concat(F.lit("@"), "source", F.lit(" https://x.y/"), key),
+        "n": F.concat_ws(" ", key, F.col("n_chars").cast("string"), key, F.lit("7")),
+    }
+    parts = [docs.select(F.concat(F.lit(p), key).alias("id"), t.alias("text")) for p, t in of.items()]
+    turn = F.concat_ws("-", F.lit("c"), "conv_id", "turn")
+    out = turns.select(turn.alias("id"), "text")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages: purchases and errors are outbound."""
     return table(spark, sf_dir, "events").select(

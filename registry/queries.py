@@ -21,6 +21,8 @@ from registry.fragments import (
     tfidf as sql_tfidf,
     tokens as sql_tokens,
     FRAGMENTS,
+    S,
+    W,
 )
 from registry.workspace import Workspace, workspace
 from supportlake.functions import packs
@@ -638,6 +640,65 @@ def dense_topk(w):
     return out.withColumns({c: F.round(c, 6) for c in ("similarity", "final_score")})
 
 
+@register("retrieve_saved", ORACLES["retrieve_topk"])
+def retrieve_saved(w):
+    """From a kept index that was written, opened, extended by a segment and opened again."""
+    out = retrieval.retrieve(w.asked, w.saved_index, k=3)
+    return out.withColumns({c: F.round(c, 6) for c in ("similarity", "final_score")})
+
+
+@register(
+    "retrieve_deep",
+    query(
+        """SELECT query_id, rank, case_id, round(sim, 6) AS similarity,
+  round(final, 6) AS final_score, relevant_hit_count FROM ranked WHERE rank <= 12""",
+        "ranked",
+    ),
+)
+def retrieve_deep(w):
+    """Twelve cases a query, from lists that are cut early and go on where they must."""
+    out = retrieval.retrieve(w.asked, w.index, k=12, depth=16)
+    return out.select(
+        "query_id", "rank", "case_id", F.round("similarity", 6).alias("similarity"),
+        F.round("final_score", 6).alias("final_score"), "relevant_hit_count",
+    )
+
+
+@register(
+    "dense_topk_cells",
+    """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS v
+    FROM embeddings),
+  u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v
+    FROM e),
+  s AS (SELECT a.vec_id AS query_id, b.vec_id AS case_id,
+    CASE WHEN a.vec_id % 3 > 0 THEN a.label END AS predicted_intent,
+    b.label AS case_intent, list_dot_product(a.v, b.v) AS sim FROM u a CROSS JOIN u b),
+  r AS (SELECT *, sim + CASE WHEN predicted_intent = case_intent THEN 0.25 ELSE 0 END AS final
+    FROM s),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id
+      ORDER BY round(final, 9) DESC, case_id) AS rank,
+    count(*) FILTER (WHERE sim >= 0.18
+      AND (predicted_intent IS NULL OR predicted_intent = case_intent))
+      OVER (PARTITION BY query_id) AS relevant_hit_count FROM r)
+  SELECT query_id, predicted_intent::varchar AS predicted_intent, rank, case_id,
+    case_intent::varchar AS case_intent, round(sim, 6) AS similarity,
+    round(final, 6) AS final_score, relevant_hit_count FROM k WHERE rank <= 5""",
+)
+def dense_topk_cells(w):
+    """Through a tree of several levels; a third of the queries have no intent."""
+    vectors = w.table("embeddings")
+    label = F.col("label").alias("intent")
+    index = dense.DenseIndex(
+        vectors.select(F.col("vec_id").alias("case_id"), "embedding", label), block_rows=32, fan=6
+    )
+    asked = vectors.select(
+        F.col("vec_id").alias("query_id"), "embedding",
+        F.when(F.col("vec_id") % 3 > 0, F.col("label")).alias("intent"),
+    )
+    out = dense.dense_retrieve(asked, index, 5)
+    return out.withColumns({c: F.round(c, 6) for c in ("similarity", "final_score")})
+
+
 # --- replies, decisions, rubric ---------------------------------------------------------
 
 
@@ -1079,7 +1140,7 @@ FRAGMENTS["lang_scores"] = (
 )
 def language_profile_score(w):
     docs = w.table("documents")
-    profiles = language.fit_profiles(docs, "text", "lang")
+    profiles = language.fit_profiles(docs, "text", "lang", size=300)
     scores = language.language_scores(docs, "doc_id", "text", profiles)
     return scores.withColumn("score", F.round("score", 4))
 
@@ -1094,10 +1155,66 @@ def language_profile_score(w):
 )
 def language_gate(w):
     docs = w.table("documents")
-    profiles = language.fit_profiles(docs, "text", "lang")
+    profiles = language.fit_profiles(docs, "text", "lang", size=300)
     return language.detect_language(docs, "doc_id", "text", profiles).select("id", "detected")
 
 
+FRAGMENTS["gate_messages"] = (
+    [],
+    """SELECT 'c-' || conv_id || '-' || turn AS id, text FROM conversations
+  UNION ALL SELECT 'd' || doc_id, text FROM documents
+  UNION ALL SELECT 'w' || doc_id, split_part(text, ' ', 1) || CASE WHEN contains(text, ' ')
+    THEN ' ' || split_part(text, ' ', 2) ELSE '' END FROM documents
+  UNION ALL SELECT 'h' || doc_id, '@' || source || ' https://x.y/' || doc_id FROM documents
+  UNION ALL SELECT 'n' || doc_id, doc_id || ' ' || n_chars || ' ' || doc_id || ' 7' FROM documents""",
+)
+FRAGMENTS["whole_profiles"] = (
+    ["grams3"],
+    """SELECT lang, gram, ln(1.0 + n / total * 1e6) AS gain FROM (
+  SELECT lang, gram, sum(tf)::double AS n, sum(sum(tf)) OVER (PARTITION BY lang)::double AS total
+  FROM grams3 GROUP BY lang, gram)""",
+)
+FRAGMENTS["gate_found"] = (
+    ["gate_messages", "whole_profiles"],
+    f"""SELECT id, arg_min(lang, (-round(score, 6), lang)) AS detected FROM (
+  SELECT id, lang, sum(gain) AS score FROM (SELECT id,
+    unnest(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) AS gram
+    FROM (SELECT id, {_LETTERS} AS s FROM gate_messages) WHERE length(s) >= 3)
+  JOIN whole_profiles USING (gram) GROUP BY id, lang) GROUP BY id""",
+)
+_BARE = (
+    f"regexp_replace(regexp_replace(regexp_replace(text, {q(f'@[{W}]+')}, '', 'g'), "
+    f"{q(f'https?://[^{S}]+')}, '', 'g'), {q(f'[^{W}{S}]')}, ' ', 'g')"
+)
+
+
+@register(
+    "language_decision",
+    query(
+        f"""SELECT id, detected, len(ws) AS n_words, CASE
+    WHEN len(ws) < 3 OR detected IS NULL THEN NOT regexp_matches(array_to_string(ws, ' '), '[^\x00-\x7F]')
+    ELSE detected = 'en' OR hits >= 2 END AS english FROM (
+  SELECT *, {" + ".join(f"list_contains(ws, {q(x)})::int" for x in _M.common_words)} AS hits FROM (
+    SELECT id, detected, list_filter(string_split_regex(lower({_BARE}), {q(f'[{S}]+')}),
+      lambda x: x <> '') AS ws FROM gate_messages LEFT JOIN gate_found USING (id)))""",
+        "gate_messages",
+        "gate_found",
+    ),
+)
+def language_decision(w):
+    """The language gate with profiles of all trigrams: short texts, known and unknown ones."""
+    from supportlake.functions.text import language_words
+
+    texts = probe.gate_messages(w.spark, w.sf_dir)
+    profiles = language.fit_profiles(w.table("documents"), "text", "lang")
+    found = language.detect_language(texts, "id", "text", profiles).select("id", "detected")
+    gate = quality.short_text_gate(F.col("text"), _M.common_words, F.col("detected"))
+    return texts.join(found, "id").select(
+        "id", "detected", F.size(language_words(F.col("text"))).cast("long").alias("n_words"),
+        gate.alias("english"),
+    )
+
+
 # --- clusters and models (no SQL twin but for the fixed-centroid assignment) --------------
 
 
@@ -1121,19 +1238,25 @@ def cluster_top_terms(w):
 @register("cluster_representatives")
 def cluster_representatives(w):
     run = w.clustering
-    return clusters.representatives(run.weights, run.members, run.centers)
+    near = clusters.representatives(run.weights, run.members, run.centers)
+    return clusters.with_texts(near, w.table("documents").select("doc_id", "text"), "doc_id")
+
+
+@register("cluster_summary_split")
+def cluster_summary_split(w):
+    docs = w.table("documents").select("doc_id", "text", "lang", "source")
+    return clusters.cluster_summary(w.split, docs, "doc_id")
 
 
 @register("kmeans_sweep")
 def kmeans_sweep(w):
-    settings = tfidf.with_stop_words(tfidf.REFINE, probe.STOP_WORDS)
-    return clusters.kmeans_sweep(w.table("documents"), "doc_id", "text", settings)
+    return clusters.inertia_sweep(w.refined_features)
 
 
 @register("residual_sample")
 def residual_sample(w):
     docs = w.table("documents").select("doc_id", "text")
-    return clusters.largest_cluster_sample(w.clustering.members, docs, "doc_id")
+    return clusters.largest_cluster_sample(w.split.members, docs, "doc_id")
 
 
 FRAGMENTS["lang_centers"] = (
@@ -1165,27 +1288,89 @@ FRAGMENTS["lang_centers"] = (
 )
 def nearest_centroid(w):
     """Fixed centers: the mean TF-IDF row per language."""
-    from pyspark.sql import Window
+    run = w.by_language
+    ids = w.table("documents").select(F.col("doc_id").alias("id"))
+    out = clusters.nearest_center(run.weights, ids, run.centers)
+    return out.withColumn("distance", F.round("distance", 6))
 
-    from supportlake.session import materialize
 
-    docs = w.table("documents")
-    settings = _explore(w)
-    stats = tfidf.fit(docs, "doc_id", "text", settings)
-    weights = materialize(tfidf.transform(docs, "doc_id", "text", stats, settings), "weights")
-    langs = docs.groupBy("lang").agg(F.count("*").alias("n")).withColumn(
-        "cluster_id", F.row_number().over(Window.orderBy("lang")) - 1
-    )
-    centers = (
-        weights.join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
-        .groupBy("lang", "term")
-        .agg(F.sum("weight").alias("total"))
-        .join(langs, "lang")
-        .select("cluster_id", "term", (F.col("total") / F.col("n")).alias("weight"))
-    )
-    ids = docs.select(F.col("doc_id").alias("id"))
-    out = clusters.nearest_center(weights, ids, centers)
-    return out.withColumn("distance", F.round("distance", 6))
+FRAGMENTS["lang_members"] = (
+    ["docx_weights", "lang_centers"],
+    """SELECT id, cluster_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 9), cluster_id) AS rn FROM (
+    SELECT i.doc_id AS id, c.cluster_id,
+      coalesce(s.sq, 0) - 2 * coalesce(p.product, 0) + c.csq AS d
+    FROM documents i CROSS JOIN (SELECT cluster_id, sum(weight * weight) AS csq
+      FROM lang_centers GROUP BY cluster_id) c
+    LEFT JOIN (SELECT id, sum(weight * weight) AS sq FROM docx_weights GROUP BY id) s
+      ON s.id = i.doc_id
+    LEFT JOIN (SELECT w.id, k.cluster_id, sum(w.weight * k.weight) AS product
+      FROM docx_weights w JOIN lang_centers k USING (term) GROUP BY w.id, k.cluster_id) p
+      ON p.id = i.doc_id AND p.cluster_id = c.cluster_id)) WHERE rn = 1""",
+)
+
+
+@register(
+    "fixed_cluster_sizes",
+    query(
+        """SELECT cluster_id, count(*) AS count,
+  round(count(*) * 100.0::double / sum(count(*)) OVER (), 2) AS percentage
+  FROM lang_members GROUP BY cluster_id""",
+        "lang_members",
+    ),
+)
+def fixed_cluster_sizes(w):
+    return clusters.cluster_sizes(w.by_language.members)
+
+
+@register(
+    "fixed_cluster_terms",
+    query(
+        """SELECT cluster_id, term, round(weight, 6) AS weight, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(weight, 9) DESC, term) AS rank
+  FROM lang_centers) WHERE rank <= 10""",
+        "lang_centers",
+    ),
+)
+def fixed_cluster_terms(w):
+    top = clusters.top_terms(w.by_language.centers)
+    return top.withColumn("weight", F.round("weight", 6))
+
+
+@register(
+    "fixed_cluster_representatives",
+    query(
+        """SELECT cluster_id, rank, doc_id, text, round(closeness, 6) AS closeness FROM (
+  SELECT m.id, m.cluster_id, coalesce(closeness, 0) AS closeness, row_number() OVER (
+    PARTITION BY m.cluster_id ORDER BY round(coalesce(closeness, 0), 9) DESC, m.id) AS rank
+  FROM lang_members m LEFT JOIN (SELECT w.id, sum(w.weight * c.weight) AS closeness
+    FROM docx_weights w JOIN lang_members USING (id) JOIN lang_centers c USING (cluster_id, term)
+    GROUP BY w.id) USING (id)) JOIN documents ON doc_id = id WHERE rank <= 5""",
+        "docx_weights",
+        "lang_centers",
+        "lang_members",
+    ),
+)
+def fixed_cluster_representatives(w):
+    run = w.by_language
+    near = clusters.representatives(run.weights, run.members, run.centers)
+    out = clusters.with_texts(near, w.table("documents").select("doc_id", "text"), "doc_id")
+    return out.withColumn("closeness", F.round("closeness", 6))
+
+
+@register(
+    "fixed_residual_sample",
+    query(
+        """SELECT doc_id, text FROM documents JOIN lang_members ON id = doc_id
+  WHERE cluster_id = (SELECT cluster_id FROM lang_members GROUP BY cluster_id
+    ORDER BY count(*) DESC, cluster_id LIMIT 1)
+  ORDER BY md5('42|' || doc_id), doc_id LIMIT 25""",
+        "lang_members",
+    ),
+)
+def fixed_residual_sample(w):
+    docs = w.table("documents").select("doc_id", "text")
+    return clusters.largest_cluster_sample(w.by_language.members, docs, "doc_id")
 
 
 @register("intent_classifier_metrics")
@@ -1193,6 +1378,25 @@ def intent_classifier_metrics(w):
     return metrics.class_metrics(w.tested, "gold", "intent")
 
 
+@register(
+    "intent_test_rows",
+    query(
+        """SELECT gold, count(*) AS rows, count(*) AS known, count(*) AS likely FROM (
+  SELECT intent AS gold FROM split WHERE split = 'test') GROUP BY gold""",
+        "split",
+    ),
+)
+def intent_test_rows(w):
+    """What must hold of any fit: the test rows are those of the split, predictions are learned
+    labels, and the best of K probabilities is at least 1 / K."""
+    labels_ = [r["intent"] for r in w.document_labels.select("intent").distinct().collect()]
+    fair = F.col("intent_confidence").between(round(1 / len(labels_), 4) - 1e-4, 1)
+    return w.tested.groupBy("gold").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("intent").isin(labels_)).alias("known"),
+        F.count_if(fair).alias("likely"),
+    )
+
+
 @register("intent_predictions")
 def intent_predictions(w):
     return w.tested.select("doc_id", "gold", "intent", "intent_confidence")

@@ -6,19 +6,20 @@ or the case index.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from registry import probe
 from supportlake.functions import packs
 from supportlake.functions.text import clean_text
-from supportlake.operators import clusters, quality, retrieval, tfidf
+from supportlake.operators import case_store, clusters, quality, retrieval, tfidf
 from supportlake.operators.classifier import train_and_test
 from supportlake.operators.intents import weak_intent
 from supportlake.plans import support
-from supportlake.session import materialize, tune
+from supportlake.session import materialize, scratch_dir, tune
 from supportlake.sources.messages import coerce_messages, last_version
 
 _OPEN: dict[tuple[str, str], "Workspace"] = {}
@@ -127,20 +128,61 @@ class Workspace:
     def document_labels(self) -> DataFrame:
         return weak_intent(self.table("documents"), "text", probe.DOCUMENTS)
 
-    def _settings(self, base: tfidf.Vectorizer) -> tfidf.Vectorizer:
-        return tfidf.with_stop_words(base, probe.STOP_WORDS)
+    def _features(self, base: tfidf.Vectorizer) -> clusters.Features:
+        words = tfidf.united_stop_words(probe.STOP_WORDS, probe.NOISE_WORDS)
+        words = probe.STOP_WORDS if base == tfidf.EXPLORE else words
+        return clusters.features(
+            self.table("documents"), "doc_id", "text", tfidf.with_stop_words(base, words)
+        )
+
+    @cached_property
+    def explored_features(self) -> clusters.Features:
+        return self._features(tfidf.EXPLORE)
+
+    @cached_property
+    def refined_features(self) -> clusters.Features:
+        """One table for the refined run, the split run and the sweep."""
+        return self._features(tfidf.REFINE)
 
     @cached_property
     def clustering(self) -> clusters.Clustering:
-        return clusters.cluster_queries(
-            self.table("documents"), "doc_id", "text", self._settings(tfidf.EXPLORE), k=7,
-        )
+        return clusters.cluster_features(self.explored_features, k=7)
 
     @cached_property
     def refined(self) -> clusters.Clustering:
-        return clusters.cluster_queries(
-            self.table("documents"), "doc_id", "text", self._settings(tfidf.REFINE), k=8,
+        return clusters.cluster_features(self.refined_features, k=8)
+
+    @cached_property
+    def split(self) -> clusters.Clustering:
+        return clusters.cluster_features(self.refined_features, k=10)
+
+    @cached_property
+    def by_language(self) -> clusters.Clustering:
+        """A run whose centers are fixed: the mean row of each language, without the unusual
+        words that explore leaves out."""
+        docs, weights = self.table("documents"), self.explored_features.weights
+        langs = docs.groupBy("lang").agg(F.count("*").alias("n")).withColumn(
+            "cluster_id", F.row_number().over(Window.orderBy("lang")) - 1  # a row per language
         )
+        centers = (
+            weights.join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
+            .groupBy("lang", "term")
+            .agg(F.sum("weight").alias("total"))
+            .join(langs, "lang")
+            .select("cluster_id", "term", (F.col("total") / F.col("n")).alias("weight"))
+        )
+        ids = docs.select(F.col("doc_id").alias("id"))
+        return clusters.assigned(weights, ids, materialize(centers, "language-centers"))
+
+    @cached_property
+    def saved_index(self) -> case_store.CaseStore:
+        """A kept index that was written with nine tenths of the cases, opened, and extended."""
+        path = f"{scratch_dir(self.spark)}/case-store-{uuid.uuid4().hex[:12]}"
+        late = F.pmod(F.xxhash64("case_id"), F.lit(10)) == 0
+        cases = materialize(self.cases, "all-cases")
+        case_store.CaseStore.create(path, cases.filter(~late), buckets=8)
+        case_store.CaseStore.open(self.spark, path).append(cases.filter(late))
+        return case_store.CaseStore.open(self.spark, path)
 
     @cached_property
     def tested(self) -> DataFrame:

@@ -14,9 +14,15 @@ from supportlake.operators import tfidf
 from supportlake.operators.sampling import sample_key, smallest_per_group
 from supportlake.session import materialize
 
+#: A vocabulary that may be numbered by one task; settings ask for a few thousand terms.
+MAX_TERMS = 1_000_000
+
 
 def vocabulary(stats: DataFrame) -> DataFrame:
-    """(term, idf, term_index) of a vocabulary cut to max_features, indexes by term."""
+    """(term, idf, term_index), indexes by term; for a vocabulary cut to max_features, whose few
+    thousand rows one task numbers."""
+    if stats.count() > MAX_TERMS:
+        raise ValueError("a vocabulary that was not cut cannot be numbered")
     return stats.select("term", "idf").withColumn(
         "term_index", F.row_number().over(Window.orderBy("term")) - 1
     )
@@ -65,19 +71,28 @@ class Clustering:
     members: DataFrame
     centers: DataFrame
     cost: float
-    model: KMeansModel
+    model: KMeansModel | None
+
+
+@dataclass
+class Features:
+    """TF-IDF rows of a document table, written once and shared by fits, sweeps and summaries."""
+
+    vocab: DataFrame
+    weights: DataFrame
+    vectors: DataFrame
 
 
-def _features(
-    docs: DataFrame, id_col: str, text_col: str, settings: tfidf.Vectorizer
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+def features(
+    docs: DataFrame, id_col: str, text_col: str, settings: tfidf.Vectorizer = tfidf.EXPLORE
+) -> Features:
     if settings.max_features is None:
         raise ValueError("clustering needs a vocabulary cut to max_features")
     vocab = materialize(vocabulary(tfidf.fit(docs, id_col, text_col, settings)), "vocab")
     weights = materialize(tfidf.transform(docs, id_col, text_col, vocab, settings), "weights")
     ids = docs.select(F.col(id_col).alias("id"))
-    features = sparse_vectors(weights, vocab, ids, max(1, vocab.count()))
-    return vocab, weights, dealt(features)
+    vectors = sparse_vectors(weights, vocab, ids, max(1, vocab.count()))
+    return Features(vocab, weights, dealt(vectors))
 
 
 def _best_model(features: DataFrame, k: int, seed: int, restarts: int) -> KMeansModel:
@@ -100,13 +115,20 @@ def cluster_queries(
     restarts: int = 10,
 ) -> Clustering:
     """k-means over the texts' TF-IDF rows."""
-    vocab, weights, features = _features(docs, id_col, text_col, settings)
-    model = _best_model(features, k, seed, restarts)
+    return cluster_features(features(docs, id_col, text_col, settings), k, seed, restarts)
+
+
+def cluster_features(
+    found: Features, k: int = 7, seed: int = 42, restarts: int = 10
+) -> Clustering:
+    """k-means over rows that are there already."""
+    vocab, weights = found.vocab, found.weights
+    model = _best_model(found.vectors, k, seed, restarts)
     members = materialize(
-        model.transform(features).select("id", F.col("prediction").alias("cluster_id")),
+        model.transform(found.vectors).select("id", F.col("prediction").alias("cluster_id")),
         "members",
     )
-    spark = docs.sparkSession
+    spark = weights.sparkSession
     # k centers of at most max_features numbers each.
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centers = (
@@ -118,6 +140,15 @@ def cluster_queries(
     return Clustering(vocab, weights, members, centers, model.summary.trainingCost, model)
 
 
+def assigned(weights: DataFrame, ids: DataFrame, centers: DataFrame) -> Clustering:
+    """The run that fixed centers (cluster_id, term, weight) give: every id goes to the nearest;
+    its cost is the sum of the squared distances."""
+    near = materialize(nearest_center(weights, ids, centers), "assigned")
+    vocab = centers.select("term").distinct()
+    cost = near.agg(F.sum("distance")).first()[0]
+    return Clustering(vocab, weights, near.select("id", "cluster_id"), centers, cost or 0.0, None)
+
+
 def top_terms(centers: DataFrame, n: int = 10) -> DataFrame:
     """Heaviest terms per center, ties by term."""
     rank = F.row_number().over(
@@ -129,27 +160,30 @@ def top_terms(centers: DataFrame, n: int = 10) -> DataFrame:
 def representatives(
     weights: DataFrame, members: DataFrame, centers: DataFrame, n: int = 5
 ) -> DataFrame:
-    """Members with the largest dot product with their center, ties by id.
+    """Members with the largest dot product with their center, to nine digits, ties by id.
 
-    The centers (k times max_features numbers) are broadcast; the sum runs per document.
+    The centers are k times max_features numbers, which Spark broadcasts by their size; the
+    sum runs per document.
     """
     dot = (
         weights.join(members, "id")
-        .join(
-            F.broadcast(centers.withColumnRenamed("weight", "center_weight")),
-            ["cluster_id", "term"],
-        )
+        .join(centers.withColumnRenamed("weight", "center_weight"), ["cluster_id", "term"])
         .groupBy("id", "cluster_id")
         .agg(F.sum(F.col("weight") * F.col("center_weight")).alias("closeness"))
     )
     every = members.join(dot, ["id", "cluster_id"], "left").fillna(0.0, ["closeness"])
-    near = smallest_per_group(every, ["cluster_id"], [F.desc("closeness"), F.asc("id")], n)
-    rank = F.row_number().over(
-        Window.partitionBy("cluster_id").orderBy(F.desc("closeness"), F.asc("id"))
-    )
+    order = [F.desc(F.round("closeness", 9)), F.asc("id")]
+    near = smallest_per_group(every, ["cluster_id"], order, n)
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))
     return near.withColumn("rank", rank)
 
 
+def with_texts(near: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """Representatives (k times n rows) with the columns of `docs`."""
+    rows = near.select(F.col("id").alias(id_col), "cluster_id", "rank", "closeness")
+    return docs.join(F.broadcast(rows), id_col)
+
+
 def cluster_sizes(members: DataFrame) -> DataFrame:
     """Members and share (2 dp) per cluster."""
     counts = members.groupBy("cluster_id").agg(F.count("*").alias("count"))
@@ -195,25 +229,32 @@ def kmeans_sweep(
     restarts: int = 5,
 ) -> DataFrame:
     """Inertia (2 dp) per k over one feature table."""
-    _, _, features = _features(docs, id_col, text_col, settings)
+    return inertia_sweep(features(docs, id_col, text_col, settings), ks, seed, restarts)
+
+
+def inertia_sweep(
+    found: Features, ks: tuple[int, ...] = (8, 10, 12, 14), seed: int = 42, restarts: int = 5
+) -> DataFrame:
+    """Inertia (2 dp) per k over rows that are there already: only the fits are added."""
     rows = [
-        (k, round(_best_model(features, k, seed, restarts).summary.trainingCost, 2)) for k in ks
+        (k, round(_best_model(found.vectors, k, seed, restarts).summary.trainingCost, 2))
+        for k in ks
     ]
-    return docs.sparkSession.createDataFrame(rows, "k int, inertia double")
+    return found.vectors.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
 def nearest_center(weights: DataFrame, ids: DataFrame, centers: DataFrame) -> DataFrame:
     """(id, cluster_id, distance) of the nearest fixed center, ties to the lower cluster.
 
     |x - c|^2 = |x|^2 - 2 x.c + |c|^2, with the dot products from one join on term. Centers
-    are k rows per term, broadcast.
+    are k rows per term; Spark broadcasts them if their size allows it.
     """
     sizes = centers.groupBy("cluster_id").agg(
         F.sum(F.col("weight") * F.col("weight")).alias("center_sq")
     )
     squares = weights.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("sq"))
     products = (
-        weights.join(F.broadcast(centers.withColumnRenamed("weight", "center_weight")), "term")
+        weights.join(centers.withColumnRenamed("weight", "center_weight"), "term")
         .groupBy("id", "cluster_id")
         .agg(F.sum(F.col("weight") * F.col("center_weight")).alias("product"))
     )

@@ -51,6 +51,11 @@ def with_stop_words(settings: Vectorizer, words: Sequence[str]) -> Vectorizer:
     )
 
 
+def united_stop_words(*lists: Sequence[str]) -> tuple[str, ...]:
+    """All words of the lists, each once, in order."""
+    return tuple(sorted(set().union(*lists)))
+
+
 def term_counts(
     docs: DataFrame,
     id_col: str,

@@ -113,17 +113,18 @@ def grade(spark: SparkSession, a: argparse.Namespace) -> None:
 def explore(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = _queries(spark, a.threads)
     english = tfidf.english_stop_words()
-    domain = tuple(sorted({*english, *packs.NOISE_WORDS}))
+    domain = tfidf.united_stop_words(english, packs.NOISE_WORDS)
     plain = tfidf.with_stop_words(tfidf.EXPLORE, english)
     refined = tfidf.with_stop_words(tfidf.REFINE, domain)
-    for name, settings, k in (("first", plain, 7), ("refined", refined, 8), ("split", refined, 10)):
-        run = clusters.cluster_queries(rows, "tweet_id", "cleaned_text", settings, k)
+    once = clusters.features(rows, "tweet_id", "cleaned_text", plain)
+    again = clusters.features(rows, "tweet_id", "cleaned_text", refined)
+    for name, found, k in (("first", once, 7), ("refined", again, 8), ("split", again, 10)):
+        run = clusters.cluster_features(found, k)
         tables.write_report(clusters.cluster_summary(run, rows, "tweet_id"), f"{a.out}/{name}")
         if name == "split":
             sample = clusters.largest_cluster_sample(run.members, rows, "tweet_id")
             tables.write_report(sample, f"{a.out}/residual")
-    sweep = clusters.kmeans_sweep(rows, "tweet_id", "cleaned_text", refined)
-    tables.write_report(sweep, f"{a.out}/inertia")
+    tables.write_report(clusters.inertia_sweep(again), f"{a.out}/inertia")
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
