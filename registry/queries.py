@@ -1174,30 +1174,33 @@ FRAGMENTS["whole_profiles"] = (
   SELECT lang, gram, sum(tf)::double AS n, sum(sum(tf)) OVER (PARTITION BY lang)::double AS total
   FROM grams3 GROUP BY lang, gram)""",
 )
+_BARE = (
+    f"regexp_replace(regexp_replace(regexp_replace(text, {q(f'@[{W}]+')}, '', 'g'), "
+    f"{q(f'https?://[^{S}]+')}, '', 'g'), {q(f'[^{W}{S}]')}, ' ', 'g')"
+)
+FRAGMENTS["gate_words"] = (
+    ["gate_messages"],
+    f"""SELECT id, ws, array_to_string(ws, ' ') AS text FROM (SELECT id, list_filter(
+    string_split_regex(lower({_BARE}), {q(f'[{S}]+')}), lambda x: x <> '') AS ws FROM gate_messages)""",
+)
 FRAGMENTS["gate_found"] = (
-    ["gate_messages", "whole_profiles"],
+    ["gate_words", "whole_profiles"],
     f"""SELECT id, arg_min(lang, (-round(score, 6), lang)) AS detected FROM (
   SELECT id, lang, sum(gain) AS score FROM (SELECT id,
     unnest(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) AS gram
-    FROM (SELECT id, {_LETTERS} AS s FROM gate_messages) WHERE length(s) >= 3)
+    FROM (SELECT id, {_LETTERS} AS s FROM gate_words) WHERE length(s) >= 3)
   JOIN whole_profiles USING (gram) GROUP BY id, lang) GROUP BY id""",
 )
-_BARE = (
-    f"regexp_replace(regexp_replace(regexp_replace(text, {q(f'@[{W}]+')}, '', 'g'), "
-    f"{q(f'https?://[^{S}]+')}, '', 'g'), {q(f'[^{W}{S}]')}, ' ', 'g')"
-)
 
 
 @register(
     "language_decision",
     query(
         f"""SELECT id, detected, len(ws) AS n_words, CASE
-    WHEN len(ws) < 3 OR detected IS NULL THEN NOT regexp_matches(array_to_string(ws, ' '), '[^\x00-\x7F]')
-    ELSE detected = 'en' OR hits >= 2 END AS english FROM (
-  SELECT *, {" + ".join(f"list_contains(ws, {q(x)})::int" for x in _M.common_words)} AS hits FROM (
-    SELECT id, detected, list_filter(string_split_regex(lower({_BARE}), {q(f'[{S}]+')}),
-      lambda x: x <> '') AS ws FROM gate_messages LEFT JOIN gate_found USING (id)))""",
-        "gate_messages",
+    WHEN len(ws) < 3 OR detected IS NULL THEN NOT regexp_matches(text, '[^\x00-\x7F]')
+    ELSE detected = 'en' OR {" + ".join(f"list_contains(ws, {q(x)})::int" for x in _M.common_words)} >= 2
+    END AS english FROM gate_words LEFT JOIN gate_found USING (id)""",
+        "gate_words",
         "gate_found",
     ),
 )
@@ -1207,7 +1210,8 @@ def language_decision(w):
 
     texts = probe.gate_messages(w.spark, w.sf_dir)
     profiles = language.fit_profiles(w.table("documents"), "text", "lang")
-    found = language.detect_language(texts, "id", "text", profiles).select("id", "detected")
+    bare = texts.select("id", language.bare_text(F.col("text")).alias("text"))
+    found = language.detect_language(bare, "id", "text", profiles).select("id", "detected")
     gate = quality.short_text_gate(F.col("text"), _M.common_words, F.col("detected"))
     return texts.join(found, "id").select(
         "id", "detected", F.size(language_words(F.col("text"))).cast("long").alias("n_words"),

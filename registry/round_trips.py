@@ -211,7 +211,7 @@ def older_quality(w):
 #: Endpoints of threads with what the given ones never have: no answer yet, nothing asked,
 #: one turn, one side.
 _VARIED = {
-    "first_customer_text": "CASE WHEN tweet_id % 7 = 0 THEN '@desk Hello!!' WHEN tweet_id % 11 = 0 "
+    "first_customer_text": "CASE WHEN tweet_id % 7 = 0 THEN '@desk the of' WHEN tweet_id % 11 = 0 "
     "THEN 'der die das und nichts' ELSE first_customer_text END",
     "last_speaker": "CASE WHEN tweet_id % 3 = 0 THEN 'customer' ELSE last_speaker END",
     "last_text": "CASE WHEN tweet_id % 5 > 0 THEN 'ok then' ELSE last_text END",

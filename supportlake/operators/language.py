@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supportlake.functions.rules import WORD
-from supportlake.functions.text import nvl
+from supportlake.functions.text import language_words, nvl
 from supportlake.operators.sampling import smallest_per_group
 from supportlake.session import materialize
 
@@ -24,6 +24,11 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(framed, F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
+def bare_text(text: Column) -> Column:
+    """What the language of a message is told by: its words without handles and links."""
+    return F.array_join(language_words(text), " ")
+
+
 def fit_profiles(
     docs: DataFrame, text_col: str, lang_col: str, size: int | None = None
 ) -> DataFrame:

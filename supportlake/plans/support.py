@@ -13,7 +13,7 @@ from supportlake.functions.rules import RulePack
 from supportlake.functions.text import clean_text
 from supportlake.operators import classifier, decisions, metrics, quality, retrieval, threads
 from supportlake.operators.case_store import CaseStore
-from supportlake.operators.language import detect_language
+from supportlake.operators.language import bare_text, detect_language
 from supportlake.session import materialize
 
 KEYWORD, VERBATIM, AGENT = "baseline1", "baseline2", "agent"
@@ -48,7 +48,8 @@ def graded_threads(
             ends = ends.withColumn("detected", F.lit(None).cast("string"))
         else:
             ends = materialize(ends, "endpoints")
-            found = detect_language(ends, "thread_id", "first_customer_text", profiles)
+            said = ends.select("thread_id", bare_text(F.col("first_customer_text")).alias("said"))
+            found = detect_language(said, "thread_id", "said", profiles)
             ends = ends.join(
                 found.select(F.col("id").alias("thread_id"), "detected"), "thread_id", "left"
             )
