@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportlake.llm import decontaminate, line_dedup, packing, quality, simhash
 from supportlake.llm.common import materialize, table
 from supportlake.llm.queries import word_tokenizer
+from supportlake.session import drop_folder, scratch_scope
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -31,6 +37,27 @@ def _widen(rows: DataFrame, columns: list[str], changed: Column | None = None) -
     return rows.select(*map(column, columns))
 
 
+#: Folder of the tables that the stage before made on its way.
+_LEFT: dict[str, str] = {}
+
+
+def _tidy(stage: Stage) -> Stage:
+    """A stage whose intermediate tables go when the next stage begins: by then its result is
+    written and read again. They stay if the next one's documents still come from them."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        left = _LEFT.pop(app, None)
+        if left and not any(left in file for file in docs.inputFiles()):
+            drop_folder(spark, left)
+        with scratch_scope(spark, keep=True) as _LEFT[app]:
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_tidy
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. A null text is scored as an empty one;
     rows that repeat, with or without an id, are judged each; an empty table stays empty; all
@@ -39,6 +66,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _widen(kept, docs.columns)
 
 
+@_tidy
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that others repeat; n_chars follows. A null text has
     one empty line and becomes empty; a line that only rows of one id hold is in one document;
@@ -47,6 +75,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _widen(kept, docs.columns, F.col("n_dropped") > 0)
 
 
+@_tidy
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that SimHash links (three-word shingles, at most three bits): the
     one with the least id, null ids last, then by text.
@@ -77,6 +106,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     )
 
 
+@_tidy
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; documents of which nothing is left go, others
     stay, null and empty texts too. Rows that repeat are each cut; an empty table stays empty;
@@ -87,6 +117,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _widen(kept, docs.columns, F.col("_changed"))
 
 
+@_tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequences: a row per piece with its token ids (binary, little-endian
     unsigned 32-bit) and their CRC-32. A null or empty text is its end id; rows that repeat are

@@ -70,16 +70,18 @@ _SCOPE = threading.local()
 
 
 @contextmanager
-def scratch_scope(spark: SparkSession) -> Iterator[str]:
+def scratch_scope(spark: SparkSession, keep: bool = False) -> Iterator[str]:
     """Tables that this thread materializes inside are deleted at the end, so results must be
-    written elsewhere by then. Yields their folder."""
+    written elsewhere by then; with `keep` they stay until `drop_folder`. Yields their folder."""
     outer = getattr(_SCOPE, "path", None)
-    _SCOPE.path = os.path.join(outer or scratch_dir(spark), f"scope-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(outer or scratch_dir(spark), f"scope-{uuid.uuid4().hex[:12]}")
+    _SCOPE.path = path
     try:
-        yield _SCOPE.path
+        yield path
     finally:
-        path, _SCOPE.path = _SCOPE.path, outer
-        _delete(spark, path)
+        _SCOPE.path = outer
+        if not keep:
+            drop_folder(spark, path)
 
 
 def materialize(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
@@ -107,7 +109,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def drop_folder(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(folder, True)
@@ -115,4 +117,4 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call when no result built on them is needed."""
-    _delete(spark, scratch_dir(spark))
+    drop_folder(spark, scratch_dir(spark))
