@@ -528,8 +528,7 @@ def term_stats(w):
 def tfidf_weights(w):
     docs = w.table("documents")
     settings = _explore(w)
-    stats = tfidf.fit(docs, "doc_id", "text", settings)
-    out = tfidf.transform(docs, "doc_id", "text", stats, settings)
+    _, out = tfidf.fit_transform(docs, "doc_id", "text", settings)
     return out.withColumn("weight", F.round("weight", 6))
 
 

@@ -51,15 +51,16 @@ class IntentModel:
     def predict(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """Add intent (most probable) and intent_confidence (its probability, 4 dp)."""
         features = _vectors(docs, id_col, text_col, self.vocab, self.settings)
-        scored = self.pipeline.transform(features)
+        keep = [c for c in docs.columns if c not in ("intent", "intent_confidence")]
+        return docs.select(*keep).join(self.scored(features, id_col), id_col)
+
+    def scored(self, features: DataFrame, id_col: str) -> DataFrame:
+        """(id_col, intent, intent_confidence) of vectors (id, features)."""
         best = F.round(F.array_max(vector_to_array("probability")), 4)
-        predictions = scored.select(
-            F.col("id").alias(id_col),
-            F.col("predicted").alias("intent"),
+        return self.pipeline.transform(features).select(
+            F.col("id").alias(id_col), F.col("predicted").alias("intent"),
             best.alias("intent_confidence"),
         )
-        keep = [c for c in docs.columns if c not in ("intent", "intent_confidence")]
-        return docs.select(*keep).join(predictions, id_col)
 
 
 def _vectors(
@@ -81,12 +82,29 @@ def train(
 ) -> IntentModel:
     """Fit on labelled rows. regParam = 1 / (c * n) gives the usual penalised objective, as
     balanced weights sum to n."""
+    rows = docs.select(F.col(id_col).alias("id"), text_col, F.col(label).alias("label_text"))
+    vocab, vectors = _fitted_vectors(rows.withColumn("fitted", F.lit(True)), text_col, settings)
+    return _fit(docs.select(F.col(id_col).alias("id"), label), label, vocab, vectors, settings, c, max_iter)
+
+
+def _fitted_vectors(
+    rows: DataFrame, text_col: str, settings: tfidf.Vectorizer
+) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary of the `fitted` ones among `rows` (id, text, fitted), and vectors of all."""
     if settings.max_features is None:
         raise ValueError("the classifier needs a vocabulary cut to max_features")
+    stats, weights = tfidf.fit_transform(rows, "id", text_col, settings, "fitted")
+    vocab = materialize(vocabulary(stats), "vocab")
+    return vocab, sparse_vectors(weights, vocab, rows.select("id"), max(1, vocab.count()))
+
+
+def _fit(
+    docs: DataFrame, label: str, vocab: DataFrame, vectors: DataFrame, settings: tfidf.Vectorizer,
+    c: float, max_iter: int,
+) -> IntentModel:
+    """The regression on the vectors of labelled rows (id, label)."""
     n = docs.count()
-    vocab = materialize(vocabulary(tfidf.fit(docs, id_col, text_col, settings)), "vocab")
-    vectors = _vectors(docs, id_col, text_col, vocab, settings)
-    ids = docs.select(F.col(id_col).alias("id"), F.col(label).alias("label_text"))
+    ids = docs.select("id", F.col(label).alias("label_text"))
     balance = class_weights(docs, label).select(F.col(label).alias("label_text"), "weight")
     # One row per class: broadcast.
     features = dealt(
@@ -114,12 +132,19 @@ def train(
 
 
 def train_and_test(
-    docs: DataFrame, id_col: str, text_col: str, label: str = "intent", seed: int = 42
+    docs: DataFrame, id_col: str, text_col: str, label: str = "intent", seed: int = 42,
+    settings: tfidf.Vectorizer = tfidf.CLASSIFY, c: float = 1.0, max_iter: int = 1000,
 ) -> tuple[IntentModel, DataFrame]:
     """Fit on the train part of a stratified split; return the model and the test rows with
-    `gold` and the predicted intent."""
+    `gold` and the predicted intent. The texts of both parts are cut into n-grams once."""
     rows = materialize(docs.select(id_col, text_col, label), "labelled")
     split = materialize(stratified_split(rows, label, id_col, 0.2, seed), "split")
-    model = train(split.filter("split = 'train'"), id_col, text_col, label)
+    marked = split.select(
+        F.col(id_col).alias("id"), text_col, label, (F.col("split") == "train").alias("fitted")
+    )
+    vocab, vectors = _fitted_vectors(marked, text_col, settings)
+    train_rows = marked.filter("fitted").select("id", label)
+    model = _fit(train_rows, label, vocab, vectors, settings, c, max_iter)
     held_out = split.filter("split = 'test'").withColumnRenamed(label, "gold")
-    return model, model.predict(held_out, id_col, text_col)
+    features = held_out.select(F.col(id_col).alias("id")).join(vectors, "id")
+    return model, held_out.join(model.scored(features, id_col), id_col)

@@ -88,8 +88,8 @@ def features(
 ) -> Features:
     if settings.max_features is None:
         raise ValueError("clustering needs a vocabulary cut to max_features")
-    vocab = materialize(vocabulary(tfidf.fit(docs, id_col, text_col, settings)), "vocab")
-    weights = materialize(tfidf.transform(docs, id_col, text_col, vocab, settings), "weights")
+    stats, weights = tfidf.fit_transform(docs, id_col, text_col, settings)
+    vocab, weights = materialize(vocabulary(stats), "vocab"), materialize(weights, "weights")
     ids = docs.select(F.col(id_col).alias("id"))
     vectors = sparse_vectors(weights, vocab, ids, max(1, vocab.count()))
     return Features(vocab, weights, dealt(vectors))

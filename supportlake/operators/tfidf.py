@@ -165,3 +165,80 @@ def transform(
     """Weights of documents under a fitted vocabulary; unseen terms are left out."""
     counts = term_counts(docs, id_col, text_col, settings, stats)
     return tfidf_weights(counts, stats, bounded=settings.max_features is not None)
+
+
+def fit_transform(
+    docs: DataFrame, id_col: str, text_col: str, settings: Vectorizer, fitted: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary with idf, weights of all documents), both from one cut of the texts; the
+    first as a written table. Only rows where the column `fitted` is true, or all, make the
+    vocabulary.
+
+    The vocabulary is the max_features most frequent n-grams, and an n-gram is no more
+    frequent than the two shorter ones it begins and ends with. So the first level's counts
+    give a frequency that the vocabulary does not go below, and longer n-grams are only counted
+    where both parts reach it: most of them never leave the task that makes them.
+    """
+    if settings.max_features is None or settings.low != 1:
+        raise ValueError("needs a vocabulary from single words on, cut to max_features")
+    mark = F.lit(True) if fitted is None else F.col(fitted)
+    toks = tokens(F.col(text_col), settings.stop_words)
+    # Rows are dealt by id, so counting per id needs no further shuffle.
+    cut = (
+        docs.select(F.col(id_col).alias("id"), mark.alias("fitted"), F.col(text_col))
+        .repartition("id")
+        .select("id", "fitted", toks.alias("toks"))
+    )
+    n_docs = docs.filter(mark).count()
+    parts, stats, least = [], None, 0
+    for n in range(1, settings.high + 1):
+        if n == 1:
+            grams = cut.select("id", "fitted", F.explode("toks").alias("term"))
+        else:
+            grams = _longer(cut, n, frequent)
+        counts = materialize(
+            grams.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("fitted").alias("fitted")),
+            "gram-counts",
+        )
+        parts.append(counts)
+        level = (
+            counts.filter("fitted")
+            .groupBy("term")
+            .agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+            .filter(F.col("df") >= settings.min_df)
+        )
+        level = materialize(level, "gram-stats")
+        if n == 1:
+            most = level.orderBy(F.desc("total_tf")).limit(settings.max_features)
+            row = most.agg(F.min("total_tf").alias("least"), F.count("*").alias("n")).first()
+            least = row["least"] if row["n"] == settings.max_features else 0
+        frequent = level.filter(F.col("total_tf") >= least).select("term")
+        stats = level if stats is None else stats.unionByName(level)
+    kept = stats.orderBy(F.desc("total_tf"), F.asc("term")).limit(settings.max_features)
+    idf = F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0
+    vocab = materialize(kept.withColumn("idf", idf), "vocabulary")
+    counts = parts[0]
+    for more in parts[1:]:
+        counts = counts.unionByName(more)
+    known = counts.join(F.broadcast(vocab.select("term")), "term", "left_semi")
+    return vocab, tfidf_weights(known.select("id", "term", "tf"), vocab, bounded=True)
+
+
+def _longer(cut: DataFrame, n: int, frequent: DataFrame) -> DataFrame:
+    """(id, fitted, term) of the n-grams whose first and last n - 1 words are both frequent."""
+    toks = F.col("toks")
+    words = lambda i, m: F.concat_ws(" ", *[F.get(toks, i + j) for j in range(m)])
+    at = F.transform(
+        F.sequence(F.lit(0), F.size(toks) - n),
+        lambda i: F.struct(
+            words(i, n - 1).alias("head"), words(i + 1, n - 1).alias("tail"),
+            F.get(toks, i + n - 1).alias("last"),
+        ),
+    )
+    return (
+        cut.filter(F.size("toks") >= n)
+        .select("id", "fitted", F.inline(at))
+        .join(frequent.withColumnRenamed("term", "head"), "head", "left_semi")
+        .join(frequent.withColumnRenamed("term", "tail"), "tail", "left_semi")
+        .select("id", "fitted", F.concat_ws(" ", "head", "last").alias("term"))
+    )

@@ -309,3 +309,24 @@ def test_tfidf_cuts_vocabulary(spark):
     weights = tfidf.transform(docs, "id", "text", stats, tfidf.Vectorizer(1, 1, 2, 1))
     squares = weights.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-12 for r in squares) and len(squares) == 3
+
+
+@pytest.mark.parametrize("size, min_df, high", [(25, 1, 2), (25, 2, 3), (400, 2, 3), (100_000, 1, 2), (7, 3, 3)])
+def test_one_cut_equals_fit_and_transform(spark, size, min_df, high):
+    """Also where the vocabulary is larger than the single words, and where rows do not teach."""
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(50)]
+    weights = [1 / (i + 1) for i in range(50)]
+    rows = [(i, " ".join(rng.choices(words, weights, k=rng.randint(0, 12))), i % 4 > 0) for i in range(120)]
+    rows += [(500, None, True), (501, "", False), (502, "unheard of", False)]
+    docs = spark.createDataFrame(rows, "id bigint, text string, learn boolean")
+    settings = tfidf.Vectorizer(1, high, size, min_df, ("w3",))
+    vocab, got = tfidf.fit_transform(docs, "id", "text", settings, "learn")
+    stats = tfidf.fit(docs.filter("learn"), "id", "text", settings)
+    expected = tfidf.transform(docs, "id", "text", stats, settings)
+
+    def shown(frame):
+        return sorted((r.id, r.term, r.tf, round(r.weight, 9)) for r in frame.collect())
+
+    assert sorted(r.term for r in vocab.collect()) == sorted(r.term for r in stats.collect())
+    assert shown(got) == shown(expected) and shown(got)
