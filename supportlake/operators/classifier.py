@@ -108,7 +108,7 @@ def _fit(
     balance = class_weights(docs, label).select(F.col(label).alias("label_text"), "weight")
     # One row per class: broadcast.
     features = dealt(
-        materialize(vectors.join(ids, "id").join(F.broadcast(balance), "label_text"), "features")
+        materialize(vectors.join(ids, "id").join(F.broadcast(balance), "label_text"), "features"), n
     )
     indexer = StringIndexer(
         inputCol="label_text", outputCol="label", stringOrderType="alphabetAsc",

@@ -54,10 +54,17 @@ def sparse_vectors(weights: DataFrame, vocab: DataFrame, ids: DataFrame, size: i
     return materialize(rows, "vectors", kinds)
 
 
-def dealt(features: DataFrame) -> DataFrame:
+#: Rows that are worth a task of their own in each round of a fit.
+FIT_ROWS = 2048
+
+
+def dealt(features: DataFrame, rows: int | None = None) -> DataFrame:
     """Rows by a hash of their id, in order, over the session's shuffle partitions: what a fit
-    draws depends neither on the cores nor on the table's size and files."""
+    draws depends neither on the cores nor on the table's files. Few `rows`, if their number is
+    given, take fewer partitions: a fit's rounds are then one short stage each."""
     parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        parts = min(parts, max(1, -(-rows // FIT_ROWS)))
     return features.repartition(parts, "id").sortWithinPartitions("id")
 
 
