@@ -13,8 +13,9 @@ from registry.fragments import FRAGMENTS, hit, q, query
 from registry.queries import ORACLES, register
 from supportlake.functions import packs
 from supportlake.functions.text import clean_text
-from supportlake.operators import decisions, labels, quality, retrieval, sampling, threads
+from supportlake.operators import decisions, dense, labels, quality, retrieval, sampling, threads
 from supportlake.operators.intents import weak_intent
+from supportlake.plans import support
 from supportlake.plans.support import agent_output
 from supportlake.session import scratch_dir
 from supportlake.sources import messages as sources
@@ -434,3 +435,43 @@ def mention_branches(w):
     kept = sources.brand_filter(rows, probe.MENTION_BRAND)
     own = F.lower("author_id") == probe.MENTION_BRAND.lower()
     return kept.select("tweet_id", own.alias("own"), "inbound")
+
+
+# --- retrieval by either method ---------------------------------------------------------
+
+
+@register(
+    "dense_coverage",
+    f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 4 > 0 THEN label::varchar END AS asked,
+    label::varchar AS label, text, source, list_transform(embedding, lambda x: x::double) AS v
+    FROM embeddings JOIN documents ON doc_id = vec_id),
+  u AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS n FROM e),
+  s AS (SELECT a.vec_id AS query_id, a.asked, b.vec_id AS case_id, b.label, b.text, b.source,
+    list_dot_product(a.n, b.n) AS sim FROM u a CROSS JOIN u b),
+  r AS (SELECT *, sim + CASE WHEN asked = label THEN 0.25 ELSE 0 END AS final FROM s),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id
+      ORDER BY round(final, 9) DESC, case_id) AS rank,
+    count(*) FILTER (WHERE sim >= 0.18 AND (asked IS NULL OR asked = label))
+      OVER (PARTITION BY query_id) AS hits FROM r)
+  SELECT query_id, round(sim, 4) AS top_similarity, hits AS relevant_hit_count, text AS first_problem,
+    source AS first_resolution, {_TIER.replace("top", "sim")} AS coverage_tier
+  FROM k WHERE rank = 1""",
+)
+def dense_coverage(w):
+    """Evidence by embeddings, in the columns that evidence by words has."""
+    rows = w.table("embeddings").join(w.table("documents"), F.col("doc_id") == F.col("vec_id"))
+    index = dense.DenseIndex(
+        rows.select(
+            F.col("vec_id").alias("case_id"), "embedding", F.col("label").alias("intent"),
+            F.col("text").alias("customer_problem"), F.col("source").alias("resolution"),
+        )
+    )
+    asked = rows.select(
+        F.col("vec_id").alias("query_id"), "embedding",
+        F.when(F.col("vec_id") % 4 > 0, F.col("label")).alias("intent"),
+    )
+    first = F.get("retrieved_cases", F.lit(0))
+    return support.with_evidence(asked, index, k=2, method="dense").select(
+        "query_id", "top_similarity", "relevant_hit_count", "coverage_tier",
+        first["customer_problem"].alias("first_problem"), first["resolution"].alias("first_resolution"),
+    )

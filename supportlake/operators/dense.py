@@ -67,8 +67,9 @@ def _cogroup(
 
 
 class DenseIndex:
-    """A pivot tree over a case table (case_id, embedding, intent). Cases without an embedding
-    are left out. Cases with equal embedding and intent are one group.
+    """A pivot tree over a case table (case_id, embedding, intent; customer_problem and
+    resolution, if there, are returned with a case). Cases without an embedding are left out.
+    Cases with equal embedding and intent are one group.
 
     placed    (gid, first_id, copies, case_intent, embedding, node), node a leaf
     nodes     (node, parent, pivot, radius, groups, copies, leaf); the root has no pivot
@@ -84,8 +85,10 @@ class DenseIndex:
                 F.array_join(F.col("embedding").cast("array<string>"), ","),
             )
         )
+        self.texts = [c for c in ("customer_problem", "resolution") if c in cases.columns]
         keyed = cases.select(
-            "case_id", F.col("intent").cast("string").alias("intent"), "embedding", key.alias("gid")
+            "case_id", F.col("intent").cast("string").alias("intent"), "embedding",
+            key.alias("gid"), *self.texts,
         )
         self.block_rows, self.fan = block_rows, fan
         self.cases = materialize(keyed, "dense-cases")
@@ -365,8 +368,9 @@ def dense_retrieve(
     intent_weight: float = packs.INTENT_WEIGHT,
 ) -> DataFrame:
     """Long form (query_id, predicted_intent, rank, case_id, case_intent, similarity,
-    final_score, relevant_hit_count) of queries (query_id, embedding, intent). A query without
-    an embedding has no rows."""
+    final_score, relevant_hit_count) of queries (query_id, embedding, intent), with the texts of
+    the cases if the index has them: then the columns are those of the sparse `retrieve`. A
+    query without an embedding has no rows."""
     asked = materialize(
         queries.filter(F.col("embedding").isNotNull()).select(
             F.col("query_id").alias("qid"), "embedding", F.col("intent").cast("string").alias("intent")
@@ -405,10 +409,11 @@ def dense_retrieve(
         .select("qid", "sim", "final", "case_intent", "case_id")
     )
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order, F.asc("case_id")))
+    ranked = expanded.withColumn("rank", rank).filter(F.col("rank") <= k)
+    if index.texts:
+        ranked = ranked.join(index.cases.select("case_id", *index.texts), "case_id")
     return (
-        expanded.withColumn("rank", rank)
-        .filter(F.col("rank") <= k)
-        .join(hits, "qid")
+        ranked.join(hits, "qid")
         .join(asked.select("qid", F.col("intent").alias("predicted_intent")), "qid")
         .select(
             F.col("qid").alias("query_id"),
@@ -416,8 +421,9 @@ def dense_retrieve(
             "rank",
             "case_id",
             "case_intent",
+            *index.texts,
             F.col("sim").alias("similarity"),
             F.col("final").alias("final_score"),
-            "relevant_hit_count",
+            F.col("relevant_hit_count").cast("bigint").alias("relevant_hit_count"),
         )
     )

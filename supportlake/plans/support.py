@@ -13,6 +13,7 @@ from supportlake.functions.rules import RulePack
 from supportlake.functions.text import clean_text
 from supportlake.operators import classifier, decisions, metrics, quality, retrieval, threads
 from supportlake.operators.case_store import CaseStore
+from supportlake.operators.dense import DenseIndex, dense_retrieve
 from supportlake.operators.language import bare_text, detect_language
 from supportlake.session import materialize
 
@@ -75,11 +76,32 @@ def train_intents(
     )
 
 
-def with_evidence(labelled: DataFrame, index: retrieval.CaseIndex | CaseStore, k: int = 2) -> DataFrame:
+Index = retrieval.CaseIndex | CaseStore | DenseIndex
+
+
+def find_cases(queries: DataFrame, index: Index, k: int = 3, method: str = "auto") -> DataFrame:
+    """Ranked cases per query, in the columns of `retrieval.retrieve` whatever the method.
+
+    method: "sparse" ranks by words and needs cleaned_text, "dense" by embeddings and needs
+    embedding; "auto" is what the index is for. Queries that a method cannot place (a dense
+    one without an embedding) have no rows.
+    """
+    found = "dense" if isinstance(index, DenseIndex) else "sparse"
+    if method not in ("auto", found):
+        raise ValueError(f"a {found} index cannot answer by method {method!r}")
+    if found == "dense":
+        if len(index.texts) < 2:
+            raise ValueError("the dense index was made without customer_problem and resolution")
+        return dense_retrieve(queries.select("query_id", "embedding", "intent"), index, k)
+    return retrieval.retrieve(queries.select("query_id", "cleaned_text", "intent"), index, k)
+
+
+def with_evidence(
+    labelled: DataFrame, index: Index, k: int = 2, method: str = "auto"
+) -> DataFrame:
     """Add coverage and the retrieved cases to (query_id, customer_message, cleaned_text,
-    intent, intent_confidence)."""
-    ranked = retrieval.retrieve(labelled.select("query_id", "cleaned_text", "intent"), index, k)
-    found = retrieval.coverage(ranked).drop("predicted_intent")
+    intent, intent_confidence; embedding for a dense index)."""
+    found = retrieval.coverage(find_cases(labelled, index, k, method)).drop("predicted_intent")
     joined = labelled.join(found, "query_id", "left")
     return joined.withColumns(
         {
@@ -90,7 +112,7 @@ def with_evidence(labelled: DataFrame, index: retrieval.CaseIndex | CaseStore, k
     )
 
 
-def agent_decisions(labelled: DataFrame, index: retrieval.CaseIndex | CaseStore, k: int = 2) -> DataFrame:
+def agent_decisions(labelled: DataFrame, index: Index, k: int = 2) -> DataFrame:
     """The agent over a table of classified messages: evidence, reply, decision, reason."""
     return decisions.decide(with_evidence(labelled, index, k))
 
@@ -122,7 +144,7 @@ def classify_messages(
 def run_agent(
     messages: DataFrame,
     model: classifier.IntentModel,
-    index: retrieval.CaseIndex | CaseStore,
+    index: Index,
     id_col: str = "tweet_id",
     text_col: str = "text",
     k: int = 2,
@@ -133,7 +155,7 @@ def run_agent(
 
 
 def three_systems(
-    labelled: DataFrame, index: retrieval.CaseIndex | CaseStore, pack: RulePack = packs.SUPPORT
+    labelled: DataFrame, index: Index, pack: RulePack = packs.SUPPORT
 ) -> DataFrame:
     """Predictions of the keyword baseline, the verbatim baseline and the agent, stacked long.
 
@@ -184,7 +206,7 @@ class Benchmark:
 def benchmark(
     labelled: DataFrame,
     gold: DataFrame,
-    index: retrieval.CaseIndex | CaseStore,
+    index: Index,
     pack: RulePack = packs.SUPPORT,
     target_intents: Sequence[str] = tuple(packs.MANDATORY_ESCALATION),
     stripped_cases: bool = False,

@@ -59,7 +59,7 @@ def test_language_gate_of_every_kind(spark):
 
 
 ROUND_TRIPS = ["message_files", "first_rows", "file_audit", "nested_threads", "golden_sheet",
-               "saved_report", "stream_agent", "retrieve_saved", "retrieve_deep"]
+               "saved_report", "stream_agent", "retrieve_saved", "retrieve_deep", "dense_coverage"]
 
 
 @pytest.mark.parametrize("name", ROUND_TRIPS)

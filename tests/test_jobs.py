@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry import check
 from registry.queries import ORACLES, QUERIES
 from supportlake.functions import packs
-from supportlake.operators import classifier, clusters, intents, language, quality, retrieval, tfidf
+from supportlake.operators import dense, classifier, clusters, intents, language, quality, retrieval, tfidf
 from supportlake.plans import support
 from supportlake.sources import tables
 from supportlake.streaming import scoring
@@ -160,6 +160,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
 
 
+def test_either_method_gives_the_same_columns(spark):
+    graded = support.graded_threads(messages(spark, 3), "Desk")
+    cases = retrieval.case_base(graded.threads, packs.SUPPORT)
+    sparse = retrieval.CaseIndex(cases)
+    vector = F.array(*[F.length(F.regexp_replace("cleaned_problem", f"[^{x}]", "")).cast("double") for x in "aeiourst"])
+    dense_index = dense.DenseIndex(cases.withColumn("embedding", vector))
+    asked = cases.select(
+        F.col("case_id").alias("query_id"), F.col("cleaned_problem").alias("cleaned_text"), "intent",
+        vector.alias("embedding"))
+    by_words = support.find_cases(asked, sparse, 2, "sparse")
+    by_vectors = support.find_cases(asked, dense_index, 2, "dense")
+    assert by_words.dtypes == by_vectors.dtypes
+    for rows in (by_words, by_vectors):
+        first = rows.filter("rank = 1").collect()
+        assert len(first) == asked.count() and all(abs(r.similarity - 1) < 1e-9 for r in first)
+    for index, method in ((sparse, "dense"), (dense_index, "sparse")):
+        try:
+            support.find_cases(asked, index, 2, method)
+            raise AssertionError
+        except ValueError:
+            pass
+    assert support.with_evidence(asked, dense_index).columns == support.with_evidence(asked, sparse).columns
+
+
 def test_scratch_of_a_scope_goes(spark, tmp_path):
     import os
 
