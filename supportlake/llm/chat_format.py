@@ -60,8 +60,8 @@ def read_back(formatted: str) -> list[Message]:
 
 @dataclass
 class Rendered:
-    """spans: [begin, end) of each turn in `text`; bodies: of each turn's text, -1 where the
-    template does not show it as one piece. rewrites: number of the first turn whose prefix
+    """spans: [begin, end) of each turn in `text`; bodies: of what `text` shows of each turn's
+    text, -1 where the template does not show it as one piece. rewrites: number of the first turn whose prefix
     changed what stood before, or -1."""
 
     text: str
@@ -118,15 +118,72 @@ def render_turns(
     messages: list[Message], render: Template = marked_template, window: int = WINDOW
 ) -> Rendered:
     """Spans of all turns. Beyond `window` turns, prefixes start at most `window` turns back;
-    if what they give differs from the whole output, all prefixes are rendered in full."""
+    if what they give differs from the whole output, all prefixes are rendered in full. Where
+    history is rewritten, what prefixes show is not what the end shows, and every turn is located
+    in the whole output instead."""
     found = _steps(messages, render, window)
     whole = render(messages)
     if found.text != whole and found.rewrites < 0 and len(messages) > window:
         found = _steps(messages, render, len(messages))
+    if found.text != whole or found.rewrites >= 0:
+        found.spans, found.bodies = _located(messages, render, whole)
     found.text = whole
     return found
 
 
+def _shared(a: str, b: str) -> int:
+    """Number of leading characters in which two strings agree."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _located(
+    messages: list[Message], render: Template, whole: str
+) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans and bodies of all turns in `whole`, the output for all messages.
+
+    A body is what a marker in the text's place would stand for, with all else unchanged. A
+    span is what goes when the turn is left out; where repeated characters leave its place open
+    it begins where the turn before ends. If leaving the turn out changes other turns too, the
+    span is the body. A turn that is not shown has an empty span; (-1, -1) is one that cannot
+    be told from the others, and no such turn has a body.
+    """
+    base = render([])
+    spans, bodies, end = [], [], len(base) if whole.startswith(base) else 0
+    mark = _marker(whole + "".join(r + t for r, t in messages))
+    for k, (role, _) in enumerate(messages):
+        probe = render([*messages[:k], (role, mark), *messages[k + 1 :]])
+        head, _, tail = probe.partition(mark)
+        fits = (
+            probe.count(mark) == 1
+            and len(whole) >= len(head) + len(tail)
+            and whole.startswith(head)
+            and whole.endswith(tail)
+        )
+        body = (len(head), len(whole) - len(tail)) if fits else (-1, -1)
+        without = render([*messages[:k], *messages[k + 1 :]])
+        size = len(whole) - len(without)
+        last = _shared(whole, without)
+        first = len(without) - _shared(whole[::-1], without[::-1])
+        if fits:  # the body lies within the span
+            first, last = max(first, body[1] - size), min(last, body[0])
+        if size >= 0 and max(first, 0) <= last:
+            begin = min(max(end, first, 0), last)
+            span = (begin, begin + size)
+        else:
+            span = body
+        spans.append(span)
+        bodies.append(body)
+        end = span[1] if span[0] >= 0 else end
+    return spans, bodies
+
+
 def conversations_of(rows: DataFrame) -> DataFrame:
     """The rows of each conversation next to each other, in order of turn."""
     return (
