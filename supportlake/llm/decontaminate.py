@@ -27,6 +27,8 @@ from supportlake.llm.common import arrow_map, lean
 PHRASE_WORDS = 10
 SHARD_WORDS = 1_000_000
 SAMPLE = 8
+#: Columns that are added; input columns of these names are left out.
+ADDED, CHANGED = ("_n_words", "_spans", "_items"), "_changed"
 #: Bytes of item text in one block of phrases, and blocks in one pass over the documents.
 BLOCK_BYTES = 16 * 1024 * 1024
 BLOCKS = 4
@@ -243,14 +245,17 @@ def _search_shard(
             nth = np.arange(a, a + w.size) - (np.cumsum(count) - count)[w]
             position = index.locate(low[w] + nth)
             part = np.searchsorted(starts, position, "right") - 1
-            for p in np.unique(part):
+            # Sorted by document once, each one's hits lie together.
+            order = np.argsort(part, kind="stable")
+            part, position, w = part[order], position[order], w[order]
+            for held in np.split(np.arange(part.size), np.flatnonzero(np.diff(part)) + 1):
+                p = part[held[0]]
                 row, first, words = shard[p]
-                mine = part == p
-                begin = position[mine] - starts[p] + first
+                begin = position[held] - starts[p] + first
                 if hits[row] is None:
                     hits[row], found[row] = [], set()
-                hits[row].append(np.stack([begin, begin + block.sizes[w[mine]]], 1))
-                for v in np.unique(w[mine]):
+                hits[row].append(np.stack([begin, begin + block.sizes[w[held]]], 1))
+                for v in np.unique(w[held]):
                     found[row].update(
                         block.items[i]
                         for i in block.item_of[block.item_at[v] : block.item_at[v + 1]]
@@ -291,7 +296,7 @@ def find_phrases(
     sample: int = SAMPLE,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """All columns of `docs`, and _n_words (long), _spans (array of [begin, end) word ranges
+    """All columns of `docs` but any of the names that follow, and _n_words (long), _spans (array of [begin, end) word ranges
     that benchmark windows cover, disjoint and in order), _items (array of the item_ids whose
     windows occur, as strings).
 
@@ -366,7 +371,7 @@ def find_phrases(
             f"{schema}, _n_words long, _spans array<array<long>>, _items array<string>",
         )
 
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in (*ADDED, CHANGED)]
     out = docs.select(
         *(F.col(f"`{c}`") for c in columns),
         F.lit(0).cast("long").alias("_n_words"),
@@ -386,7 +391,7 @@ def find_phrases(
 def remove_spans(found: DataFrame) -> DataFrame:
     """Result of `find_phrases` with the hit words cut out of `text`, from the first letter of
     a span to the last; _changed says where. Other columns stay, the spans go."""
-    columns = [c for c in found.columns if c not in ("_n_words", "_spans", "_items")]
+    columns = [c for c in found.columns if c not in (*ADDED, CHANGED)]
     at = columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
