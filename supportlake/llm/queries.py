@@ -240,12 +240,27 @@ _HOST = lambda u: _LOW(f"regexp_extract({_AFTER(u)}, '^[^/?#]*')")
 _PATH = lambda u: f"regexp_extract({_AFTER(u)}, '^[^/?#]*([^?#]*)', 1)"
 
 
+def _without_dots(path: str) -> str:
+    """A path without its segments . and .., which stay inside the root."""
+    parts = (
+        f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split({path}, '/'), "
+        "lambda s: [s])), lambda held, s: CASE WHEN s[1] = '.' THEN held WHEN s[1] = '..' THEN "
+        "held[1:greatest(len(held) - 1, 1)] ELSE list_concat(held, s) END)"
+    )
+    return (
+        rf"CASE WHEN regexp_matches({path}, '/\.\.?(/|$)') THEN array_to_string({parts}, '/') || "
+        rf"CASE WHEN regexp_matches({path}, '/\.\.?$') THEN '/' ELSE '' END ELSE {path} END"
+    )
+
+
 def _address(url: str) -> str:
     bare = f"regexp_extract({url}, '^[^#]*')"
+    path = f"regexp_extract({_AFTER(bare)}, '(?s)^[^/?#]*([^?#]*)', 1)"
     return (
         f"CASE WHEN contains({bare}, '://') THEN "
         f"{_LOW(f'''regexp_extract({bare}, '(?s)^(.*?)://', 1)''')} || '://' || {_HOST(bare)} || "
-        f"regexp_extract({_AFTER(bare)}, '(?s)^[^/?#]*(.*)$', 1) ELSE {bare} END"
+        f"{_without_dots(path)} || "
+        f"regexp_extract({_AFTER(bare)}, '(?s)^[^/?#]*[^?#]*(.*)$', 1) ELSE {bare} END"
     )
 
 
@@ -448,7 +463,8 @@ def rebuilt_conversations(rows: DataFrame, every: int = 20, starts: int = 4) ->
       SELECT c.*, p.conv_id AS parent, (SELECT count(*) FROM nodes k WHERE k.d = c.d + 1
           AND k.path[1:c.d] = c.path) AS kids,
         CASE WHEN c.d = 0 THEN 0 ELSE
-          (c.n - 1) * len(regexp_extract_all(c.path[c.d].text, '[^ 	-]+')) END AS saved
+          (c.n - 1) * len(regexp_extract_all(c.path[c.d].text, '[^ 	-
+]+')) END AS saved
       FROM nodes c LEFT JOIN nodes p ON p.d = c.d - 1 AND p.path = c.path[1:c.d - 1]),
     spread AS (
       SELECT unnest(range(0, d + 1)) AS top, path, kids, saved FROM tree),

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from supportlake.llm import (
@@ -212,6 +213,60 @@ def test_chat_detects_rewritten_history():
     assert chat_format.render_turns(many, numbered) == chat_format.render_turns(many, numbered, 1000)
 
 
+def forgets_thoughts(messages):
+    """Cuts what was thought from earlier assistant turns."""
+    last = len(messages) - 1
+    return "".join(
+        f"[{r}]\n{t if i == last or r != 'assistant' else t.split('think|')[-1]}\n"
+        for i, (r, t) in enumerate(messages)
+    )
+
+
+def shows_last_turns(messages):
+    return "".join(f"<{r}:{t}>" for r, t in messages[-3:])
+
+
+def counts_turns(messages):
+    return f"{len(messages)} turns" + "".join(f"<{r}:{t}>" for r, t in messages)
+
+
+def inserts_note(messages):
+    return "".join(f"<{r}:{t}>" + "(noted)" * (i < len(messages) - 1) for i, (r, t) in enumerate(messages))
+
+
+@pytest.mark.parametrize("template", [forgets_thoughts, shows_last_turns, counts_turns, inserts_note])
+def test_spans_of_rewritten_history_lie_in_the_final_text(spark, template):
+    rng = random.Random(3)
+    told, rows = {}, []
+    for conv in range(12):
+        turns = [
+            (("user", "assistant")[k % 2], f"{'think|' * (k % 2)}t{conv}x{k}y{rng.randrange(99)}")
+            for k in range(rng.randint(1, 7))
+        ]
+        told[conv] = turns
+        rows += [(conv, k, r, t) for k, (r, t) in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat_format.format_conversations(frame, template).collect():
+        turns, text = told[r["conv_id"]], template(told[r["conv_id"]])
+        assert r["formatted"] == text
+        kept = {forgets_thoughts: 2, shows_last_turns: 3, counts_turns: 0, inserts_note: 99}
+        assert (r["rewrites"] >= 0) == (len(turns) > kept[template])
+        # Texts are unique, so a plain search says what is shown of each, and where.
+        shown, spans = [], r["spans"]
+        for (role, t), (begin, end) in zip(turns, spans):
+            whole = text.find(t)
+            part = t if whole >= 0 else t.split("think|")[-1]
+            at = text.find(part)
+            if at < 0:
+                assert begin == end  # not shown
+                continue
+            assert 0 <= begin <= at and at + len(part) <= end <= len(text)
+            assert sum(other[1].split("think|")[-1] in text[begin:end] for other in turns) == 1
+            if role == "assistant":
+                shown.append(part)
+        assert [text[a:b] for a, b in r["loss"]] == shown
+
+
 # --- decontamination --------------------------------------------------------------------
 
 
@@ -258,6 +313,36 @@ def test_decontamination_matches_brute_force(spark, block_bytes):
     assert none.filter("size(_spans) > 0").count() == 0 and none.count() == len(texts)
 
 
+def test_decontamination_takes_any_column_names(spark):
+    names = ["_n_words", "_spans", "_items", "_changed"]
+    docs = make_docs(spark, ["one two three four", None])
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i))
+    bench = spark.createDataFrame([("a", "two three")], "item_id string, text string")
+    found = decontaminate.find_phrases(docs, bench)
+    cut = decontaminate.remove_spans(found)
+    assert [found.columns.count(n) for n in names] == [1, 1, 1, 0]
+    assert cut.columns == [c for c in docs.columns if c not in names] + ["_changed"]
+    assert [r["text"] for r in cut.filter("_changed").collect()] == ["one  four"]
+    assert contamination_digest(found).filter("n_hit = 2").count() == 1
+
+
+def test_hits_of_a_common_phrase_are_sorted_once():
+    """Each document's hits, also where one phrase stands in all documents."""
+    rng = random.Random(4)
+    common = [f"c{i}".encode() for i in range(14)]
+    shard_docs = [[f"w{rng.randrange(50)}".encode() for _ in range(rng.randrange(9))] + common * (i % 3) for i in range(300)]
+    blocks = [decontaminate.phrase_block([("x", b" ".join(common)), ("y", b"w1 w2")], 10)]
+    hits, found = [None] * 300, [None] * 300
+    for shard in decontaminate._shards(shard_docs, 100_000, 20):
+        decontaminate._search_shard(shard, blocks, hits, found, 8)
+    for i, doc in enumerate(shard_docs):
+        _, hit, names = brute_phrases(b" ".join(doc).decode(), [("x", b" ".join(common).decode()), ("y", "w1 w2")])
+        spans = [] if hits[i] is None else decontaminate.merge_spans(np.concatenate(hits[i])).tolist()
+        assert {x for a, b in spans for x in range(a, b)} == hit
+        assert (found[i] or set()) == names
+
+
 # --- classifiers ------------------------------------------------------------------------
 
 
@@ -579,6 +664,34 @@ def test_language_kernel_is_the_full_blended_spectrum(monkeypatch, steps):
     assert model.languages[model.scores(["ქართული"])[0].argmax()] == "ka"
 
 
+def test_url_verdicts_equal_the_twin_where_links_are(spark, tmp_path):
+    """Relative links, refreshes, dot segments, and a hub that a third of all pages point to."""
+    from registry import check
+    from supportlake.llm.queries import ORACLES, QUERIES
+
+    rng = random.Random(6)
+    hosts = ["example.net", "a.example.net", "example.com", "x.org", "bad.net", "other.io"]
+    paths = ["/", "/en/", "/en/a/b", "/de/x", "/fr/y", "/p/../de/x", "/q/./r", "/f"]
+    rows = []
+    for i in range(240):
+        url = f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/../a', '#t'])}"
+        target = rng.choice(["../../de/x", "./../en/a", "/f", "//x.org/fr/y", "?k=1", "http://Example.com/de/../f", "g/h", "#z", "http://other.io/f"])
+        html = rng.choice([
+            None, "<p>", f'<link rel="canonical" href="{target}">',
+            f"<meta http-equiv='refresh' content='0; url={target}'>", f"<link href={target} rel=canonical>",
+        ])
+        if i % 3 == 0:
+            html = '<link rel="canonical" href="http://hub.io/all">'
+        rows.append((i, url, html))
+    rows += [(300, None, None), (301, "http://hub.io/all", None), (302, "http://hub.io/./all", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frame.toPandas().to_parquet(tmp_path / "pages.parquet")
+    got = QUERIES["op9_url_filter"](spark, str(tmp_path)).toPandas()
+    twin = check.duck(str(tmp_path)).execute(ORACLES["op9_url_filter"]).df()
+    assert check.compare(got, twin) == ""
+    assert set(got["verdict"]) == {"allow", "block"} and got["rule"].isna().sum() > 20
+
+
 def test_links_with_dot_segments_carry_decisions(spark):
     link = '<link rel="canonical" href="{}">'.format
     pages = [
