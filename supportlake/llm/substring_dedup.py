@@ -20,6 +20,7 @@ them by chance is counted exactly afterwards.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +65,32 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
+@lru_cache(maxsize=64)
+def _steps(width: int, mix: int) -> list[tuple[int, np.uint64, np.uint64 | None]]:
+    """(have, power, factor) for have = 1, 2, 4, ... up to `width`: `mix` to the power of
+    `have`; and, if the last `have` neighbours not yet taken are to be, what they are times."""
+    out, have, factor = [], 1, 1
+    while have <= width:
+        power = pow(mix, have, 1 << 64)
+        taken = bool(width & have)
+        out.append((have, np.uint64(power), np.uint64(factor) if taken else None))
+        factor = factor * power % (1 << 64) if taken else factor
+        have *= 2
+    return out
+
+
 def _rolled(h: np.ndarray, width: int, mix: np.uint64 = _MIX) -> np.ndarray:
-    """Hash of every `width` neighbours."""
-    n = h.size - width + 1
+    """Hash of every `width` neighbours: a polynomial in `mix`, put together from those of 1, 2,
+    4, ... neighbours."""
+    n, rest = h.size - width + 1, width
     out = np.zeros(n, np.uint64)
-    for j in range(width):
-        out *= mix
-        out += h[j : j + n]
+    steps = _steps(width, int(mix))
+    for have, power, factor in steps:
+        if factor is not None:
+            rest -= have
+            out += factor * h[rest : rest + n]
+        if 2 * have <= width:
+            h = h[:-have] * power + h[have:]
     return _scramble(out)
 
 
@@ -165,23 +185,26 @@ def _key(text: bytes) -> bytes:
 def _split_documents(
     docs: DataFrame, seen: Broadcast, keep: Callable, window: int, anchor: int, chunk_bytes: int
 ) -> DataFrame:
-    """A row per document; `text`, `chunk` and `place` (its number in the chunk) only where it
-    may hold recurring windows."""
+    """A row per document; `text`, `chunk`, `place` (its number in the chunk) and `marks` (its
+    anchors that passed, as 64-bit numbers) only where it may hold recurring windows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, place, filled = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
-            size, kept, text, at = [], [], [], []
+            size, kept, text, at, marks = [], [], [], [], []
             for value in batch.column(1):
                 words = (value.as_py() or b"").split()
                 open_ = False
                 if len(words) >= window:
                     _, least = anchors(words, window, anchor)
-                    open_ = bool(_passes(least, seen.value).any())
+                    least = np.unique(least)
+                    least = least[_passes(least, seen.value)]
+                    open_ = least.size > 0
                 size.append(len(words))
                 kept.append(None if open_ else keep(words))
                 text.append(b" ".join(words) if open_ else None)
+                marks.append(least.tobytes() if open_ else None)
                 at.append((chunk, place) if open_ else (None, None))
                 if open_:
                     place, filled = place + 1, filled + len(text[-1])
@@ -191,15 +214,16 @@ def _split_documents(
                 [
                     batch.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.string()),
                     pa.array(text, pa.binary()), pa.array([c for c, _ in at], pa.int64()),
-                    pa.array([p for _, p in at], pa.int64()),
+                    pa.array([p for _, p in at], pa.int64()), pa.array(marks, pa.binary()),
                 ],
-                ["doc_id", "n_words", "kept", "text", "chunk", "place"],
+                ["doc_id", "n_words", "kept", "text", "chunk", "place", "marks"],
             )
 
     return arrow_map(
         docs.select("doc_id", F.col("text").cast("binary")),
         task,
-        f"doc_id {kind}, n_words long, kept string, text binary, chunk long, place long",
+        f"doc_id {kind}, n_words long, kept string, text binary, chunk long, place long, "
+        "marks binary",
     )
 
 
@@ -218,14 +242,15 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 
 
 def _places(open_docs: DataFrame, judge: Callable, schema: str) -> DataFrame:
-    """What `judge(tally, at, words)` tallies up within a chunk: key -> [count, where first]."""
+    """What `judge(tally, at, text, marks)` tallies up within a chunk: key -> [count, where
+    first]."""
     width = schema.count(",") - 2
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, docs in _by_chunk(batches):
             tally: dict[tuple, list[int]] = {}
-            for place, text in docs:
-                judge(tally, place << 32, text.split())
+            for place, text, marks in docs:
+                judge(tally, place << 32, text, np.frombuffer(marks, np.uint64))
             columns = list(zip(*tally)) or [()] * width
             kinds = [pa.binary() if c and isinstance(c[0], bytes) else pa.int64() for c in columns]
             if tally:
@@ -239,14 +264,15 @@ def _places(open_docs: DataFrame, judge: Callable, schema: str) -> DataFrame:
                     [f.split()[0] for f in schema.split(", ")],
                 )
 
-    return arrow_map(open_docs.select("chunk", "place", "text"), task, schema)
+    return arrow_map(open_docs.select("chunk", "place", "text", "marks"), task, schema)
 
 
 def _passages(open_docs: DataFrame, seen: Broadcast, window: int, anchor: int) -> DataFrame:
     """(chunk, at, windows): where a chunk's passages stand, as place in the chunk << 32 | word,
     and how many windows each has."""
 
-    def fragments(tally: dict, at: int, words: list[bytes]) -> None:
+    def fragments(tally: dict, at: int, text: bytes, marks: np.ndarray) -> None:
+        words = text.split()
         _, least = anchors(words, window, anchor)
         keys = least.view(np.int64)
         for a, b in _fragments(least, _passes(least, seen.value), MOST_WINDOWS):
@@ -267,7 +293,10 @@ def _passages(open_docs: DataFrame, seen: Broadcast, window: int, anchor: int) -
     whole = found.join(judged.filter("whole"), "anchor").select("chunk", "at", "windows")
     apart = _filter(judged.filter("not whole").select("anchor"))
 
-    def windows(tally: dict, at: int, words: list[bytes]) -> None:
+    def windows(tally: dict, at: int, text: bytes, marks: np.ndarray) -> None:
+        if not _passes(marks, apart.value).any():
+            return  # all its passages stand as they are
+        words = text.split()
         _, least = anchors(words, window, anchor)
         for a in np.flatnonzero(_passes(least, apart.value) & _passes(least, seen.value)).tolist():
             one = (_key(b" ".join(words[a : a + window])),)
