@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportlake.llm.common import materialize, prepare
-from supportlake.session import scratch_dir
+from supportlake.session import drop_folder, scratch_dir
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
 BATCHES = 4
+#: Ids that the bounds of batches are found from where ids are no numbers.
+SAMPLED_IDS = 4096
 FANOUT = 2
 
 
@@ -49,6 +51,9 @@ class Runs:
     levels: list[list[str]] = field(default_factory=list)
     made: list[str] = field(default_factory=list)
 
+    def _path(self, name: str) -> str:
+        return os.path.join(scratch_dir(self.spark), name)
+
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex[:16]}"
         (
@@ -57,14 +62,15 @@ class Runs:
             .sortWithinPartitions("hash")
             .write.bucketBy(self.buckets, "hash")
             .sortBy("hash")
-            .option("path", os.path.join(scratch_dir(self.spark), name))
+            .option("path", self._path(name))
             .saveAsTable(name)
         )
         self.made.append(name)
         return name
 
     def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        """All runs, the oldest first."""
+        return [self.spark.table(name) for level in reversed(self.levels) for name in level]
 
     def add(self, rows: DataFrame) -> None:
         """Append a batch's (hash, docs, keeper) as a run; compact levels that are full."""
@@ -82,16 +88,18 @@ class Runs:
     def drop(self) -> None:
         for name in self.made:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_folder(self.spark, self._path(name))
 
 
 def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two runs as one. A merge join of sorted buckets; each run has a hash once."""
+    """An older run and a newer one as one. A merge join of sorted buckets; each run has a hash
+    once. Of a hash that both have, the newer one has no keeper, as it was known then."""
     other = b.select("hash", F.col("docs").alias("docs2"), F.col("keeper").alias("keeper2"))
     zero = F.lit(0)
     return a.join(other.hint("merge"), "hash", "full").select(
         "hash",
         (F.coalesce("docs", zero) + F.coalesce("docs2", zero)).alias("docs"),
-        F.greatest("keeper", "keeper2").alias("keeper"),
+        F.coalesce("keeper2", "keeper").alias("keeper"),
     )
 
 
@@ -106,7 +114,13 @@ def _batch_bounds(lines: DataFrame, batches: int) -> list:
         return []
     kind = lines.schema["doc_id"].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint"):
-        return []
+        # Ids that are no numbers: the quantiles of a bounded sample, by the ids' hash.
+        drawn = (
+            lines.select("doc_id").filter("doc_id is not null").distinct()
+            .orderBy(F.xxhash64("doc_id")).limit(SAMPLED_IDS).orderBy("doc_id").collect()
+        )
+        at = sorted({int(share * len(drawn)) for share in shares})
+        return [drawn[i]["doc_id"] for i in at] if len(drawn) >= batches else []
     found = lines.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)))).first()[0]
     return sorted(set(found or []))
 

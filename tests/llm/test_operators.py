@@ -531,6 +531,39 @@ def test_line_dedup_matches_brute_force(spark, batches, fanout):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def line_rows(spark, ids):
+    """One long line that all hold, and lines of two neighbours each."""
+    texts = [f"a line that all documents hold\na line that two hold {i // 2:04d}" for i in range(len(ids))]
+    schema = f"doc_id {'string' if isinstance(ids[0], str) else 'long'}, text string"
+    return spark.createDataFrame(list(zip(ids, texts)), schema).repartition(3)
+
+
+@pytest.mark.parametrize("kind", [int, "id{:03d}".format])
+def test_line_runs_for_any_ids(spark, kind):
+    ids = [kind(i) for i in range(60)]
+    docs = line_rows(spark, ids)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: int(i != ids[-1]) for i in ids}
+    assert len(line_dedup._batch_bounds(docs, 4)) == 3
+
+
+def test_lines_keep_their_document_by_the_anti_join(spark, monkeypatch):
+    """Without a look at earlier runs, a later batch would name its own document."""
+    batches = 4
+
+    class Blind(line_dedup.Runs):
+        asked = 0
+
+        def tables(self):
+            self.asked += 1
+            return [] if self.asked <= batches else super().tables()
+
+    ids = list(range(60))
+    monkeypatch.setattr(line_dedup, "Runs", Blind)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(line_rows(spark, ids), batches=batches).collect()}
+    assert got != {i: int(i != ids[-1]) for i in ids}
+
+
 @pytest.mark.parametrize("chunk_bytes", [1 << 21, 200])
 def test_substring_dedup_matches_brute_force(spark, chunk_bytes):
     rng = random.Random(12)
