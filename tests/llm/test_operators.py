@@ -156,11 +156,36 @@ def test_nnls_is_the_constrained_minimum():
     rng = np.random.default_rng(0)
     for _ in range(20):
         a, b = rng.random((8, 12)), rng.random(8)
-        x = packing.nnls(a, b)
+        _, x = packing.nnls(a, b)
         slope = a.T @ (b - a @ x)
         assert x.min() >= 0 and slope.max() < 1e-6 and abs(slope[x > 0]).max(initial=0) < 1e-6
 
 
+def test_plan_places_nearly_all_tails():
+    """Also short ones, of which many fill a window; every tail at most once, windows exactly."""
+    rng = np.random.default_rng(1)
+    for tails in (
+        rng.integers(1, 257, 4000), np.minimum(256, rng.exponential(25, 6000).astype(int) + 1),
+        np.full(999, 100), rng.integers(120, 140, 500), np.array([256]), np.array([], int),
+    ):
+        histogram = np.bincount(tails, minlength=257)
+        made = packing.plan(histogram)
+        ranks = {b: [] for b in range(1, 257)}
+        filled = np.zeros(made.sequences, int)
+        for b, low, high, each, seq, slot in made.rows:
+            ranks[b].append((low, high))
+            assert (high - low) % each == 0
+            filled[seq : seq + (high - low) // each] += b * each
+        assert (filled == 256).all()
+        for b, held in ranks.items():
+            held.sort()
+            assert [low for low, _ in held] == [0, *(high for _, high in held)][: len(held)]
+            assert (held[-1][1] if held else 0) <= histogram[b]
+        placed = sum(high - low for _, low, high, *_ in made.rows)
+        if tails.size > 1000:
+            assert placed > 0.9 * tails.size
+
+
 # --- chat formatting --------------------------------------------------------------------
 
 
