@@ -6,7 +6,8 @@
 2. Documents without such an anchor are finished. The others are dealt into chunks of bounded
    size, in the order in which they lie. Neighbouring windows of one anchor make a fragment.
 3. Passages are confirmed by hashes: an anchor with one fragment, met twice, is a recurring
-   passage as it stands; for other anchors the windows are counted one by one. A chunk is told
+   passage as it stands; for other anchors the windows are counted one by one, by 128 bits of
+   their words' hashes. A chunk is told
    where in its own documents each of its passages stands first.
 4. A chunk's task compiles the passages, the stretches of confirmed windows in its documents,
    into an automaton over numbered words and streams the chunk's documents through it; the words
@@ -296,11 +297,12 @@ def _passages(open_docs: DataFrame, seen: Broadcast, window: int, anchor: int) -
     def windows(tally: dict, at: int, text: bytes, marks: np.ndarray) -> None:
         if not _passes(marks, apart.value).any():
             return  # all its passages stand as they are
-        words = text.split()
-        _, least = anchors(words, window, anchor)
-        for a in np.flatnonzero(_passes(least, apart.value) & _passes(least, seen.value)).tolist():
-            one = (_key(b" ".join(words[a : a + window])),)
-            tally.setdefault(one, [0, at | a])[0] += 1
+        h = _hashes(text.split())
+        least = _extreme(_rolled(h, anchor), window - anchor + 1, np.minimum)
+        open_ = np.flatnonzero(_passes(least, apart.value) & _passes(least, seen.value))
+        both = np.stack([_rolled(h, window, m)[open_] for m in (_MIX, _MIX2)], 1).tobytes()
+        for i, a in enumerate(open_.tolist()):
+            tally.setdefault((both[16 * i : 16 * i + 16],), [0, at | a])[0] += 1
 
     # At most one row for each window and chunk, so no window is a hot key.
     counted = _places(open_docs, windows, "window binary, chunk long, n long, at long")
@@ -336,21 +338,30 @@ def _strip(rows: DataFrame, keep: Callable, window: int, kind: str) -> DataFrame
         for _, held in _by_chunk(batches):
             docs = {at: text.split() for at, _, text, _ in held if text is not None}
             hashes = {at: _hashes(words) for at, words in docs.items() if len(words) >= window}
-            # Both hashes of all windows, 128 bits together.
-            rolled = {at: [_rolled(h, window, m) for m in (_MIX, _MIX2)] for at, h in hashes.items()}
+            # Two hashes of windows, 128 bits together; the second only where it is asked for.
+            rolled = {at: _rolled(h, window) for at, h in hashes.items()}
+            second = {}
+            for at, _, text, _ in held:
+                if text is None and at >> 32 not in second:
+                    second[at >> 32] = _rolled(hashes[at >> 32], window, _MIX2)
             known = [
                 np.unique(np.concatenate([np.zeros(0, np.uint64), *(
-                    rolled[at >> 32][k][at & 0xFFFFFFFF : (at & 0xFFFFFFFF) + n]
+                    of[at >> 32][at & 0xFFFFFFFF : (at & 0xFFFFFFFF) + n]
                     for at, n, text, _ in held
                     if text is None
                 )]))
-                for k in (0, 1)
+                for of in (rolled, second)
             ]
             letters: dict[bytes, str] = {}
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             # A document's stretches of confirmed windows are its passages.
-            for at, (one, two) in rolled.items():
-                ok = _among(one, known[0]) & _among(two, known[1])
+            for at, one in rolled.items():
+                ok = _among(one, known[0])
+                maybe = np.flatnonzero(ok)
+                if not maybe.size:
+                    continue
+                two = second[at] if at in second else _rolled(hashes[at], window, _MIX2)
+                ok[maybe] = _among(two[maybe], known[1])
                 edge = np.diff(np.concatenate([[0], ok.astype(np.int8), [0]]))
                 for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
                     words = docs[at][a : b - 1 + window]
