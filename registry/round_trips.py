@@ -16,7 +16,6 @@ from supportlake.functions.text import clean_text
 from supportlake.operators import decisions, dense, labels, quality, retrieval, sampling, threads
 from supportlake.operators.intents import weak_intent
 from supportlake.plans import support
-from supportlake.plans.support import agent_output
 from supportlake.session import scratch_dir
 from supportlake.sources import messages as sources
 from supportlake.sources import tables
