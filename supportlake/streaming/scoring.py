@@ -22,7 +22,11 @@ from supportlake.session import scratch_scope
 def message_stream(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", **options: str
 ) -> DataFrame:
-    """Files arriving in a folder as a stream."""
+    """Files arriving in a folder as a stream, or the one file at `path`."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place) and fs.getFileStatus(place).isFile():
+        path, options = str(place.getParent()), {**options, "pathGlobFilter": place.getName()}
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 

@@ -264,3 +264,30 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_streams_read_a_table_of_many_files(spark, tmp_path):
+    """A table is one file or a folder of part files; a stream over either has all its rows."""
+    from registry import queries
+
+    rows = [(c, t, "user", f"with that {c} {t}") for c in range(5) for t in range(3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    events = spark.createDataFrame(
+        [(i % 3, "purchase") for i in range(9)], "user_id long, event_type string"
+    )
+    for name, files in (("folder", 4), ("single", 1)):
+        base = tmp_path / name
+        for table, df in (("conversations", turns), ("events", events)):
+            path = base / f"{table}.parquet"
+            df.repartition(files).write.parquet(str(path))
+            if name == "single":
+                part = next(path.glob("part-*"))
+                part.rename(base / "part")
+                for left in path.iterdir():
+                    left.unlink()
+                path.rmdir()
+                (base / "part").rename(path)
+        scored = queries.QUERIES["stream_scores"](spark, str(base))
+        assert sorted((r.conv_id, r.turn) for r in scored.collect()) == [r[:2] for r in rows]
+        volume = queries.QUERIES["stream_author_volume"](spark, str(base))
+        assert sorted(map(tuple, volume.collect())) == [("0", 3), ("1", 3), ("2", 3)]
