@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +331,64 @@ def test_one_cut_equals_fit_and_transform(spark, size, min_df, high):
 
     assert sorted(r.term for r in vocab.collect()) == sorted(r.term for r in stats.collect())
     assert shown(got) == shown(expected) and shown(got)
+
+
+@pytest.mark.parametrize("seed, depth, k", [(1, 4, 3), (2, 256, 2), (3, 1, 1), (4, 16, 12)])
+def test_joined_lists_equal_brute_force(spark, monkeypatch, seed, depth, k):
+    """Where lists are short enough to be joined, the cut and its completion."""
+    monkeypatch.setattr(retrieval, "PAIR_SHARE", 0)
+    test_topk_equals_brute_force(spark, seed, depth, k)
+    if seed == 1:
+        test_similar_pairs_equal_brute_force(spark)
+
+
+def test_many_cells_and_strips_equal_brute_force(spark, monkeypatch):
+    from supportlake.operators import cells
+
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 10)
+    monkeypatch.setattr(retrieval, "BLOCK_ENTRIES", 200)
+    # Tasks take a module's values anew, so what they read is tested here.
+    test_topk_equals_brute_force(spark, 4, 16, 12)
+    test_similar_pairs_equal_brute_force(spark)
+    rng = np.random.default_rng(1)
+    frames = []
+    for n in (40, 90):
+        rows = [np.sort(rng.choice(60, rng.integers(0, 20), replace=False)) for _ in range(n)]
+        frames.append(pd.DataFrame({"terms": rows, "weights": [rng.random(len(r)) for r in rows]}))
+    q, c = frames
+    full = np.zeros((2, 90, 60))
+    for i, frame in enumerate(frames):
+        for j, (terms, weights) in enumerate(zip(frame["terms"], frame["weights"])):
+            full[i, j, terms] = weights
+    for strip, columns in ((100, 3), (7, 0), (10_000, 60)):
+        monkeypatch.setattr(cells, "STRIP", strip)
+        monkeypatch.setattr(cells, "COLUMNS", columns)
+        scores = cells.sparse_scores(q, c)
+        got = np.concatenate([scores(s) for s in cells.strips(len(q), len(c))])
+        np.testing.assert_allclose(got, full[0, :40] @ full[1].T, atol=1e-12)
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_common_words_do_not_write_pairs(spark, monkeypatch, tmp_path, kept):
+    """Texts of common words meet in nearly all pairs; what is written grows with the texts."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(12)], k=8))
+    rows = [(f"c{i:03d}", text(), "a", "p", "r") for i in range(300)]
+    cases = spark.createDataFrame(rows, f"{CASES}, customer_problem string, resolution string")
+    asked = spark.createDataFrame([(f"q{i:03d}", text(), "a") for i in range(300)], QUERIES)
+    index = retrieval.CaseIndex(cases)
+    if kept:
+        CaseStore.create(str(tmp_path / "store"), cases, buckets=2)
+        index = CaseStore.open(spark, str(tmp_path / "store"))
+    sizes, write = {}, retrieval.materialize
+
+    def counted(df, name, *schema):
+        out = write(df, name, *schema)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "materialize", counted)
+    assert retrieval.retrieve(asked, index, 3, depth=16).count() == 900
+    if not kept:
+        retrieval.similar_pairs(asked, index, 0.9).count()
+    assert max(sizes.values()) < 300 * 30, sizes
