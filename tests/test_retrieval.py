@@ -392,3 +392,16 @@ def test_common_words_do_not_write_pairs(spark, monkeypatch, tmp_path, kept):
     if not kept:
         retrieval.similar_pairs(asked, index, 0.9).count()
     assert max(sizes.values()) < 300 * 30, sizes
+
+
+def test_counts_of_large_texts_are_dealt_further(spark, monkeypatch, tmp_path):
+    """More texts are more partitions, whatever the session's number; small ones take its number."""
+    rows = [(i, f"aa bb cc {i}") for i in range(400)]
+    spark.createDataFrame(rows, "id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tfidf.by_id(docs).rdd.getNumPartitions() <= usual
+    monkeypatch.setattr(tfidf, "TEXT_BYTES", 64)
+    assert tfidf.by_id(docs).rdd.getNumPartitions() > 4 * usual
+    unsized = spark.createDataFrame(rows, "id long, text string")
+    assert tfidf.by_id(unsized).rdd.getNumPartitions() <= usual
