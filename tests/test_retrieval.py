@@ -405,3 +405,31 @@ def test_counts_of_large_texts_are_dealt_further(spark, monkeypatch, tmp_path):
     assert tfidf.by_id(docs).rdd.getNumPartitions() > 4 * usual
     unsized = spark.createDataFrame(rows, "id long, text string")
     assert tfidf.by_id(unsized).rdd.getNumPartitions() <= usual
+
+
+def test_cells_move_no_row_more_than_once(spark, monkeypatch):
+    """Chunks and blocks are read where they lie, however many meet, and what a task finds for a
+    chunk is the best over its blocks."""
+    from supportlake.operators import cells
+
+    written, write = [], cells.materialize
+    monkeypatch.setattr(cells, "materialize", lambda df, *a, **b: written.append(write(df, *a, **b)) or written[-1])
+    left = spark.range(60).selectExpr("cast(id as string) AS qid", "id AS x")
+    right = spark.range(90).selectExpr("cast(id as string) AS gid", "id AS y")
+
+    def cell(q, c):
+        both = q.merge(c, how="cross").assign(hits=1)
+        both["final"] = -((both["x"] - both["y"]) ** 2).astype(float)
+        return both[["qid", "gid", "y", "final", "hits"]].rename(columns={"y": "first_id"})
+
+    schema = "qid string, gid string, first_id long, final double, hits long"
+    met = cells.meet(left, "qid", 7, right, "gid", 9, cell, schema)
+    assert sum(w.selectExpr(f"size({w.columns[0]}) AS n").agg(F.sum("n")).first()[0] for w in written) == 150
+    plan = plan_of(met)
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert met.count() == 60 * 90
+    best = lambda found: cells.best_of(found, 2)
+    folded = cells.meet(left, "qid", 7, right, "gid", 9, cell, schema, best)
+    rows = folded.groupBy("qid").agg(F.sum("hits").alias("hits"), F.max(F.struct("final", "gid")).alias("b"))
+    assert all(r.hits == 90 and r.b.gid == r.qid and r.b.final == 0 for r in rows.collect())
+    assert folded.count() < 60 * 90 / 2
