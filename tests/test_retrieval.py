@@ -433,3 +433,51 @@ def test_cells_move_no_row_more_than_once(spark, monkeypatch):
     rows = folded.groupBy("qid").agg(F.sum("hits").alias("hits"), F.max(F.struct("final", "gid")).alias("b"))
     assert all(r.hits == 90 and r.b.gid == r.qid and r.b.final == 0 for r in rows.collect())
     assert folded.count() < 60 * 90 / 2
+
+
+def test_weights_of_large_texts_are_dealt_further(spark, monkeypatch, tmp_path):
+    """What a task sorts for a document's norm is bounded by what it reads, too."""
+    rows = [(i, f"aa bb cc {i % 40}") for i in range(400)]
+    spark.createDataFrame(rows, "id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settings = tfidf.Vectorizer(1, 2, 50, 1)
+    few = tfidf.fit_transform(docs, "id", "text", settings)[1]
+    expected = {(r.id, r.term): round(r.weight, 9) for r in few.collect()}
+    monkeypatch.setattr(tfidf, "TEXT_BYTES", 1024)
+    many = tfidf.fit_transform(docs, "id", "text", settings)[1]
+    assert many.rdd.getNumPartitions() > 4 * usual
+    assert {(r.id, r.term): round(r.weight, 9) for r in many.collect()} == expected
+    plan = plan_of(many)
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_vectors_are_made_once_and_only_for_fits(spark, monkeypatch):
+    from supportlake.operators import clusters
+
+    rows = [(i, f"aa{i % 3} bb{i % 3} cc") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    made, make_them = [], clusters.sparse_vectors
+    monkeypatch.setattr(clusters, "sparse_vectors", lambda *a: made.append(1) or make_them(*a))
+    found = clusters.features(docs, "id", "text", tfidf.Vectorizer(1, 1, 20, 1))
+    assert found.weights.count() == 180 and not made
+    run = clusters.cluster_features(found, 3, restarts=2)
+    clusters.inertia_sweep(found, (2, 3), restarts=1)
+    assert len(made) == 1 and found.vectors.storageLevel.useMemory
+    assert run.members.groupBy("cluster_id").count().filter("count = 20").count() == 3
+
+
+def test_search_that_prunes_little_multiplies_in_cells(spark, monkeypatch):
+    """Where bounds exclude hardly any node, rows per query and node are not written level by level."""
+    sizes, write = {}, dense.materialize
+
+    def counted(df, name, *schema):
+        out = write(df, name, *schema)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(dense, "OPEN_NODES", 2)
+    monkeypatch.setattr(dense, "materialize", counted)
+    test_dense_topk_equals_brute_force(spark, 2, 2, 12)
+    assert sizes["dense-judged"] <= 80 * 2 * 2 and sizes["dense-cells"] >= 80
+    assert "dense-second" not in sizes
