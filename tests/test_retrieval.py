@@ -481,3 +481,54 @@ def test_search_that_prunes_little_multiplies_in_cells(spark, monkeypatch):
     test_dense_topk_equals_brute_force(spark, 2, 2, 12)
     assert sizes["dense-judged"] <= 80 * 2 * 2 and sizes["dense-cells"] >= 80
     assert "dense-second" not in sizes
+
+
+def test_a_search_leaves_its_ranks_only(spark):
+    """What a search and an index write on their way is gone when they are there; ranks hold no texts."""
+    import os
+
+    from supportlake.session import scratch_dir
+
+    def tables():
+        return {n for n in os.listdir(scratch_dir(spark)) if not n.startswith("walk")}
+
+    rows = [(f"c{i}", f"late parcel {i % 7}", "a", f"p{i}", None if i % 2 else "r") for i in range(40)]
+    cases = spark.createDataFrame(rows, f"{CASES}, customer_problem string, resolution string")
+    asked = spark.createDataFrame([(f"q{i}", f"late parcel {i}", "a") for i in range(9)], QUERIES)
+    spark.range(1).write.mode("overwrite").parquet(f"{scratch_dir(spark)}/walk-folder")
+    start = tables()
+    index = retrieval.CaseIndex(cases)
+    built = tables()
+    names = sorted(n.rsplit("-", 1)[0] for n in built - start)
+    assert names == ["cases", "groups", "lengths", "postings", "stats", "terms"]
+    found = retrieval.retrieve(asked, index, 3)
+    assert [n.rsplit("-", 1)[0] for n in tables() - built] == ["ranked"]
+    by_id = {r[0]: r for r in rows}
+    for r in found.collect():
+        assert (r.case_id, r.customer_problem, r.resolution) == (
+            r.case_id, by_id[r.case_id][3], by_id[r.case_id][4])
+    assert found.count() == 27
+
+
+def test_what_cells_return_does_not_grow_with_chunks_times_blocks(spark):
+    from supportlake.operators import cells
+
+    left = spark.range(200).selectExpr("cast(id as string) AS qid", "id AS x")
+    right = spark.range(200).selectExpr("cast(id as string) AS gid", "id AS y")
+
+    def cell(q, c):
+        both = q.merge(c, how="cross").assign(hits=1)
+        both["final"] = -((both["x"] - both["y"]) ** 2).astype(float)
+        return both[["qid", "gid", "y", "final", "hits"]].rename(columns={"y": "first_id"})
+
+    schema = "qid string, gid string, first_id long, final double, hits long"
+    cost = "spark.sql.files.openCostInBytes"
+    usual = spark.conf.get(cost)
+    spark.conf.set(cost, str(1 << 28))  # a file is a partition, as large ones are
+    try:
+        best = lambda found: cells.best_of(found, 1)
+        folded = cells.meet(left, "qid", 20, right, "gid", 20, cell, schema, best).collect()
+    finally:
+        spark.conf.set(cost, usual)
+    assert len(folded) <= 200
+    assert all(r.gid == r.qid and r.final == 0 and r.hits == 200 for r in folded)

@@ -226,3 +226,17 @@ def test_distribution_keeps_empty_tiers(spark):
     assert got == {
         "usable": (2, 100.0), "partially_usable": (0, 0.0), "unusable": (0, 0.0), "total": (2, 100.0),
     }
+
+
+def test_graded_texts_lie_once(spark, monkeypatch):
+    """Columns with the same text share it in the written table, and read as they were."""
+    from supportlake.plans import support
+
+    written, write = [], support.materialize
+    monkeypatch.setattr(support, "materialize", lambda *a: written.append(write(*a)) or written[-1])
+    rows = [(1, "x", "x", "y"), (2, None, "x", None), (3, "", None, ""), (4, None, None, None)]
+    texts = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    out = support._each_text_once(texts, "t", ("a", "b", "c"))
+    assert sorted(map(tuple, out.collect())) == rows and out.columns == texts.columns
+    assert {r.id: r.texts_ for r in written[0].collect()} == {
+        1: ["x", "y"], 2: [None, "x"], 3: ["", None], 4: [None]}
