@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -770,3 +771,16 @@ def test_links_with_dot_segments_carry_decisions(spark):
     rows = spark.createDataFrame([("HTTP://X.net" + k, "http://x.net" + v) for k, v in paths.items()], "url string, good string")
     found = rows.select(url_filter.address_of(rows["url"]).alias("got"), "good").collect()
     assert all(r["got"] == r["good"] for r in found), found
+
+
+def test_a_chunk_is_told_its_windows_in_arrays():
+    """Millions of places are no rows of Python: a chunk's are cut out and spread as arrays."""
+    at = np.array([5 << 32 | 7, 2 << 32 | 3, 5 << 32 | 1], np.int64)
+    told = {d: w.tolist() for d, w in substring_dedup._windows_told(at, np.array([2, 1, 3]))}
+    assert told == {2: [3], 5: [1, 2, 3, 7, 8]}
+    assert not list(substring_dedup._windows_told(at[:0], at[:0]))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(k, pa.int64())], ["chunk", "x"])
+        for k in ([1, 1, 2], [], [2, 3], [3])
+    ]
+    assert [t["chunk"].to_pylist() for t in substring_dedup._tables(iter(batches))] == [[1, 1], [2, 2], [3, 3]]
