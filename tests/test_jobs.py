@@ -291,3 +291,42 @@ def test_streams_read_a_table_of_many_files(spark, tmp_path):
         assert sorted((r.conv_id, r.turn) for r in scored.collect()) == [r[:2] for r in rows]
         volume = queries.QUERIES["stream_author_volume"](spark, str(base))
         assert sorted(map(tuple, volume.collect())) == [("0", 3), ("1", 3), ("2", 3)]
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    """A job of many steps does not hold the shuffle files of all its steps on disk."""
+    import os
+    import time
+
+    from supportlake.session import materialize, tune
+
+    top = tune(spark).sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    folders = [str(f) for f in top.diskBlockManager().localDirs()]
+
+    def held():
+        names = [(d, n) for top in folders for d, _, files in os.walk(top) for n in files]
+        return {(d, n) for d, n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before = held()
+    keys = spark.range(50_000).select((F.col("id") % 10_007).alias("k"), F.col("id").cast("string").alias("v"))
+    out = materialize(keys.groupBy("k").agg(F.max("v").alias("v")).repartition(3, "v"), "grouped")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert out.count() == 10_007 and not held() - before
+
+
+def test_messages_go_when_the_turns_are_written(spark, tiny):
+    import os
+
+    from registry.workspace import Workspace
+    from supportlake.session import scratch_scope
+
+    with scratch_scope(spark) as folder:
+        w = Workspace(spark, tiny)
+        graded = w.graded
+        tables = {n.rsplit("-", 1)[0] for d, names, _ in os.walk(folder) for n in names}
+        assert "thread-turns" in tables and "messages" not in tables
+        assert graded.threads.count() == graded.turns.select("thread_id").distinct().count()
+        assert w.messages.count() >= graded.turns.count()  # made again where they are asked for
